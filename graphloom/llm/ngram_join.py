@@ -7,9 +7,9 @@ gram: both sets index the segment and all its one-deletion neighbours). If the a
 of every similar pair stays within its allowance. So both index a key for it, and the pair is a candidate; candidates are verified exactly.
 
 Sizes are in bands of powers of two. A space holds the pairs of one band, or of two neighbouring ones, and has its own cut.
-Equal-only segments made of nothing but common grams (or of nothing) are left out as long as the points that remain still exceed H;
-a set that would fall below that indexes all of them. As what is left out depends on the segment's content alone, the guarantee holds.
-How many points a space has, and how many segments get an allowance of 1, comes from a cost model
+Of its equal-only segments a set indexes just the cheapest H + q, in an order that depends on a segment's content alone (how common its rarest
+gram is, then its hash). Two similar sets have at least (segments - H) equal segments; each indexes the cheapest q of those at least, so they share q keys. Pairs with fewer
+shared keys need no verification. How many segments a space has, how many get an allowance of 1 and q come from a cost model
 fed with a bounded sample of documents; it affects the cost, never the result.
 
 Defined results: null, empty and wordless texts take part in no pair; a text of fewer than n words has one gram, all its words; rows that share a
@@ -33,8 +33,10 @@ N = 2
 THRESHOLD = 0.7
 #: Bytes of text for each bucket of keys: bounds what one task of the candidate search holds.
 BUCKET_BYTES = 5_000_000
-#: Sampled documents for the cost model and its list of common grams.
-SAMPLE = 3000
+#: Sampled documents for the frequencies of grams, and sampled sets of a space for its cost model.
+SAMPLE, MODELLED = 6000, 60
+#: Keys that two similar sets share at least, except in spaces where the cost model settles for one.
+Q = 3
 U64 = np.uint64
 
 
@@ -104,44 +106,59 @@ def cut(points: int, deep: int) -> np.ndarray:
 
 
 class Plan:
-    """Points, segments with an allowance of 1, and the cut of every space; the common grams."""
+    """The cut of every space, and the frequencies of the grams that are not rare: gram hashes in order, counts in a sample."""
 
-    def __init__(self, d: float, common: np.ndarray, chosen: dict[tuple[int, int], tuple[float, float]]):
-        self.d, self.common, self.chosen, self.made = d, common, chosen, {}
+    def __init__(self, d: float, grams: np.ndarray, counts: np.ndarray, chosen: dict[tuple[int, int], tuple[float, float, int]]):
+        self.d, self.grams, self.counts, self.chosen, self.made = d, grams, counts, chosen, {}
 
     def space(self, s: tuple[int, int]):
         if s not in self.made:
-            slack, share = self.chosen.get(s, (1.25, 0.0))
-            need = space_difference(s, self.d) + 1
+            slack, share, q = self.chosen.get(s, (1.3, 0.0, Q))
+            need = space_difference(s, self.d) + q
             points = max(need, math.ceil(slack * need))
             deep = int(share * points / 2)
             b = cut(points, deep)
             salt = K.mix(np.arange(len(b) - 1, dtype=U64) + U64(s[0] * 128 + s[1] + 1) * U64(1 << 40))
-            self.made[s] = (points, deep, b, salt)
+            self.made[s] = (deep, 1 if deep else q, b, salt)
         return self.made[s]
 
-    def keys(self, t: np.ndarray, common: np.ndarray, mixed: np.ndarray, s: tuple[int, int], most: int) -> np.ndarray:
-        """The keys of one set in one space. common: which grams are common; most: the largest difference that matters to this set."""
-        points, deep, bounds, salt = self.space(s)
+    def frequency(self, t: np.ndarray) -> np.ndarray:
+        if not len(self.grams):
+            return np.zeros(len(t), U64)
+        i = np.searchsorted(self.grams, t)
+        i[i == len(self.grams)] = 0
+        return np.where(self.grams[i] == t, self.counts[i], U64(0))
+
+    def keys(self, t: np.ndarray, freq: np.ndarray, mixed: np.ndarray, s: tuple[int, int], most: int) -> np.ndarray:
+        """The keys of one set in one space. freq: of each gram; most: the largest difference from a similar set in this space."""
+        deep, q, bounds, salt = self.space(s)
         at = np.searchsorted(t >> U64(32), bounds)
         at[-1] = len(t)
         total = np.concatenate((np.zeros(1, U64), np.cumsum(mixed)))
-        rare = np.concatenate(([0], np.cumsum(~common)))
         sums = total[at[1:]] - total[at[:-1]]
-        keep = (rare[at[1:]] - rare[at[:-1]]) > 0
-        keep[:deep] = True
-        if int((~keep).sum()) > points - most - 1:
-            keep[:] = True
-        out = K.mix(sums ^ salt)[keep]
+        own = K.mix(sums ^ salt)
+        size = np.diff(at)
+        flat = len(size) - deep
+        got = min(most + q - int(np.minimum(size[:deep], 2).sum()), flat)
+        blank = most + q - 2 * deep > flat or most + q - int(np.minimum(size[:deep], 2).sum()) > flat
+        out = []
+        if got > 0:
+            low = np.full(flat, U64((1 << 20) - 1))
+            full = np.flatnonzero(size[deep:])
+            if len(full):
+                low[full] = np.minimum(np.minimum.reduceat(freq, at[deep:-1][full]), U64((1 << 20) - 2))
+            rank = (low << U64(44)) | (own[deep:] >> U64(20))
+            out.append(own[deep:][np.argpartition(rank, got - 1)[:got]] if got < flat else own[deep:])
         if deep:
             k = at[deep]
-            seg = np.repeat(np.arange(deep), np.diff(at[: deep + 1]))
-            out = np.concatenate((out, K.mix((sums[seg] - mixed[:k]) ^ salt[seg])))
-        return out
+            seg = np.repeat(np.arange(deep), size[:deep])
+            less = K.mix((sums[seg] - mixed[:k]) ^ salt[seg])
+            out += [own[:deep], less] if blank else [own[:deep][size[:deep] > 0], less[size[seg] > 1]]
+        return np.concatenate(out) if out else own[:0]
 
 
 def plan(docs: DataFrame, reps: int, n: int, d: float) -> Plan:
-    """Choose the allocation of every space from a bounded sample of the sets; ``reps`` is how many sets there are."""
+    """Choose the cut of every space from a bounded sample of the sets; ``reps`` is how many sets there are."""
     share = min(1.0, SAMPLE / max(reps, 1))
     pick = docs if share >= 1 else docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
@@ -150,56 +167,71 @@ def plan(docs: DataFrame, reps: int, n: int, d: float) -> Plan:
             yield pa.RecordBatch.from_arrays([pa.array([t.tobytes() for _, t in _each(b, n)], pa.binary())], names=["t"])
 
     sets = [np.frombuffer(r["t"], U64) for r in pick.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "t binary").toLocalIterator()]
-    sets = list({t.tobytes(): t for t in sets}.values())
-    scale = reps / max(len(sets), 1)
     if not sets:
-        return Plan(d, np.empty(0, U64), {})
+        return Plan(d, np.empty(0, U64), np.empty(0, U64), {})
+    scale = reps / len(sets)
     u, c = np.unique(np.concatenate(sets), return_counts=True)
-    common = u[c >= max(3, math.ceil(len(sets) * 0.0012))]
+    grams, counts = u[c > 1], c[c > 1].astype(U64)
+    known = Plan(d, grams, counts, {})
     members: dict[tuple[int, int], list] = {}
     for t in sets:
         for s, most in spaces_of(len(t), d):
-            members.setdefault(s, []).append((t, np.isin(t, common), K.mix(t), most))
+            members.setdefault(s, []).append((t, most))
     chosen = {}
     for s, rows in members.items():
+        times = scale * max(1.0, len(rows) / MODELLED)
+        rows = [(t, known.frequency(t), K.mix(t), most) for t, most in rows[:MODELLED]]
         best = None
-        for slack in (1.15, 1.35, 1.6, 2.0):
-            for share in (0.0, 0.3, 0.6, 1.0):
-                p = Plan(d, common, {s: (slack, share)})
-                keys = [p.keys(*row[:3], s, row[3]) for row in rows]
-                made = sum(map(len, keys))
-                _, k = np.unique(np.concatenate([np.unique(x) for x in keys]), return_counts=True)
-                clash = float((k * (k - 1) // 2).sum())
-                # a key costs 1; a candidate pair about 8, and pairs grow with the square of the number of sets
-                cost = made * scale + 8 * clash * scale * scale
-                if best is None or cost < best[0]:
-                    best = (cost, slack, share)
+        for slack, share, q in ((1.1, 0.0, 1), (1.1, 0.0, Q), (1.3, 0.0, Q), (1.6, 0.0, Q), (2.2, 0.0, Q), (1.2, 0.5, 1), (1.2, 1.0, 1)):
+            p = Plan(d, grams, counts, {s: (slack, share, q)})
+            keys = [np.unique(p.keys(t, f, m, s, most)) for t, f, m, most in rows]
+            made = sum(map(len, keys))
+            flat, owner = np.concatenate(keys), np.repeat(np.arange(len(rows)), [len(k) for k in keys])
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            pairs: dict[tuple[int, int], int] = {}
+            cuts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1], [True])))
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if j - i > 1:
+                    o = owner[i:j]
+                    for x in range(len(o)):
+                        for y in range(x + 1, len(o)):
+                            pairs[o[x], o[y]] = pairs.get((o[x], o[y]), 0) + 1
+            near = {k for k in pairs if len(np.intersect1d(rows[k[0]][0], rows[k[1]][0])) > 0.3 * len(rows[k[0]][0])}
+            hits = sum(v for k, v in pairs.items() if k not in near)
+            left = sum(v >= q for k, v in pairs.items() if k not in near)
+            # a key costs 1, a shared key 4 and a candidate 60; false pairs grow with the square of the number of sets
+            cost = made * times + (4 * hits + 60 * left) * times * times
+            if best is None or cost < best[0]:
+                best = (cost, slack, share, q)
         chosen[s] = best[1:]
-    return Plan(d, common, chosen)
+    return Plan(d, grams, counts, chosen)
 
 
 # -- candidates ------------------------------------------------------------------------------------------------------
 
 
 def indexed(docs: DataFrame, p: Plan, n: int, buckets: int) -> DataFrame:
-    """(bucket, base, keys, ids): packed keys of the sets. Ids are offsets from base, of 4 bytes where they fit, else of 8."""
+    """(bucket, base, keys, ids): packed keys of the sets. Ids are offsets from base, of 4 bytes where they fit, else of 8. Buckets of spaces with q = 1 are odd."""
     d = p.d
     space_cache: dict[int, list] = {}
 
     def run(batches):
         ks: list[np.ndarray] = []
         ds: list[int] = []
+        one: list[bool] = []
         held = 0
 
         def flush():
-            nonlocal ks, ds, held
+            nonlocal ks, ds, one, held
             if not ks:
                 return
             key = np.concatenate(ks)
-            doc = np.repeat(np.array(ds, np.int64), [len(x) for x in ks])
-            ks, ds, held = [], [], 0
-            bucket = (key % U64(buckets)).astype(np.int64)
-            order = np.argsort(bucket.astype(np.uint16) if buckets <= 65536 else bucket, kind="stable")
+            many = [len(x) for x in ks]
+            doc = np.repeat(np.array(ds, np.int64), many)
+            bucket = (key % U64(buckets)).astype(np.int64) * 2 + np.repeat(np.array(one, np.int64), many)
+            ks, ds, one, held = [], [], [], 0
+            order = np.argsort(bucket.astype(np.uint16) if buckets <= 32768 else bucket, kind="stable")
             bucket, key, doc = bucket[order], (key[order] >> U64(32)).astype(np.uint32), doc[order]
             base = int(doc.min())
             off = (doc - base).astype(np.uint32 if int(doc.max()) - base < 2**32 else np.int64)
@@ -223,17 +255,13 @@ def indexed(docs: DataFrame, p: Plan, n: int, buckets: int) -> DataFrame:
             for doc, t in _each(b, n):
                 if len(t) not in space_cache:
                     space_cache[len(t)] = spaces_of(len(t), d)
-                if len(p.common):
-                    i = np.searchsorted(p.common, t)
-                    i[i == len(p.common)] = 0
-                    common = p.common[i] == t
-                else:
-                    common = np.zeros(len(t), bool)
-                mixed = K.mix(t)
-                got = np.concatenate([p.keys(t, common, mixed, s, most) for s, most in space_cache[len(t)]])
-                ks.append(got)
-                ds.append(doc)
-                held += len(got)
+                freq, mixed = p.frequency(t), K.mix(t)
+                for s, most in space_cache[len(t)]:
+                    got = p.keys(t, freq, mixed, s, most)
+                    ks.append(got)
+                    ds.append(doc)
+                    one.append(p.space(s)[1] == 1)
+                    held += len(got)
                 if held > 2_000_000:
                     yield from flush()
         yield from flush()
@@ -241,8 +269,9 @@ def indexed(docs: DataFrame, p: Plan, n: int, buckets: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "bucket long, base long, keys binary, ids binary")
 
 
-def _bucket_groups(table: pa.Table) -> pa.Table:
-    """Documents with a common key, as (label, members): label is the least of the members."""
+def _bucket_pairs(table: pa.Table) -> pa.Table:
+    """(doc_a, doc_b, shared): how many keys of this bucket two documents share; one counts as Q where q is 1."""
+    weight = Q if table["bucket"][0].as_py() % 2 else 1
     ks, ds = [], []
     for base, k, o in zip(table["base"].to_pylist(), table["keys"], table["ids"]):
         key = np.frombuffer(k.as_buffer(), np.uint32)
@@ -259,25 +288,28 @@ def _bucket_groups(table: pa.Table) -> pa.Table:
     key, doc = key[inside], doc[order[inside]]
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
     end = np.concatenate((start[1:], [len(key)])).astype(np.int64)
-    found: set[bytes] = set()
-    for s, e in zip(start.tolist(), end.tolist()):
-        if e - s == 2:
-            a, b = doc[s], doc[s + 1]
-            if a != b:
-                found.add((doc[s : e] if a < b else doc[s:e][::-1]).tobytes())
-        else:
-            m = np.unique(doc[s:e])
-            if len(m) > 1:
-                found.add(m.tobytes())
-    groups = [np.frombuffer(g, np.int64) for g in found]
-    flat = np.concatenate(groups) if groups else np.empty(0, np.int64)
-    bounds = np.concatenate(([0], np.cumsum([len(g) for g in groups]))).astype(np.int32)
-    return pa.table({"label": pa.array([int(g[0]) for g in groups], pa.int64()), "members": pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))})
+    two = end - start == 2
+    aa, bb = [doc[start[two]]], [doc[start[two] + 1]]
+    for i, j in zip(start[~two].tolist(), end[~two].tolist()):
+        m = doc[i:j]
+        x, y = np.triu_indices(len(m), 1)
+        aa.append(m[x])
+        bb.append(m[y])
+    a, b = np.concatenate(aa), np.concatenate(bb)
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.empty(0, np.int64)
+    n = np.diff(np.concatenate((first, [len(a)]))) if len(a) else first
+    a, b = a[first], b[first]
+    ok = a != b
+    return pa.table({"doc_a": pa.array(a[ok], pa.int64()), "doc_b": pa.array(b[ok], pa.int64()), "shared": pa.array(n[ok].astype(np.int64) * weight)})
 
 
 def candidates(keys: DataFrame) -> DataFrame:
-    """(label, members) of all documents that share a key, without repeats."""
-    return keys.groupBy("bucket").applyInArrow(_bucket_groups, "label long, members array<long>").dropDuplicates(["label", "members"])
+    """(doc_a, doc_b) of documents that share as many keys as similar ones must."""
+    pairs = keys.groupBy("bucket").applyInArrow(_bucket_pairs, "doc_a long, doc_b long, shared long")
+    return pairs.groupBy("doc_a", "doc_b").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= Q).select("doc_a", "doc_b")
 
 
 # -- verification ----------------------------------------------------------------------------------------------------
@@ -298,47 +330,49 @@ def packed_sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _verifier(d: float):
-    def verify(sets: pa.Table, groups: pa.Table) -> pa.Table:
+    def verify(sets: pa.Table, pairs: pa.Table) -> pa.Table:
         ids = np.asarray(sets["doc_id"])
         order = np.argsort(ids)
         ids = ids[order]
-        raw = [sets["grams"][int(i)].as_buffer() for i in order]
-        tok = [np.frombuffer(x, U64) for x in raw]
+        tok = [np.frombuffer(sets["grams"][int(i)].as_buffer(), U64) for i in order]
         size = np.array([len(t) for t in tok], np.int64)
-        partners: dict[int, list[np.ndarray]] = {}
-        for m in groups["members"]:
-            at = np.searchsorted(ids, np.asarray(m.values))
-            for k in range(len(at) - 1):
-                partners.setdefault(int(at[k]), []).append(at[k + 1 :])
+        first, second = np.searchsorted(ids, np.asarray(pairs["doc_a"])), np.searchsorted(ids, np.asarray(pairs["doc_b"]))
+        order = np.argsort(first, kind="stable")
+        first, second = first[order], second[order]
+        cuts = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1], [True]))) if len(first) else np.zeros(1, np.int64)
         out_a, out_b, out_j = [], [], []
-        for a, rest in partners.items():
-            b = np.unique(np.concatenate(rest))
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            a, b = first[i], second[i:j]
             b = b[(size[b] >= d * size[a] - 1e-9) & (size[a] >= d * size[b] - 1e-9)]
             for lo in range(0, len(b), 512):
                 part = b[lo : lo + 512]
-                flat = np.concatenate([tok[i] for i in part])
+                flat = np.concatenate([tok[x] for x in part])
                 at = np.searchsorted(tok[a], flat)
                 at[at == size[a]] = 0
-                hit = tok[a][at] == flat
-                both = np.add.reduceat(hit, np.concatenate(([0], np.cumsum(size[part])[:-1])), dtype=np.int64)
-                j = both / (size[a] + size[part] - both)
-                ok = j >= d - 1e-12
+                both = np.add.reduceat(tok[a][at] == flat, np.concatenate(([0], np.cumsum(size[part])[:-1])), dtype=np.int64)
+                sim = both / (size[a] + size[part] - both)
+                ok = sim >= d - 1e-12
                 out_a += [int(ids[a])] * int(ok.sum())
                 out_b += ids[part[ok]].tolist()
-                out_j += j[ok].tolist()
+                out_j += sim[ok].tolist()
         return pa.table({"doc_a": pa.array(out_a, pa.int64()), "doc_b": pa.array(out_b, pa.int64()), "jaccard": pa.array(out_j, pa.float64())})
 
     return verify
 
 
-def verified(docs: DataFrame, groups: DataFrame, n: int, d: float) -> DataFrame:
-    """(doc_a, doc_b, jaccard) of all candidate pairs with a similarity of d or more, doc_a < doc_b."""
-    need = groups.select(F.col("label").alias("part"), F.explode("members").alias("doc_id")).distinct()
+def verified(docs: DataFrame, pairs: DataFrame, n: int, d: float) -> DataFrame:
+    """(doc_a, doc_b, jaccard) of all candidate pairs with a similarity of d or more, doc_a < doc_b.
+
+    Pairs are verified in parts, named after the least document that doc_a is paired with, so that the sets of a group of copies travel a few times, not once a pair.
+    """
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("doc_a").alias("x"), F.col("doc_b").alias("y")), F.struct(F.col("doc_b").alias("x"), F.col("doc_a").alias("y")))).alias("e"))
+    least = ends.groupBy("e.x").agg(F.least(F.min("e.y"), F.col("x")).alias("part")).select(F.col("x").alias("doc_a"), "part")
+    parts = written(pairs.join(least, "doc_a").select("part", "doc_a", "doc_b"), "parts")
+    need = parts.select(F.col("part").alias("of"), F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct()
     ids = written(need.select("doc_id").distinct(), "candidate-ids")
     sets = packed_sets(by_ids(docs, ids, "doc_id", "left_semi"), n)
-    there = need.join(sets.dropDuplicates(["doc_id"]).hint("shuffle_hash"), "doc_id").select("part", "doc_id", "grams")
-    pairs = there.groupBy("part").cogroup(groups.groupBy("label")).applyInArrow(_verifier(d), "doc_a long, doc_b long, jaccard double")
-    return pairs.dropDuplicates(["doc_a", "doc_b"])
+    there = need.join(sets.dropDuplicates(["doc_id"]).hint("shuffle_hash"), "doc_id").select("of", "doc_id", "grams")
+    return there.groupBy("of").cogroup(parts.groupBy("part")).applyInArrow(_verifier(d), "doc_a long, doc_b long, jaccard double")
 
 
 class Joined:
@@ -360,8 +394,8 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> Joined:
     own = by_ids(docs, copies, "doc_id", "left_anti", extra)
     p = plan(own, reps, n, threshold)
     buckets = max(1, math.ceil(grams * 6 / BUCKET_BYTES))
-    groups = written(candidates(indexed(own, p, n, buckets)), "candidates")
-    return Joined(sets, written(verified(own, groups, n, threshold), "pairs"))
+    pairs = written(candidates(indexed(own, p, n, buckets)), "candidates")
+    return Joined(sets, written(verified(own, pairs, n, threshold), "pairs"))
 
 
 def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
