@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import language_ppm, ngram_join, quality_forest, toxic_segments
 
 ORACLE: dict[str, str] = {}
 
@@ -13,8 +13,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_ppm.identify(_table(spark, sf_dir, "documents"))
+
+
+def op2_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_segments.toxic_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join,)}
+def op10_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_forest.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_ppm, op2_toxic_segments, op3_ngram_jaccard_join, op10_quality_forest)}
