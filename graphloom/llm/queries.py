@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_ppm, ngram_join, quality_forest, toxic_segments
+from . import bestfit_packing, hilbert_shards, language_ppm, ngram_join, quality_forest, toxic_segments, url_filter, warc_zstd
 
 ORACLE: dict[str, str] = {}
 
@@ -25,8 +25,35 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zstd.archive(_table(spark, sf_dir, "pages"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
+
+
+def op6_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit_packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_shards.shard(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_forest.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_ppm, op2_toxic_segments, op3_ngram_jaccard_join, op10_quality_forest)}
+_ALL = (
+    op1_language_ppm,
+    op2_toxic_segments,
+    op3_ngram_jaccard_join,
+    op4_warc_zstd,
+    op5_url_filter,
+    op6_bestfit_packing,
+    op8_hilbert_shards,
+    op10_quality_forest,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLE["op8_hilbert_shards"] = hilbert_shards.oracle()
