@@ -25,7 +25,7 @@ from . import textkit as K
 
 ORDER = 4
 #: Sampled documents of each language that are counted (half as many again only set the acceptance limit), and the fewest that make a language.
-SAMPLE, LEAST = 300, 3
+SAMPLE, LEAST = 160, 3
 #: Contexts seen fewer times than this in all languages together are dropped from the trees (longer than 2 bytes).
 SEEN = 3
 #: Bits by which a text may exceed the limit, whatever its length, and the share by which the limit exceeds the worst known rate.
@@ -60,22 +60,27 @@ class Model:
         # nodes of depth k: contexts of k symbols; at[i]: the context that ends before i, -1 where it isn't in the tree
         at = np.zeros(len(flat), np.int64)
         self.child = []  # per depth: (sorted keys symbol-first, ids) of the contexts one symbol longer
-        base = np.full((1, a, n_lang), np.log2(256.0))
+        base = np.full((1, a, n_lang), 8.0, np.float32)
         self.levels = [{"cost": base, "n": 1}]
         parent = np.zeros(1, np.int64)
         for k in range(self.order + 1):
-            # counts of the symbols after contexts of depth k
+            # counts of the symbols after contexts of depth k, some contexts at a time
             ok = (at >= 0) & real
             size = self.levels[k]["n"]
-            cell = (at[ok] * a + flat[ok]) * n_lang + lang[ok]
-            c = np.bincount(cell, minlength=size * a * n_lang).reshape(size, a, n_lang).astype(float)
-            total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-            lower = base if k == 0 else self.levels[k - 1]["cost"][parent]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                own = -np.log2(c / (total + kinds))
-                escape = -np.log2(kinds / (total + kinds))
-            cost = np.where(c > 0, own, np.where(total > 0, escape + lower, lower))
+            cell = np.sort((at[ok] * a + flat[ok]) * n_lang + lang[ok])
+            cost = np.empty((size, a, n_lang), np.float32)
+            for lo in range(0, size, 1024):
+                hi = min(lo + 1024, size)
+                i, j = np.searchsorted(cell, [lo * a * n_lang, hi * a * n_lang])
+                c = np.bincount(cell[i:j] - lo * a * n_lang, minlength=(hi - lo) * a * n_lang).reshape(hi - lo, a, n_lang)
+                total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
+                lower = base if k == 0 else self.levels[k - 1]["cost"][parent[lo:hi]]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    own = -np.log2(c / (total + kinds))
+                    escape = -np.log2(kinds / (total + kinds))
+                cost[lo:hi] = np.where(c > 0, own, np.where(total > 0, escape + lower, lower))
             self.levels[k]["cost"] = cost
+            del cell, ok
             if k == self.order:
                 break
             # contexts of depth k + 1, as (context of the last k symbols, symbol before them)
@@ -94,6 +99,7 @@ class Model:
             pos = np.searchsorted(u, key)
             pos[pos == len(u)] = 0
             at = np.where(u[pos] == key, pos, -1)
+            del pos, key, before
             parent = u // a
             self.levels.append({"n": len(u)})
         self._compile(parent)
@@ -101,11 +107,14 @@ class Model:
     def _compile(self, _) -> None:
         """One table: states of all depths in a row; ``start`` gives the first of each depth."""
         self.start = np.concatenate(([0], np.cumsum([x["n"] for x in self.levels])))
-        cost = np.concatenate([x["cost"] for x in self.levels]).reshape(-1, len(self.langs))
         self.width = -(-len(self.langs) // 4) * 4
-        packed = np.zeros((len(cost), self.width), np.int16)
-        packed[:, : len(self.langs)] = np.minimum(np.round(cost * UNIT), 32767)
-        self.cost = np.ascontiguousarray(packed).view(np.int64)
+        packed = np.zeros((int(self.start[-1]) * self.a, self.width), np.int16)
+        for x, first in zip(self.levels, self.start):
+            cost = x.pop("cost").reshape(-1, len(self.langs))
+            for lo in range(0, len(cost), 1 << 18):
+                part = cost[lo : lo + (1 << 18)]
+                packed[first * self.a + lo : first * self.a + lo + len(part), : len(self.langs)] = np.minimum(np.round(part * UNIT), 32767)
+        self.cost = packed.view(np.int64)
         # step[k]: from a context of depth k (row) and the symbol before it to the context of depth k + 1, or -1
         self.step = []
         for k, u in enumerate(self.child[: len(self.levels) - 1]):
