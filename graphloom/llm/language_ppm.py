@@ -29,7 +29,7 @@ SAMPLE, LEAST = 160, 3
 #: Contexts seen fewer times than this in all languages together are dropped from the trees (longer than 2 bytes).
 SEEN = 3
 #: Bits by which a text may exceed the limit, whatever its length, and the share by which the limit exceeds the worst known rate.
-ALLOWANCE, MARGIN = 120.0, 1.25
+ALLOWANCE, MARGIN = 120.0, 1.4
 UNIT = 256.0
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit_packing, hilbert_shards, language_ppm, ngram_join, quality_forest, toxic_segments, url_filter, warc_zstd
+from . import bestfit_packing, decontaminate, hilbert_shards, html_extract, language_ppm, ngram_join, quality_forest, toxic_segments, url_filter, warc_zstd
 
 ORACLE: dict[str, str] = {}
 
@@ -37,10 +37,18 @@ def op6_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit_packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards.shard(_table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_forest.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -52,7 +60,9 @@ _ALL = (
     op4_warc_zstd,
     op5_url_filter,
     op6_bestfit_packing,
+    op7_html_extract,
     op8_hilbert_shards,
+    op9_decontaminate,
     op10_quality_forest,
 )
 QUERIES = {f.__name__: f for f in _ALL}
