@@ -79,7 +79,9 @@ def metadata(nodes: DataFrame, edges: DataFrame, kind: str = "type") -> DataFram
     out = []
     for what, df in (("node", nodes), ("edge", edges)):
         k = F.coalesce(F.col(kind), F.lit("unknown")) if kind in df.columns else F.lit("unknown")
-        out.append(df.rollup(k.alias("kind")).agg(F.count("*").alias("n"), F.grouping(k).alias("all")).select(F.lit(what).alias("what"), F.when(F.col("all") == 1, "*").otherwise(F.col("kind")).alias("kind"), "n"))
+        tagged = df.select(k.alias("kind"))
+        counts = tagged.rollup("kind").agg(F.count("*").alias("n"), F.grouping("kind").alias("all"))
+        out.append(counts.select(F.lit(what).alias("what"), F.when(F.col("all") == 1, "*").otherwise(F.col("kind")).alias("kind"), "n"))
     return out[0].unionByName(out[1])
 
 
