@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Most ids that are sent to every executor at once; longer id lists are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Folders made for local sessions that name none, by application.
+_made: dict[str, str] = {}
 
 
 def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -37,9 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="graphloom_")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _made:
+        _made[app] = "file://" + tempfile.mkdtemp(prefix="graphloom_")
+    return _made[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
