@@ -204,7 +204,7 @@ def scored(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
             s, keep = model.judge(np.concatenate(x) if x else np.empty((0, len(NAMES))))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s), pa.array(keep)], names=[*names, "anomaly", "keep"])
 
-    d = docs.select("text", *[F.col(c).alias(n) for c, n in zip(carry, names)])
+    d = docs.select("text", *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)])
     schema = T.StructType([*d.schema.fields[1:], T.StructField("anomaly", T.DoubleType()), T.StructField("keep", T.BooleanType())])
     return d.mapInArrow(run, schema).toDF(*carry, "anomaly", "keep")
 
@@ -217,5 +217,5 @@ def quality(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> DataFra
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> DataFrame:
     """The documents that the model keeps, with their columns as they are."""
     columns = docs.columns
-    marked = scored(docs, fit(docs, labels, rows), columns)
-    return marked.where("keep").select(*[F.col(f"`{c}`") for c in columns])
+    marked = scored(docs, fit(docs, labels, rows), columns).toDF(*columns, "__anomaly", "__keep")
+    return marked.where("__keep").select(*[F.col(f"`{c}`") for c in columns])
