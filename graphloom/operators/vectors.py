@@ -33,10 +33,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((norm(a) > 0) & (norm(b) > 0), dot(a, b) / (norm(a) * norm(b)))
 
 
+def clipped(x: Column) -> Column:
+    """A similarity between 0 and 1; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.5, trivial: Column | None = None) -> DataFrame:
     """(query, id, similarity): for each query (query, qv), the k most similar others; then trivial ones count half, then the threshold applies. Queries are few and broadcast."""
     pairs = vectors.crossJoin(F.broadcast(queries)).where("id <> query")
-    s = pairs.select("query", "id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("vector"), F.col("qv")))).alias("similarity"), (trivial if trivial is not None else F.lit(False)).alias("trivial"))
+    s = pairs.select("query", "id", clipped(cosine(F.col("vector"), F.col("qv"))).alias("similarity"), (trivial if trivial is not None else F.lit(False)).alias("trivial"))
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
     top = s.where("similarity IS NOT NULL").withColumn("p", F.row_number().over(w)).where(F.col("p") <= k).drop("p")
     score = F.when(F.col("trivial"), F.col("similarity") * 0.5).otherwise(F.col("similarity"))

@@ -431,7 +431,7 @@ def vs10_squared_norm(spark, sf_dir):
 def vs5_fused_scores(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     q = v.orderBy("id").limit(1).select(F.col("id").alias("query"), F.col("vector").alias("qv"))
-    sim = v.crossJoin(F.broadcast(q)).where("id <> query").select("id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), vectors.cosine(F.col("vector"), F.col("qv")))).alias("similarity"))
+    sim = v.crossJoin(F.broadcast(q)).where("id <> query").select("id", vectors.clipped(vectors.cosine(F.col("vector"), F.col("qv"))).alias("similarity"))
     r = traverse.descendants(_part_graph(spark, sf_dir)[1], _seed(spark, sf_dir), 2)
     return r.join(sim, "id").select("id", "depth", fixed(vectors.fused_score(F.col("similarity"), F.col("depth")), 4).alias("score"))
 
