@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import BROADCAST_IDS, by_ids, written
+from graphloom.session import by_ids, written
 
 from . import textkit as K
 
@@ -315,18 +315,51 @@ def candidates(keys: DataFrame) -> DataFrame:
 # -- verification ----------------------------------------------------------------------------------------------------
 
 
-def packed_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, grams): the sorted gram hashes as bytes."""
+def sketch(t: np.ndarray) -> np.ndarray:
+    """How many grams of a set fall into each of a power of two of ranges of the hash, about 3 in each; 255 stands for more."""
+    k = min(16, max(4, int(len(t) // 3).bit_length()))
+    return np.minimum(np.bincount((t >> U64(64 - k)).astype(np.int64), minlength=1 << k), 255).astype(np.uint8)
+
+
+def most_shared(a: np.ndarray, b: np.ndarray) -> int:
+    """At least as many grams as two sets with these sketches share."""
+    if len(a) < len(b):
+        a, b = b, a
+    full = 255 in a or 255 in b
+    a = a.reshape(len(b), -1).sum(1, dtype=np.int64)
+    return 1 << 60 if full else int(np.minimum(a, b).sum())
+
+
+def _packed(docs: DataFrame, n: int, sketched: bool) -> DataFrame:
+    """(doc_id, size, grams): the sorted gram hashes as bytes, or their sketch."""
 
     def run(batches):
         for b in batches:
-            ids, sets = [], []
+            ids, sizes, sets = [], [], []
             for d, t in _each(b, n):
                 ids.append(d)
-                sets.append(t.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "grams"])
+                sizes.append(len(t))
+                sets.append((sketch(t) if sketched else t).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "size", "grams"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, size long, grams binary")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, grams binary")
+
+def _siever(d: float):
+    """Drops the pairs whose sketches rule out a similarity of d."""
+
+    def sieve(sets: pa.Table, pairs: pa.Table) -> pa.Table:
+        place = {i: k for k, i in enumerate(sets["doc_id"].to_pylist())}
+        held = [np.frombuffer(x.as_buffer(), np.uint8) for x in sets["grams"]]
+        size = sets["size"].to_pylist()
+        keep = []
+        for a, b in zip(pairs["doc_a"].to_pylist(), pairs["doc_b"].to_pylist()):
+            a, b = place[a], place[b]
+            need = d / (1 + d) * (size[a] + size[b]) - 1e-9
+            keep.append(min(size[a], size[b]) >= need and most_shared(held[a], held[b]) >= need)
+        return pairs.select(["doc_a", "doc_b"]).filter(pa.array(keep, pa.bool_()))
+
+    return sieve
 
 
 def _verifier(d: float):
@@ -360,19 +393,25 @@ def _verifier(d: float):
     return verify
 
 
-def verified(docs: DataFrame, pairs: DataFrame, n: int, d: float) -> DataFrame:
-    """(doc_a, doc_b, jaccard) of all candidate pairs with a similarity of d or more, doc_a < doc_b.
-
-    Pairs are verified in parts, named after the least document that doc_a is paired with, so that the sets of a group of copies travel a few times, not once a pair.
-    """
+def _in_parts(docs: DataFrame, pairs: DataFrame, n: int, sketched: bool, judge, schema: str, name: str) -> DataFrame:
+    """Pairs judged in parts, named after the least document that doc_a is paired with, so that the sets of a group of copies travel a few times, not once a pair."""
     ends = pairs.select(F.explode(F.array(F.struct(F.col("doc_a").alias("x"), F.col("doc_b").alias("y")), F.struct(F.col("doc_b").alias("x"), F.col("doc_a").alias("y")))).alias("e"))
     least = ends.groupBy("e.x").agg(F.least(F.min("e.y"), F.col("x")).alias("part")).select(F.col("x").alias("doc_a"), "part")
     parts = written(pairs.join(least, "doc_a").select("part", "doc_a", "doc_b"), "parts")
     need = parts.select(F.col("part").alias("of"), F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct()
     ids = written(need.select("doc_id").distinct(), "candidate-ids")
-    sets = packed_sets(by_ids(docs, ids, "doc_id", "left_semi"), n)
-    there = need.join(sets.dropDuplicates(["doc_id"]).hint("shuffle_hash"), "doc_id").select("of", "doc_id", "grams")
-    return there.groupBy("of").cogroup(parts.groupBy("part")).applyInArrow(_verifier(d), "doc_a long, doc_b long, jaccard double")
+    sets = _packed(by_ids(docs, ids, "doc_id", "left_semi"), n, sketched)
+    there = need.join(sets.dropDuplicates(["doc_id"]).hint("shuffle_hash"), "doc_id").select("of", "doc_id", "size", "grams")
+    return written(there.groupBy("of").cogroup(parts.groupBy("part")).applyInArrow(judge, schema), name)
+
+
+def verified(docs: DataFrame, pairs: DataFrame, n: int, d: float) -> DataFrame:
+    """(doc_a, doc_b, jaccard) of all candidate pairs with a similarity of d or more, doc_a < doc_b.
+
+    Sketches of the sets, which are far smaller, first drop the pairs that they rule out for certain.
+    """
+    left = _in_parts(docs, pairs, n, True, _siever(d), "doc_a long, doc_b long", "sieved")
+    return _in_parts(docs, left, n, False, _verifier(d), "doc_a long, doc_b long, jaccard double", "pairs")
 
 
 class Joined:
@@ -395,7 +434,7 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> Joined:
     p = plan(own, reps, n, threshold)
     buckets = max(1, math.ceil(grams * 6 / BUCKET_BYTES))
     pairs = written(candidates(indexed(own, p, n, buckets)), "candidates")
-    return Joined(sets, written(verified(own, pairs, n, threshold), "pairs"))
+    return Joined(sets, verified(own, pairs, n, threshold))
 
 
 def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -450,4 +489,4 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataF
     return by_ids(docs, gone, "doc_id", "left_anti")
 
 
-__all__ = ["BROADCAST_IDS", "components", "join", "keep_one", "near_duplicates"]
+__all__ = ["components", "join", "keep_one", "near_duplicates"]
