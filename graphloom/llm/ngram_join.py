@@ -32,7 +32,7 @@ from . import textkit as K
 N = 2
 THRESHOLD = 0.7
 #: Bytes of text for each bucket of keys: bounds what one task of the candidate search holds.
-BUCKET_BYTES = 5_000_000
+BUCKET_BYTES = 12_000_000
 #: Sampled documents for the frequencies of grams, and sampled sets of a space for its cost model.
 SAMPLE, MODELLED = 6000, 60
 #: Keys that two similar sets share at least, except in spaces where the cost model settles for one.
@@ -236,9 +236,7 @@ def indexed(docs: DataFrame, p: Plan, n: int, buckets: int) -> DataFrame:
             base = int(doc.min())
             off = (doc - base).astype(np.uint32 if int(doc.max()) - base < 2**32 else np.int64)
             at = np.concatenate((np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), [len(bucket)]))
-            width = off.itemsize
-            kb, ob = key.tobytes(), off.tobytes()
-            # low bytes last changed: split bytes so that the shuffle's compression sees the zeros of small offsets
+            kb = key.tobytes()
             for lo in range(0, len(at) - 1, 4096):
                 part = range(lo, min(lo + 4096, len(at) - 1))
                 yield pa.RecordBatch.from_arrays(
@@ -246,7 +244,7 @@ def indexed(docs: DataFrame, p: Plan, n: int, buckets: int) -> DataFrame:
                         pa.array([int(bucket[at[i]]) for i in part], pa.int64()),
                         pa.array([base] * len(part), pa.int64()),
                         pa.array([kb[4 * at[i] : 4 * at[i + 1]] for i in part], pa.binary()),
-                        pa.array([np.ascontiguousarray(np.frombuffer(ob[width * at[i] : width * at[i + 1]], np.uint8).reshape(-1, width).T).tobytes() for i in part], pa.binary()),
+                        pa.array([_planes(off[at[i] : at[i + 1]]) for i in part], pa.binary()),
                     ],
                     names=["bucket", "base", "keys", "ids"],
                 )
@@ -269,17 +267,61 @@ def indexed(docs: DataFrame, p: Plan, n: int, buckets: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "bucket long, base long, keys binary, ids binary")
 
 
-def _bucket_pairs(table: pa.Table) -> pa.Table:
-    """(doc_a, doc_b, shared): how many keys of this bucket two documents share; one counts as Q where q is 1."""
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of integers, first all lowest ones, then the next: the zeros of small numbers come together, which the shuffle's compression sees."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _unplaned(raw: pa.Scalar, n: int) -> np.ndarray:
+    """The integers of ``_planes``, of 4 or 8 bytes."""
+    b = np.frombuffer(raw.as_buffer(), np.uint8).reshape(-1, n)
+    return np.ascontiguousarray(b.T).view(np.uint32 if len(b) == 4 else np.int64).ravel()
+
+
+def _pairer(parts: int):
+    """Pairs of documents that share keys of a bucket, packed for each of the parts that pairs are counted in."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        a, b, n = _bucket_pairs(table)
+        part = (K.mix(a.astype(U64) * U64(0x9E3779B97F4A7C15) + b.astype(U64)) % U64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")  # a and b stay in order within a part
+        part, a, b, n = part[order], a[order], b[order], n[order]
+        cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, np.int64)
+        out: dict[str, list] = {k: [] for k in ("part", "base", "many", "a", "b", "n")}
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            x, y = a[i:j], b[i:j]
+            base = int(x[0])
+            kind = np.uint32 if int(y.max()) - base < 2**32 else np.int64
+            for k, v in zip(out, (int(part[i]), base, int(j - i), _planes(np.diff(x, prepend=base).astype(kind)), _planes((y - base).astype(kind)), n[i:j].astype(np.uint8).tobytes())):
+                out[k].append(v)
+        return pa.table({k: pa.array(v, pa.int64() if k in ("part", "base", "many") else pa.binary()) for k, v in out.items()})
+
+    return pack
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """(doc_a, doc_b) that share Q keys or more over all buckets."""
+    aa, bb, nn = [], [], []
+    for base, many, a, b, n in zip(table["base"].to_pylist(), table["many"].to_pylist(), table["a"], table["b"], table["n"]):
+        aa.append(np.cumsum(_unplaned(a, many), dtype=np.int64) + base)
+        bb.append(_unplaned(b, many).astype(np.int64) + base)
+        nn.append(np.frombuffer(n.as_buffer(), np.uint8))
+    a, b, n = np.concatenate(aa), np.concatenate(bb), np.concatenate(nn)
+    order = np.lexsort((b, a))
+    a, b, n = a[order], b[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    ok = np.add.reduceat(n, first, dtype=np.int64) >= Q
+    return pa.table({"doc_a": pa.array(a[first[ok]], pa.int64()), "doc_b": pa.array(b[first[ok]], pa.int64())})
+
+
+def _bucket_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, shared) in order: how many keys of this bucket two documents share, Q standing for more; one counts as Q where q is 1."""
     weight = Q if table["bucket"][0].as_py() % 2 else 1
     ks, ds = [], []
     for base, k, o in zip(table["base"].to_pylist(), table["keys"], table["ids"]):
         key = np.frombuffer(k.as_buffer(), np.uint32)
-        raw = np.frombuffer(o.as_buffer(), np.uint8)
-        width = len(raw) // max(len(key), 1)
-        off = np.ascontiguousarray(raw.reshape(width, -1).T).view(np.uint32 if width == 4 else np.int64).ravel()
         ks.append(key)
-        ds.append(off.astype(np.int64) + base)
+        ds.append(_unplaned(o, len(key)).astype(np.int64) + base)
     key, doc = np.concatenate(ks), np.concatenate(ds)
     order = np.argsort(key, kind="stable")
     key = key[order]
@@ -303,13 +345,13 @@ def _bucket_pairs(table: pa.Table) -> pa.Table:
     n = np.diff(np.concatenate((first, [len(a)]))) if len(a) else first
     a, b = a[first], b[first]
     ok = a != b
-    return pa.table({"doc_a": pa.array(a[ok], pa.int64()), "doc_b": pa.array(b[ok], pa.int64()), "shared": pa.array(n[ok].astype(np.int64) * weight)})
+    return a[ok], b[ok], np.minimum(n[ok] * weight, Q)
 
 
-def candidates(keys: DataFrame) -> DataFrame:
+def candidates(keys: DataFrame, parts: int) -> DataFrame:
     """(doc_a, doc_b) of documents that share as many keys as similar ones must."""
-    pairs = keys.groupBy("bucket").applyInArrow(_bucket_pairs, "doc_a long, doc_b long, shared long")
-    return pairs.groupBy("doc_a", "doc_b").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= Q).select("doc_a", "doc_b")
+    pairs = keys.groupBy("bucket").applyInArrow(_pairer(parts), "part long, base long, many long, a binary, b binary, n binary")
+    return pairs.groupBy("part").applyInArrow(_counted, "doc_a long, doc_b long")
 
 
 # -- verification ----------------------------------------------------------------------------------------------------
@@ -433,7 +475,7 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> Joined:
     own = by_ids(docs, copies, "doc_id", "left_anti", extra)
     p = plan(own, reps, n, threshold)
     buckets = max(1, math.ceil(grams * 6 / BUCKET_BYTES))
-    pairs = written(candidates(indexed(own, p, n, buckets)), "candidates")
+    pairs = written(candidates(indexed(own, p, n, buckets), buckets), "candidates")
     return Joined(sets, verified(own, pairs, n, threshold))
 
 
