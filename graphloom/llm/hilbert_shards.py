@@ -84,8 +84,9 @@ def placed(docs: DataFrame, bits: int = BITS) -> DataFrame:
     top = (1 << bits) - 1
     plain = docs.drop("curve", "shard")
     for name in ("lang", "source"):
-        cells = _numbered(docs, name, bits).select(F.col("value").alias(f"__v_{name}"), F.col("cell").alias(f"__c_{name}"))
-        plain = plain.join(cells, F.col(name) == F.col(f"__v_{name}"), "left").drop(f"__v_{name}")
+        cells = written(_numbered(docs, name, bits).select(F.col("value").alias(f"__v_{name}"), F.col("cell").alias(f"__c_{name}")), "cells")
+        # a join by shuffle would put a hot value's rows into one task; that many values have none that hot
+        plain = plain.join(F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells, F.col(name) == F.col(f"__v_{name}"), "left").drop(f"__v_{name}")
     chars = F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0))
     length = F.when(chars < 64, 0).otherwise(F.least(F.lit(top), F.floor(2 * (F.log2(F.greatest(chars, F.lit(64.0))) - 6) + 1e-9))).cast("int")
     dims = [F.coalesce(F.col("__c_lang"), F.lit(0)), F.coalesce(F.col("__c_source"), F.lit(0)), length]
@@ -107,9 +108,10 @@ def shard(docs: DataFrame, bits: int = BITS, run: int = RUN_CHARS) -> DataFrame:
     weight = F.coalesce(F.col("n_chars"), F.lit(0)) + ROW_CHARS
     plan = written(runs(rows.select("curve", "n_chars"), weight, run), "runs")
     got = plan.agg(F.count("*"), F.max(F.col("first") + F.col("pieces"))).first()
+    plan = plan.toDF("curve", "__first", "__pieces")
     out = rows.join(F.broadcast(plan) if got[0] <= BROADCAST_CELLS else plan, "curve")
-    key = F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.col("pieces")), F.lit(0))
-    out = out.withColumn("shard", F.col("first") + key).drop("first", "pieces")
+    key = F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.col("__pieces")), F.lit(0))
+    out = out.withColumn("shard", F.col("__first") + key)
     columns = [c for c in docs.columns if c not in ("curve", "shard")]
     out = out.select(*[F.col(f"`{c}`") for c in columns], "curve", "shard")
     return out.repartitionByRange(max(1, int(got[1] or 1)), "shard").sortWithinPartitions("shard", "curve", "doc_id")
