@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
-from graphloom.operators import build, cochange, components, evidence, rank, rollup, snapshots, traverse, vectors
+from graphloom.operators import build, cochange, components, evidence, rank, reports, rollup, snapshots, traverse, vectors
 from graphloom.session import fixed
 from graphloom.sources import adapters as A
 
@@ -470,3 +470,84 @@ def f18_estimated_tokens(spark, sf_dir):
 def so3_difference(spark, sf_dir):
     c, s = _t(spark, sf_dir, "customer", "supplier")
     return c.select(F.col("c_nationkey").alias("key")).subtract(s.select(F.col("s_nationkey").alias("key")))
+
+
+@query("SELECT DISTINCT c_nationkey AS key FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def so4_intersection(spark, sf_dir):
+    c, s = _t(spark, sf_dir, "customer", "supplier")
+    return c.select(F.col("c_nationkey").alias("key")).intersect(s.select(F.col("s_nationkey").alias("key")))
+
+
+@query(
+    "WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), s AS (SELECT list_sort(list(n)) AS l FROM c) SELECT user_id AS id, n FROM c, s WHERE n > l[least(CAST(floor(len(l) * 95 / 100) AS INT), len(l) - 1) + 1]"
+)
+def w7_percentile_outliers(spark, sf_dir):
+    n = _t(spark, sf_dir, "events").groupBy(F.col("user_id").alias("value")).agg(F.count("*").alias("references"))
+    marked = evidence.filter_reasons(n.withColumn("id", F.col("value")).withColumn("value", F.lit("some value")))
+    return marked.where("reason = 'outlier'").select("id", F.col("references").alias("n"))
+
+
+@query("SELECT vec_id AS id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS place FROM embeddings")
+def w10_ordinals(spark, sf_dir):
+    return _vectors(spark, sf_dir).select("id", (F.row_number().over(Window.partitionBy("label").orderBy("id")) - 1).alias("place"))
+
+
+@query(
+    "WITH m AS (SELECT min(event_type) AS mark FROM events), x AS (SELECT user_id, event_id, event_type, sum(CASE WHEN event_type = mark THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run, mark FROM events, m) SELECT user_id AS id, CAST(run AS BIGINT) AS run, count(*) AS n FROM x WHERE event_type <> mark GROUP BY 1, 2"
+)
+def w11_runs_between_marks(spark, sf_dir):
+    ev = _t(spark, sf_dir, "events")
+    ev = ev.crossJoin(F.broadcast(ev.agg(F.min("event_type").alias("mark"))))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = ev.withColumn("run", F.sum((F.col("event_type") == F.col("mark")).cast("int")).over(w))
+    return x.where("event_type <> mark").groupBy(F.col("user_id").alias("id"), "run").agg(F.count("*").alias("n"))
+
+
+@query(
+    "WITH last AS (SELECT n_regionkey || '' AS name, max_by(n_nationkey, n_nationkey) AS id FROM nation GROUP BY 1) SELECT c_custkey AS src, coalesce(CAST(last.id AS VARCHAR), CAST(c_nationkey AS VARCHAR)) AS dst, last.id IS NOT NULL AS resolved FROM customer LEFT JOIN last ON CAST(c_nationkey AS VARCHAR) = last.name"
+)
+def j2_resolve_names(spark, sf_dir):
+    c, n = _t(spark, sf_dir, "customer", "nation")
+    nodes = n.select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_regionkey").cast("string").alias("name"), F.col("n_nationkey").alias("ord"))
+    e = c.select(F.col("c_custkey").alias("src"), F.col("c_nationkey").cast("string").alias("dst"), F.lit(False).alias("resolved"))
+    return build.resolve_names(e, nodes)
+
+
+@query(f"WITH {A.STRINGS}, v AS (SELECT DISTINCT value FROM s) SELECT length(value) < 2 OR trim(value) = '' OR lower(value) IN ('true','false','none','null','self','utf-8','id','name','type','data','value','key','get','post','put','delete') AS noise, count(*) AS n FROM v GROUP BY 1")
+def fp11_noise(spark, sf_dir):
+    v = A.page_strings(_t(spark, sf_dir, "pages")).select("value").distinct()
+    return v.groupBy(evidence.is_noise(F.col("value")).alias("noise")).agg(F.count("*").alias("n"))
+
+
+@query("WITH n AS (SELECT lang AS language, count(*) AS files FROM documents WHERE lang IS NOT NULL GROUP BY 1) SELECT language, files, language = (SELECT language FROM n ORDER BY files DESC, language LIMIT 1) AS primary FROM n")
+def ag29_language_histogram(spark, sf_dir):
+    return reports.language_histogram(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.col("lang").alias("language")))
+
+
+@query(
+    f"WITH {A.NATION_EDGES}, nf AS (SELECT n_nationkey AS id, n_regionkey AS f FROM nation), a AS (SELECT count(*) AS dead_code FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)), b AS (SELECT count(*) AS duplicates FROM (SELECT text FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1)), c AS (SELECT count(*) AS cycles FROM e x JOIN e y ON x.dst = y.src AND y.dst = x.src JOIN nf p ON p.id = x.src JOIN nf q ON q.id = x.dst WHERE x.src < x.dst AND p.f <> q.f), h AS (SELECT dead_code, duplicates, cycles, CAST(0 AS BIGINT) AS stale_docs, dead_code + 2 * duplicates + 3 * cycles AS score FROM a, b, c) SELECT *, CASE WHEN score = 0 THEN 'excellent' WHEN score < 5 THEN 'good' WHEN score < 15 THEN 'fair' ELSE 'needs_attention' END AS status FROM h"
+)
+def ag35_health(spark, sf_dir):
+    return reports.health(dead_code=ag15_dead_code(spark, sf_dir), duplicates=ag19_exact_duplicates(spark, sf_dir), cycles=gr12_cross_file_cycles(spark, sf_dir))
+
+
+@query(f"WITH {A.NATION_EDGES}, nf AS (SELECT n_nationkey AS id, CAST(n_regionkey AS VARCHAR) AS file FROM nation), {_NATION_SEEDS}, {_bfs(2)} SELECT file, list_sort(list(DISTINCT id)) AS ids FROM r JOIN nf USING (id) GROUP BY file")
+def ag23_group_by_file(spark, sf_dir):
+    e, n = A.nation_edges(spark, sf_dir), A.nation_nodes(_t(spark, sf_dir, "nation"))
+    found = traverse.descendants(e, e.select(F.col("src").alias("id")), 2).join(n.select("id", "file"), "id")
+    return traverse.group_by_file(found)
+
+
+@query(f"WITH {A.PART_EDGES}, {SEED}, {_bfs(1, both=True)}, q AS (SELECT * FROM embeddings ORDER BY vec_id LIMIT 1), s AS (SELECT v.vec_id AS id, greatest(0, least(1, {_D.format('v.embedding', 'q.embedding')})) AS sim FROM embeddings v, q WHERE v.vec_id <> q.vec_id) SELECT id, floor(sim * 1e4 + 0.5) / 1e4 AS similarity FROM s WHERE sim >= 0.2 AND id NOT IN (SELECT id FROM r) ORDER BY sim DESC, id LIMIT 5")
+def vs4_related_unconnected(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    q = v.orderBy("id").limit(1).select(F.col("id").alias("query"), F.col("vector").alias("qv"))
+    sim = v.crossJoin(F.broadcast(q)).where("id <> query").select("id", vectors.clipped(vectors.cosine(F.col("vector"), F.col("qv"))).alias("similarity"))
+    r = traverse.reached(_part_graph(spark, sf_dir)[1], _seed(spark, sf_dir), 1, "both")
+    return vectors.related_unconnected(sim, r, 0.2).select("id", fixed(F.col("similarity"), 4).alias("similarity"))
+
+
+@query()
+def gr16_community_report(spark, sf_dir):
+    n, e = _part_graph(spark, sf_dir)
+    return reports.community_report(n, e, components.communities(e), rank.pagerank(e, rounds=10))
