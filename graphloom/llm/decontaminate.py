@@ -217,18 +217,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The documents that match no item, with their columns as they are."""
     columns = docs.columns
-    out = docs.select("text", *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)])
-    schema = out.schema
+    out = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)])
+    schema, text = out.schema, columns.index("text")
     for index in indexes(benchmark, similarity, radius):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, sent=sent):
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
-                for c in K.chunks(b.column(0)):
+                for c in K.chunks(b.column(text)):
                     for row in sent.value.search(c):
                         keep[row[0]] = False
                 yield b.filter(pa.array(keep))
 
         out = out.mapInArrow(run, schema)
-    return out.drop("text").toDF(*columns)
+    return out.toDF(*columns)

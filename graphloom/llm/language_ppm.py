@@ -196,22 +196,24 @@ def scored(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     """The carried columns, then lang_id, bits_per_byte, margin_bits and accepted, of every row."""
     names = [f"c{k}" for k in range(len(carry))]
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    # the text travels once, among the carried columns if it is one of them
+    at = carry.index("text") if "text" in carry else len(carry)
 
     def run(batches):
         m = sent.value
         names_of = np.array([*m.langs, None], object)
         for b in batches:
-            parts = [m.judge(c) for c in K.chunks(b.column(0))]
+            parts = [m.judge(c) for c in K.chunks(b.column(at))]
             best, rate, margin, ok = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, int), np.empty(0), np.empty(0), np.empty(0, bool))
             none = best < 0
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[1:], pa.array(names_of[best], pa.string()), pa.array(rate, pa.float64(), mask=none), pa.array(margin, pa.float64(), mask=none), pa.array(ok)],
+                [*b.columns[: len(carry)], pa.array(names_of[best], pa.string()), pa.array(rate, pa.float64(), mask=none), pa.array(margin, pa.float64(), mask=none), pa.array(ok)],
                 names=[*names, "lang_id", "bits_per_byte", "margin_bits", "accepted"],
             )
 
-    d = docs.select("text", *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)])
+    d = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)], *(["text"] if at == len(carry) else []))
     more = [("lang_id", T.StringType()), ("bits_per_byte", T.DoubleType()), ("margin_bits", T.DoubleType()), ("accepted", T.BooleanType())]
-    schema = T.StructType([*d.schema.fields[1:], *[T.StructField(n, t) for n, t in more]])
+    schema = T.StructType([*d.schema.fields[: len(carry)], *[T.StructField(n, t) for n, t in more]])
     return d.mapInArrow(run, schema).toDF(*carry, *[n for n, _ in more])
 
 

@@ -198,14 +198,17 @@ def scored(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     """The carried columns, ``anomaly`` and ``keep`` of every row."""
     names = [f"c{k}" for k in range(len(carry))]
 
+    # the text travels once, among the carried columns if it is one of them
+    at = carry.index("text") if "text" in carry else len(carry)
+
     def run(batches):
         for b in batches:
-            x = [statistics(c) for c in K.chunks(b.column(0))]
+            x = [statistics(c) for c in K.chunks(b.column(at))]
             s, keep = model.judge(np.concatenate(x) if x else np.empty((0, len(NAMES))))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s), pa.array(keep)], names=[*names, "anomaly", "keep"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(carry)], pa.array(s), pa.array(keep)], names=[*names, "anomaly", "keep"])
 
-    d = docs.select("text", *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)])
-    schema = T.StructType([*d.schema.fields[1:], T.StructField("anomaly", T.DoubleType()), T.StructField("keep", T.BooleanType())])
+    d = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)], *(["text"] if at == len(carry) else []))
+    schema = T.StructType([*d.schema.fields[: len(carry)], T.StructField("anomaly", T.DoubleType()), T.StructField("keep", T.BooleanType())])
     return d.mapInArrow(run, schema).toDF(*carry, "anomaly", "keep")
 
 
