@@ -234,6 +234,13 @@ def gr12_cross_file_cycles(spark, sf_dir):
     return components.simple_cycles(A.nation_edges(spark, sf_dir), 2, A.nation_nodes(_t(spark, sf_dir, "nation")))
 
 
+@query(f"WITH {A.PART_EDGES}, nf AS (SELECT p_partkey AS id, p_brand AS f FROM part), c AS (SELECT [a.src, a.dst] AS cycle, 2 AS length FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst UNION ALL SELECT [a.src, a.dst, b.dst], 3 FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND b.dst <> a.dst), u AS (SELECT cycle, length, unnest(cycle) AS id FROM c) SELECT cycle, length FROM u LEFT JOIN nf USING (id) GROUP BY cycle, length HAVING count(DISTINCT f) > 1")
+def gr12_cross_file_cycles_parts(spark, sf_dir):
+    """Cross-file cycles of parts up to the operator's default length; gr12_cross_file_cycles has only the two-cycles of nations, as its SQL does."""
+    n, e = _part_graph(spark, sf_dir)
+    return components.simple_cycles(e, files=n)
+
+
 @query()
 def gr15_communities(spark, sf_dir):
     return components.communities(_part_graph(spark, sf_dir)[1])
@@ -531,6 +538,12 @@ def ag35_health(spark, sf_dir):
     return reports.health(dead_code=ag15_dead_code(spark, sf_dir), duplicates=ag19_exact_duplicates(spark, sf_dir), cycles=gr12_cross_file_cycles(spark, sf_dir))
 
 
+@query()
+def ag35_health_parts(spark, sf_dir):
+    """The health score on all cycles of gr12_cross_file_cycles_parts."""
+    return reports.health(dead_code=ag15_dead_code(spark, sf_dir), duplicates=ag19_exact_duplicates(spark, sf_dir), cycles=gr12_cross_file_cycles_parts(spark, sf_dir))
+
+
 @query(f"WITH {A.NATION_EDGES}, nf AS (SELECT n_nationkey AS id, CAST(n_regionkey AS VARCHAR) AS file FROM nation), {_NATION_SEEDS}, {_bfs(2)} SELECT file, list_sort(list(DISTINCT id)) AS ids FROM r JOIN nf USING (id) GROUP BY file")
 def ag23_group_by_file(spark, sf_dir):
     e, n = A.nation_edges(spark, sf_dir), A.nation_nodes(_t(spark, sf_dir, "nation"))
