@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.session import written
+from graphloom.operators import rank
+from graphloom.session import BROADCAST_IDS, written
+
+#: Seeds that are searched before their rows are handed on.
+SEEDS_AT_ONCE = 64
 
 
 def reached(edges: DataFrame, seeds: DataFrame, depth: int | None, direction: str = "down") -> DataFrame:
@@ -32,6 +38,54 @@ def reached(edges: DataFrame, seeds: DataFrame, depth: int | None, direction: st
     return seen.where("depth > 0")
 
 
+def reached_each(edges: DataFrame, seeds: DataFrame, depth: int | None, direction: str = "down") -> DataFrame:
+    """The rows of ``reached``, for as many seeds as there are nodes: each seed is searched on its own in a graph held as arrays in each executor.
+
+    Nothing is shuffled or written but the seeds. A graph of more than rank.BROADCAST_EDGES edges goes to ``reached``.
+    """
+    if edges.limit(rank.BROADCAST_EDGES // 2 + 1).count() > rank.BROADCAST_EDGES // 2:
+        return reached(edges, seeds, depth, direction)
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    ids, ptr, to = rank._csr(back if direction == "up" else edges.select("src", "dst") if direction == "down" else edges.select("src", "dst").unionByName(back))
+    sent = edges.sparkSession.sparkContext.broadcast((ids, ptr, to))
+
+    def run(batches):
+        ids, ptr, to = sent.value
+        seen = np.zeros(len(ids), bool)
+        for b in batches:
+            column = b.column(0)
+            at = np.searchsorted(ids, values := np.array(column.to_pylist(), ids.dtype)) if len(ids) else np.zeros(len(column), int)
+            for lo in range(0, len(column), SEEDS_AT_ONCE):
+                who, found, far = [], [], []
+                for k in range(lo, min(lo + SEEDS_AT_ONCE, len(column))):
+                    if at[k] == len(ids) or ids[at[k]] != values[k]:
+                        continue
+                    front, all_of, d = at[k : k + 1], [at[k : k + 1]], 0
+                    seen[front] = True
+                    while len(front) and (depth is None or d < depth):
+                        d += 1
+                        many = ptr[front + 1] - ptr[front]
+                        next_ = to[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(ptr[front], many)]
+                        front = np.unique(next_[~seen[next_]])
+                        seen[front] = True
+                        all_of.append(front)
+                        who.append(np.full(len(front), k))
+                        found.append(front)
+                        far.append(np.full(len(front), d, np.int32))
+                    seen[np.concatenate(all_of)] = False
+                if who:
+                    yield pa.RecordBatch.from_arrays([column.take(pa.array(np.concatenate(who))), pa.array(ids[np.concatenate(found)], column.type), pa.array(np.concatenate(far), pa.int32())], names=["seed", "id", "depth"])
+
+    kind = edges.schema["src"].dataType.simpleString()
+    s = seeds.select(F.col("id").cast(kind).alias("id")).where("id IS NOT NULL").distinct()
+    return s.repartition(edges.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, f"seed {kind}, id {kind}, depth int")
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """A table by id, broadcast while it has at most BROADCAST_IDS rows."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def descendants(edges: DataFrame, seeds: DataFrame, depth: int | None = 3) -> DataFrame:
     return reached(edges, seeds, depth, "down")
 
@@ -73,10 +127,10 @@ def depth_summary(reach: DataFrame) -> DataFrame:
     return reach.groupBy("direction", "depth").agg(F.count("*").alias("n"))
 
 
-def impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3, exclude_same_file: bool = True, exclude_external: bool = True) -> DataFrame:
-    """(direction, seed, id, depth, file): what a change of the seeds reaches upstream and downstream."""
-    up, down = (reached(edges, seeds, depth, d).withColumn("direction", F.lit(n)) for d, n in (("up", "upstream"), ("down", "downstream")))
-    files = nodes.select("id", F.col("file").cast("string").alias("file"))
+def impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3, exclude_same_file: bool = True, exclude_external: bool = True, search=reached) -> DataFrame:
+    """(direction, seed, id, depth, file): what a change of the seeds reaches upstream and downstream. ``search``: reached, or reached_each for many seeds."""
+    up, down = (search(edges, seeds, depth, d).withColumn("direction", F.lit(n)) for d, n in (("up", "upstream"), ("down", "downstream")))
+    files = _small(nodes.select("id", F.col("file").cast("string").alias("file")))
     out = up.unionByName(down).join(files, "id", "left")
     if exclude_external:
         out = out.where(F.coalesce("file", F.lit("")) != "")
@@ -97,9 +151,9 @@ def group_by_file(found: DataFrame) -> DataFrame:
     return found.groupBy("file").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
-def breaking_changes(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
-    """(symbol, direct_files, indirect_files): files one step upstream of each symbol, and further; a file may be in both."""
-    up = reached(edges, seeds, depth, "up").join(nodes.select("id", F.col("file").cast("string").alias("file")), "id").where(F.coalesce("file", F.lit("")) != "")
+def breaking_changes(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3, search=reached) -> DataFrame:
+    """(symbol, direct_files, indirect_files): files one step upstream of each symbol, and further; a file may be in both. ``search``: as in impact."""
+    up = search(edges, seeds, depth, "up").join(_small(nodes.select("id", F.col("file").cast("string").alias("file"))), "id").where(F.coalesce("file", F.lit("")) != "")
     files = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("file"))))
     return up.groupBy(F.col("seed").alias("symbol")).agg(files(F.col("depth") == 1).alias("direct_files"), files(F.col("depth") > 1).alias("indirect_files"))
 

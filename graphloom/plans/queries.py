@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.operators import build, cochange, components, evidence, rank, reports, rollup, snapshots, traverse, vectors
-from graphloom.session import fixed
+from graphloom.session import fixed, written
 from graphloom.sources import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,6 +246,81 @@ def gr15_communities(spark, sf_dir):
     return components.communities(_part_graph(spark, sf_dir)[1])
 
 
+# -- whole part graph: the queries above of the same names have the nation graph, or fewer rounds or steps, as their SQL does
+
+
+def _each(spark, sf_dir):
+    """Nodes and edges of the part graph, and every part with an edge as a seed."""
+    n, e = _part_graph(spark, sf_dir)
+    e = written(e, "part-edges")
+    return n, e, e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+
+
+@query(f"WITH {A.PART_EDGES}, n AS (SELECT p_partkey AS id FROM part WHERE coalesce(p_brand, '') <> '') SELECT src, dst FROM e WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)")
+def fp6_ranking_filter_parts(spark, sf_dir):
+    return build.ranking_filter(*_part_graph(spark, sf_dir))[1]
+
+
+@query()
+def gr1_pagerank_parts(spark, sf_dir):
+    """All 100 rounds of the operator."""
+    return rank.pagerank(_part_graph(spark, sf_dir)[1]).select("id", fixed(F.col("rank"), 9).alias("rank"))
+
+
+@query()
+def gr3_betweenness_parts(spark, sf_dir):
+    """Exact, from every part."""
+    return rank.betweenness(_part_graph(spark, sf_dir)[1]).select("id", fixed(F.col("score")).alias("score"))
+
+
+@query()
+def gr10_strong_components_parts(spark, sf_dir):
+    return components.strongly_connected(_part_graph(spark, sf_dir)[1])
+
+
+@query()
+def gr13_shortest_path_parts(spark, sf_dir):
+    e = _part_graph(spark, sf_dir)[1]
+    s, t = e.agg(F.min("src"), F.max("dst")).first()
+    return traverse.shortest_path(e, s, t)
+
+
+@query()
+def gr16_community_report_parts(spark, sf_dir):
+    """Representatives by all 100 rounds of PageRank."""
+    n, e = _part_graph(spark, sf_dir)
+    return reports.community_report(n, e, components.communities(e), rank.pagerank(e))
+
+
+@query(f"WITH {A.PART_EDGES}, {SEED}, {_bfs(2, both=True)}, k AS (SELECT id FROM r UNION SELECT id FROM seed) SELECT src, dst FROM e WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)")
+def gr17_subgraph_parts(spark, sf_dir):
+    return traverse.subgraph(_part_graph(spark, sf_dir)[1], _seed(spark, sf_dir))
+
+
+@query()
+def gr20_impact_parts(spark, sf_dir):
+    """Both directions, of every part."""
+    return traverse.impact(*_each(spark, sf_dir), search=traverse.reached_each)
+
+
+@query()
+def ag21_breaking_changes_parts(spark, sf_dir):
+    return traverse.breaking_changes(*_each(spark, sf_dir), search=traverse.reached_each)
+
+
+@query()
+def ag22_risk_parts(spark, sf_dir):
+    return traverse.risk(traverse.impact(*_each(spark, sf_dir), search=traverse.reached_each))
+
+
+@query()
+def ag23_group_by_file_parts(spark, sf_dir):
+    """What a change of each part reaches downstream, file by file."""
+    n, e, seeds = _each(spark, sf_dir)
+    found = traverse.impact(n, e, seeds, search=traverse.reached_each).where("direction = 'downstream'")
+    return found.groupBy("seed", "file").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+
+
 # -- roll-ups
 
 

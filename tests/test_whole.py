@@ -31,3 +31,57 @@ def test_cross_file_cycles_of_parts(spark, small):
     assert (1, 2, 3) in want and (8, 9, 10) in want and (4, 5) not in want
     got = Q.QUERIES["gr12_cross_file_cycles_parts"](spark, d).collect()
     assert sorted(tuple(r.cycle) for r in got) == sorted(want) and all(r.length == len(r.cycle) for r in got)
+
+
+def reach(edges, seed, most):
+    """{id: depth} by plain search."""
+    out, front = {seed: 0}, [seed]
+    for d in range(1, most + 1):
+        front = sorted({b for a, b in edges if a in front} - set(out))
+        out |= dict.fromkeys(front, d)
+    del out[seed]
+    return out
+
+
+def test_part_graph_queries(spark, small):
+    d, edges, file = small
+    back = {(b, a) for a, b in edges}
+    ids = sorted({x for e in edges for x in e})
+    run = lambda q: Q.QUERIES[q](spark, d).collect()
+    impact = set()
+    for name, e in (("upstream", back), ("downstream", edges)):
+        for s in ids:
+            impact |= {(name, s, i, k, file[i]) for i, k in reach(e, s, 3).items() if file.get(i) and file[i] != file.get(s)}
+    assert {tuple(r) for r in run("gr20_impact_parts")} == impact and len(run("gr20_impact_parts")) == len(impact)
+    risk = {s: (sum(x[0] == "upstream" and x[3] == 1 for x in own), sum(x[0] == "upstream" and x[3] > 1 for x in own), len({x[4] for x in own})) for s in ids if (own := [x for x in impact if x[1] == s])}
+    assert {r.seed: (r.direct, r.indirect, r.files) for r in run("ag22_risk_parts")} == risk
+    down = [x for x in impact if x[0] == "downstream"]
+    assert {(r.seed, r.file, tuple(r.ids)) for r in run("ag23_group_by_file_parts")} == {(s, f, tuple(sorted(x[2] for x in down if x[1] == s and x[4] == f))) for _, s, _, _, f in down}
+    ups = {s: {i: k for i, k in reach(back, s, 3).items() if file.get(i)} for s in ids}
+    breaking = {s: tuple(sorted({file[i] for i, k in up.items() if (k == 1) == one}) for one in (True, False)) for s, up in ups.items() if up}
+    assert {r.symbol: (r.direct_files, r.indirect_files) for r in run("ag21_breaking_changes_parts")} == breaking
+    far = {s: reach(edges, s, 99) for s in ids}
+    strong = {i: sorted([i, *(x for x in far[i] if i in far[x])]) for i in ids}
+    assert {r.id: r.component for r in run("gr10_strong_components_parts")} == {i: c[0] for i, c in strong.items() if len(c) > 1}
+    paths = {}
+    for s in ids:
+        grown = [(s,)]
+        while grown:
+            grown = [(*p, b) for p in grown for a, b in sorted(edges) if a == p[-1] and far[s].get(b) == len(p)]
+            for p in grown:
+                paths.setdefault((s, p[-1]), []).append(p)
+    assert [r.path for r in run("gr13_shortest_path_parts")] == [list(min(paths[1, 13]))]
+    n = len(ids)
+    between = {i: sum(sum(i in p[1:-1] for p in ps) / len(ps) for ps in paths.values()) / ((n - 1) * (n - 2)) for i in ids}
+    assert {r.id: r.score for r in run("gr3_betweenness_parts")} == pytest.approx(between, abs=2e-6)
+    assert {tuple(r) for r in run("fp6_ranking_filter_parts")} == {e for e in edges if file.get(e[0]) and file.get(e[1])}
+    near = {12, *reach(edges | back, 12, 2)}
+    assert {tuple(r) for r in run("gr17_subgraph_parts")} == {e for e in edges if set(e) <= near} != edges
+    rank = dict.fromkeys(ids, 1 / n)
+    outs = {i: [b for a, b in edges if a == i] for i in ids}
+    for _ in range(100):
+        lost = sum(rank[i] for i in ids if not outs[i]) / n
+        rank = {i: 0.15 / n + 0.85 * (lost + sum(rank[a] / len(outs[a]) for a, b in edges if b == i)) for i in ids}
+    assert {r.id: r["rank"] for r in run("gr1_pagerank_parts")} == pytest.approx(rank, abs=1e-8)
+    report = run("gr16_community_report_parts")
+    assert sum(r.nodes for r in report) == n and all(r.representative in rank for r in report)
