@@ -1,6 +1,6 @@
 """Language ID by prediction by partial matching.
 
-Each language has a tree of byte contexts up to ``ORDER`` bytes, counted on a bounded sample of its documents and then frozen. A byte is coded in the longest
+Each language has a tree of byte contexts up to ``ORDER`` bytes, counted on a bounded sample of its distinct texts and then frozen. A byte is coded in the longest
 context that is known, or after an escape in the next shorter one, down to a uniform code of the 256 bytes. A symbol seen c times in a
 context of t symbols of which d differ has probability c / (t + d), an escape d / (t + d). As statistics are frozen, the code length of a byte is a function of
 the bytes before it: all contexts of all languages become the states of one automaton with a table of code lengths, so that a
@@ -10,21 +10,21 @@ The language with the least code length wins. A text is accepted if it takes no
 short texts. Ties go to the language that is first in order.
 
 Defined results: null and empty texts have a null language and no score, and are rejected; every row gives one row, repeated rows and null ids too; languages with
-null names or fewer than ``LEAST`` sampled documents are not learnt. With no language learnt all rows are rejected.
+null names or fewer than ``LEAST`` distinct texts are not learnt. With no language learnt all rows are rejected.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
 
 ORDER = 4
-#: Sampled documents of each language that are counted (half as many again only set the acceptance limit), and the fewest that make a language.
+#: Sampled distinct texts of each language that are counted (half as many again only set the acceptance limit), and the fewest that make a language.
 SAMPLE, LEAST = 160, 3
 #: Contexts seen fewer times than this in all languages together are dropped from the trees (longer than 2 bytes).
 SEEN = 3
@@ -170,23 +170,27 @@ class Model:
         return np.where(n > 0, best, -1), least / np.maximum(n, 1), margin, ok
 
 
+def chosen(docs: DataFrame, most: int) -> DataFrame:
+    """(lang, text, r): of each value of ``lang`` the ``most`` distinct texts of least hash ``r``, or all that it has; languages of fewer than LEAST distinct texts have none."""
+    labelled = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("lang", "text", F.xxhash64("text", F.lit(1)).alias("r"))
+    # hashes alone decide how far each language goes; then each text within comes once
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("r"))
+    least = labelled.select("lang", "r").distinct().withColumn("k", place).where(F.col("k") <= most)
+    tops = least.groupBy("lang").agg(F.max("r").alias("top"), F.count("*").alias("n")).where(F.col("n") >= LEAST).drop("n").collect()
+    top = labelled.sparkSession.createDataFrame(tops, "lang string, top long")
+    return labelled.join(F.broadcast(top), "lang").where(F.col("r") <= F.col("top")).select("lang", "text", "r").dropDuplicates(["lang", "text"])
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> Model:
-    """Fit on about ``sample`` documents of each value of ``lang``, chosen by hash."""
-    labelled = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("lang", "text")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(500).collect() if r["n"] >= LEAST}
-    if not counts:
-        return Model({})
-    rank = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30))
-    share = F.coalesce(*[F.when(F.col("lang") == l, F.lit(min(1 << 30, int(1.5 * sample / n * (1 << 30)) + 1))) for l, n in counts.items()])
-    got: dict[str, list] = {l: [] for l in counts}
-    for r in labelled.withColumn("r", rank).where(F.col("r") < share).toLocalIterator():
-        got[r["lang"]].append((r["r"], r["text"].encode()))
+    """Fit on ``sample`` distinct texts of each value of ``lang``, chosen by hash; half as many again set the limits."""
+    got: dict[str, list] = {}
+    for r in chosen(docs, int(1.5 * sample)).toLocalIterator():
+        got.setdefault(r["lang"], []).append((r["r"], r["text"].encode()))
     count, held = {}, {}
-    for l, rows in got.items():
-        rows = [t for _, t in sorted(rows)]
-        if len(rows) >= LEAST:
-            count[l] = [t for k, t in enumerate(rows) if k % 3 < 2]
-            held[l] = [t for k, t in enumerate(rows) if k % 3 == 2] or rows
+    for l in sorted(got):
+        rows = [t for _, t in sorted(got[l])]
+        count[l] = [t for k, t in enumerate(rows) if k % 3 < 2]
+        held[l] = [t for k, t in enumerate(rows) if k % 3 == 2] or rows
     m = Model(count, order)
     m.calibrate(held)
     return m

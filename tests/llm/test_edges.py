@@ -135,3 +135,17 @@ def test_pipeline_stages(spark, docs, empty, labels, bench, tmp_path):
             out.count()
         d.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
         corpus_pipeline.run(spark, str(tmp_path)).count()
+
+
+def test_languages_of_few_texts(spark):
+    from graphloom.llm import language_ppm
+
+    words = {"aa": "alpha river stone garden window", "bb": "zuko mypra tolwe xindi vebro"}
+    few = [(f"{words['aa']} number {k} " * 5) for k in range(5)]
+    rows = [("aa", few[k % 5]) for k in range(3000)] + [("bb", f"{words['bb']} item {k} " * 5) for k in range(300)]
+    rows += [(f"l{k:03d}", f"{chr(97 + k % 26) * 3}{k} text {j} of this one") for k in range(520) for j in range(3)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    got = language_ppm.chosen(docs, 12).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in got} == {"aa": 5, "bb": 12} | {f"l{k:03d}": 3 for k in range(520)}
+    two = docs.where("lang IN ('aa', 'bb')").selectExpr("monotonically_increasing_id() AS doc_id", "*")
+    assert language_ppm.identify(two, 8).where("lang <> lang_id OR lang_id IS NULL").count() == 0
