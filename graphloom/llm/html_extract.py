@@ -8,7 +8,8 @@ boilerplate ancestor, nor boilerplate below an ancestor that is all content, and
 Parsing is one scan of whole pages with an explicit stack; depth is unlimited. Nothing is shuffled.
 
 Defined results: a null html has a null text; an empty html, or one without content, an empty text; text outside any element belongs to the page's root; broken markup is read as far as it goes: unclosed
-elements close with their parent, stray end tags are skipped, an unclosed comment or script runs to the end. Repeated rows are extracted each; a tie between content and boilerplate is boilerplate. Columns besides page_id and html are ignored.
+elements close with their parent, stray end tags are skipped, an unclosed comment, script, style or textarea runs to the end, of an unclosed noscript, iframe, svg or template
+only the tag is skipped, and a head ends at its end tag or at the first element or text that can't be in it. Repeated rows are extracted each; a tie between content and boilerplate is boilerplate. Columns besides page_id and html are ignored.
 """
 
 from __future__ import annotations
@@ -33,9 +34,12 @@ _GROUP = np.full(len(_BLOCKS), len(_GROUPS), np.int64)
 for _k, _g in enumerate(_GROUPS):
     for _t in _g:
         _GROUP[_CODE[_t]] = _k
-_RAW = {"script", "style", "noscript", "template", "svg", "textarea", "iframe", "head"}
+_RAW = {"script", "style", "noscript", "template", "svg", "textarea", "iframe"}
+#: Raw elements of which only the tag is skipped if they don't end, and what a head can hold besides raw elements.
+_LOOSE = {"noscript", "iframe", "svg", "template", "title"}
+_IN_HEAD = {"title", "meta", "link", "base"}
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|[!?][^>]*>)", re.S)
-_ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW}
+_ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW | {"title"}}
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 _GOOD = frozenset("content article main post body entry text story page".split())
@@ -54,6 +58,8 @@ def parse(html: str) -> tuple[list[list], list[str]]:
     texts: list[list[str]] = [[]]
     stack, names = [0], ["#root"]
     link = 0
+    head = False
+    endless: set[str] = set()
     at, n = 0, len(html)
     while at < n:
         m = _TAG.search(html, at)
@@ -61,6 +67,7 @@ def parse(html: str) -> tuple[list[list], list[str]]:
         if end > at:
             piece = html[at:end]
             if not piece.isspace():
+                head = False
                 top = stack[-1]
                 size = len(piece.strip())
                 texts[top].append(piece)
@@ -76,7 +83,9 @@ def parse(html: str) -> tuple[list[list], list[str]]:
             continue
         name = m[2].lower()
         if m[1]:
-            if name in _CODE:
+            if name == "head":
+                head = False
+            elif name in _CODE:
                 for k in range(len(names) - 1, 0, -1):
                     if names[k] == name:
                         del stack[k:], names[k:]
@@ -85,11 +94,23 @@ def parse(html: str) -> tuple[list[list], list[str]]:
             elif name == "a":
                 link = 0
             continue
-        if name in _RAW:
+        if name == "head":
+            head = len(names) == 1 or names[1:] == ["html"]
+            continue
+        if name in _RAW or head and name == "title":
             if not m[3].endswith("/"):
-                stop = _ENDS[name].search(html, at)
-                at = stop.end() if stop else n
+                stop = None if name in endless else _ENDS[name].search(html, at)
+                if stop:
+                    at = stop.end()
+                elif name in _LOOSE:
+                    endless.add(name)
+                else:
+                    at = n
             continue
+        if head:
+            if name in _IN_HEAD:
+                continue
+            head = False
         if name not in _CODE:
             block = blocks[stack[-1]]
             block[8] += 1

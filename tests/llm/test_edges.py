@@ -149,3 +149,17 @@ def test_languages_of_few_texts(spark):
     assert {r["lang"]: r["count"] for r in got} == {"aa": 5, "bb": 12} | {f"l{k:03d}": 3 for k in range(520)}
     two = docs.where("lang IN ('aa', 'bb')").selectExpr("monotonically_increasing_id() AS doc_id", "*")
     assert language_ppm.identify(two, 8).where("lang <> lang_id OR lang_id IS NULL").count() == 0
+
+
+def test_html_without_end_tags():
+    from graphloom.llm.html_extract import parse
+
+    body = "<p>The whole article, with a few words.</p><p>And more.</p>"
+    text = lambda page: " ".join(t for t in parse(page)[1] if t)
+    want = "The whole article, with a few words. And more."
+    for head in ("<head><title>a <div> b</title><meta charset=x><script>'<div>'</script></head><body>", "<head><title>t</title><body>", "<head><title>t</title><link rel=x>", "<head><!-- <body> --><style>p{}</style><noscript><p>no</p></noscript>"):
+        assert text("<html>" + head + body) == want, head
+    assert text("<head><title>t</title>Only text") == "Only text"
+    for tag in ("noscript", "iframe src=x", "svg", "template"):
+        assert text(f"<html><head><title>t</title></head><body><{tag}>{body}") == want, tag
+    assert text(f"<p>a</p><script>{body}") == "a"
