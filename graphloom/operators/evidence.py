@@ -29,6 +29,22 @@ def structurally_similar(index: DataFrame, files: DataFrame, k: int | None = Non
     return out.withColumn("p", place).where(F.col("p") <= k).drop("p")
 
 
+def structurally_similar_each(index: DataFrame, k: int) -> DataFrame:
+    """The rows of ``structurally_similar`` with every file of the index as a scope.
+
+    Files of the same set of hashes share one ranking, as far as k places and those of the largest file, since only a file's own places are taken out of it.
+    """
+    sets = index.groupBy(F.col("file").alias("scope")).agg(F.array_sort(F.collect_set("hash")).alias("hashes"))
+    rows = index.groupBy("file", "id", "hash").agg(F.count("*").alias("n"))
+    most = index.groupBy("file").agg(F.countDistinct("id").alias("n")).agg(F.max("n")).first()[0] or 0
+    wanted = sets.select("hashes").distinct().withColumn("hash", F.explode("hashes"))
+    found = rows.join(wanted, "hash").groupBy("hashes", "file", "id").agg(F.sum("n").alias("overlap"))
+    place = lambda group: F.row_number().over(Window.partitionBy(group).orderBy(F.desc("overlap"), "file", "id"))
+    best = found.withColumn("p", place("hashes")).where(F.col("p") <= k + most).drop("p")
+    out = sets.join(best, "hashes").where("file <> scope").select("scope", "file", "id", "overlap")
+    return out.withColumn("p", place("scope")).where(F.col("p") <= k).drop("p")
+
+
 def normalized_code(text: Column) -> Column:
     """Code without block comments, blank lines, line comments (on lines without quotes) and extra blanks."""
     lines = F.split(F.regexp_replace(text, r"(?s)/\*.*?\*/", ""), "\n")

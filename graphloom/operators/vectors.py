@@ -81,6 +81,47 @@ def near_pairs(vectors: DataFrame, threshold: float = 0.9, group: str | None = N
     return sent.groupBy("i", "j").applyInArrow(run, "a long, b long, similarity double")
 
 
+def nearest(vectors: DataFrame, k: int = 10, threshold: float = 0.5) -> DataFrame:
+    """(query, id, similarity): what ``search`` gives with every row as a query, exactly, in the blocks of ``near_pairs``.
+
+    Each pair of blocks keeps the k best of its rows, so k rows a query and block are merged. Similarities are compared at 12 digits; ties by id.
+    """
+    v = vectors.where("vector IS NOT NULL").select("id", "vector")
+    blocks = max(1, -(-v.count() // BLOCK))
+    v = written(v.withColumn("block", F.pmod(F.hash("id"), F.lit(blocks))), "vectors")
+    others = F.sequence(F.lit(0), F.lit(blocks - 1))
+    pair = lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j"))
+    sent = v.withColumn("x", F.explode(F.array_distinct(F.transform(others, pair)))).select("x.i", "x.j", "block", "id", "vector")
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = np.asarray(table["id"])
+        m = np.array(table["vector"].to_pylist(), np.float64).reshape(len(ids), -1)
+        size = np.linalg.norm(m, axis=1)
+        m = m / np.maximum(size, 1e-300)[:, None]
+        at, i, j = np.asarray(table["block"]), table["i"][0].as_py(), table["j"][0].as_py()
+        order = np.argsort(ids, kind="stable")
+        order = order[size[order] > 0]  # a vector of zeros is like none
+        side = {b: order[at[order] == b] for b in (i, j)}
+        out = []
+        for a, b in {(i, j), (j, i)}:
+            right = side[b]
+            for lo in range(0, len(side[a]), 256):
+                left = side[a][lo : lo + 256]
+                s = np.round(np.clip(m[left] @ m[right].T, 0, 1), 12)
+                s[ids[left][:, None] == ids[right][None]] = -1
+                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                x = np.repeat(np.arange(len(left)), best.shape[1])
+                y = best.ravel()
+                ok = s[x, y] >= max(threshold, 0)
+                out.append((ids[left[x[ok]]], ids[right[y[ok]]], s[x, y][ok]))
+        q, o, s = (np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pa.table({"query": pa.array(q, pa.int64()), "id": pa.array(o, pa.int64()), "similarity": pa.array(s, pa.float64())})
+
+    found = sent.groupBy("i", "j").applyInArrow(run, "query long, id long, similarity double")
+    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
+    return found.withColumn("p", F.row_number().over(w)).where(F.col("p") <= k).drop("p")
+
+
 def fused_score(similarity: Column, depth: Column, alpha: float = 0.6, beta: float = 0.4) -> Column:
     """Similarity and closeness in a graph in one score."""
     return F.lit(alpha) * similarity + F.lit(beta) / (depth + 1)

@@ -639,3 +639,46 @@ def vs4_related_unconnected(spark, sf_dir):
 def gr16_community_report(spark, sf_dir):
     n, e = _part_graph(spark, sf_dir)
     return reports.community_report(n, e, components.communities(e), rank.pagerank(e, rounds=10))
+
+
+# -- every row as a query: the queries of the same names without ``_all`` have one row or file, as their SQL does
+
+
+@query()
+def vs1_similar_code_all(spark, sf_dir):
+    return vectors.nearest(_vectors(spark, sf_dir), 10, 0.0).select("query", "id", fixed(F.col("similarity"), 4).alias("similarity"))
+
+
+@query()
+def vs4_related_unconnected_all(spark, sf_dir):
+    """For every vector, the 5 most similar that no edge joins to the part of the same id."""
+    v, e = _vectors(spark, sf_dir), _part_graph(spark, sf_dir)[1]
+    joined = e.select(F.col("src").alias("query"), F.col("dst").alias("id")).unionByName(e.select(F.col("dst").alias("query"), F.col("src").alias("id"))).distinct()
+    joined = written(joined.join(v.select("id"), "id", "left_semi").join(v.select(F.col("id").alias("query")), "query", "left_semi").select("query", "id"), "joined")
+    # at most so many of the best are taken away again
+    most = joined.groupBy("query").count().agg(F.max("count")).first()[0] or 0
+    left = vectors.nearest(v, 5 + most, 0.2).join(joined, ["query", "id"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
+    return left.withColumn("p", place).where("p <= 5").select("query", "id", fixed(F.col("similarity"), 4).alias("similarity"))
+
+
+@query()
+def vs5_fused_scores_all(spark, sf_dir):
+    """For every vector, all within two steps of the part of the same id that have a vector."""
+    v = _vectors(spark, sf_dir)
+    r = traverse.reached_each(_part_graph(spark, sf_dir)[1], v.select("id"), 2).withColumnRenamed("seed", "query")
+    both = r.join(v.select("id", "vector"), "id").join(v.select(F.col("id").alias("query"), F.col("vector").alias("qv")), "query")
+    sim = vectors.clipped(vectors.cosine(F.col("vector"), F.col("qv")))
+    return both.select("query", "id", "depth", fixed(vectors.fused_score(sim, F.col("depth")), 4).alias("score"))
+
+
+@query()
+def ag18_structural_similarity_all(spark, sf_dir):
+    ix = written(_index(spark, sf_dir), "index")
+    return evidence.structurally_similar_each(ix, 15)
+
+
+@query(f"WITH {_PAIRS} SELECT file_a AS file, file_b AS other, {FX.format('strength')} AS strength FROM st UNION ALL SELECT file_b, file_a, {FX.format('strength')} FROM st")
+def ag8_cochange_neighbours_all(spark, sf_dir):
+    c = A.commits(_t(spark, sf_dir, "lineitem"))
+    return cochange.neighbours(cochange.strength(c, threshold=0.0), c.select("file").distinct()).withColumn("strength", fixed(F.col("strength")))

@@ -85,3 +85,24 @@ def test_part_graph_queries(spark, small):
     assert {r.id: r["rank"] for r in run("gr1_pagerank_parts")} == pytest.approx(rank, abs=1e-8)
     report = run("gr16_community_report_parts")
     assert sum(r.nodes for r in report) == n and all(r.representative in rank for r in report)
+
+
+def test_every_row_is_a_query(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from graphloom.operators import evidence, vectors
+
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    rows = [(k, None if k == 5 else [0.0] * 3 if k == 6 else [float(k % 4), float(k * k % 5 - 2), float(k % 3)]) for k in range(40)]
+    v = spark.createDataFrame(rows, "id long, vector array<float>")
+    q = v.where("vector IS NOT NULL").select(F.col("id").alias("query"), F.col("vector").alias("qv"))
+    got = {(r.query, r.id): r.similarity for r in vectors.nearest(v, 3, 0.2).collect()}
+    all_of = {}
+    for r in vectors.search(v, q, 99, 0.2).collect():
+        all_of.setdefault(r.query, []).append((-round(r.similarity, 12), r.id))
+    want = {(a, i): -s for a, x in all_of.items() for s, i in sorted(x)[:3]}
+    assert len({a for a, _ in want}) > 30 and got == pytest.approx(want, abs=1e-9)
+    ix = spark.createDataFrame([(f"h{(f * k) % 4}", f"f{f}", f"n{f}.{k % 3}") for f in range(9) for k in range(1, f + 2)], "hash string, file string, id string")
+    one = evidence.structurally_similar(ix, ix.select("file").distinct(), 4).collect()
+    each = evidence.structurally_similar_each(ix, 4).collect()
+    assert sorted(map(tuple, each)) == sorted(map(tuple, one)) and len({r.scope for r in each}) == 9
