@@ -9,6 +9,10 @@ EXTENSIONS = {
     "py": "python", "pyi": "python", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "rs": "rust", "sql": "sql", "sh": "bash", "bash": "bash", "json": "json",
     "c": "cpp", "h": "cpp", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "md": "markdown", "mdx": "markdown", "mdc": "markdown",
 }
+#: What documentation names without meaning this code: tools, shell commands, and Python's and generic words.
+TOOLS = "pip pip3 pipx uv poetry pdm hatch flit pytest mypy ruff black isort flake8 pylint python python3 ipython jupyter uvicorn gunicorn pydantic fastapi flask django celery alembic npm npx yarn pnpm bun deno node nodejs eslint prettier tsc tsx vite webpack esbuild react vue angular next nuxt remix astro cargo rustc rustup clippy rustfmt git docker make cmake gradle maven curl wget jq yq sed awk grep find ssh scp rsync tar zip unzip gzip vim nvim emacs code cursor subl aws gcloud az kubectl helm terraform pulumi".split()
+SHELL = "cd ls pwd mkdir rm cp mv cat head tail echo export source alias which whereis man ps kill top htop df du free chmod chown ln touch nano vi less more xargs tee sort uniq wc cut tr diff patch env printenv exit clear history sudo".split()
+WORDS = "True False None and or not is in if elif else for while break continue def class return yield raise try except finally with as import from pass lambda global nonlocal assert del async await print len range str int float bool list dict set tuple type isinstance hasattr getattr setattr open input enumerate zip map filter sorted reversed min max sum any all abs round format repr id hash callable iter next super object property staticmethod classmethod Optional Union List Dict Set Tuple Callable Any TypeVar Generic Literal Final ClassVar example Example test Test TODO FIXME NOTE error Error warning Warning info Info debug Debug name value key data result output input config Config options Options settings Settings foo bar baz qux hello world".split()
 PREFIXES = {"python": "py", "typescript": "ts", "tsx": "ts", "javascript": "ts", "rust": "rs", "sql": "sql", "bash": "sh", "json": "json", "cpp": "cpp"}
 
 
@@ -64,11 +68,21 @@ def code_paths(body: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(found, lambda p: (F.length(p) >= 4) & ~p.rlike(r"^(https?|www)"))))
 
 
+def allowed_in_docs(text: Column) -> Column:
+    """Whether inline code is a known word, with or without arguments in brackets, a command with arguments, or a dashed package name."""
+    known = [*TOOLS, *SHELL, *WORDS]
+    t = F.trim(text)
+    base, first = F.trim(F.split(t, r"\(")[0]), F.split(t, r"\s+")[0]
+    package = t.contains("-") & t.rlike(r"^[\p{L}\p{N}_-]*[\p{L}\p{N}][\p{L}\p{N}_-]*$")
+    return t.isin(*known) | base.isin(*known) | first.isin(*TOOLS, *SHELL) | package
+
+
 def doc_references(docs: DataFrame) -> DataFrame:
-    """(doc_file, line, ref_type, raw_text) of documentation (doc_file, text): inline code, fenced blocks with a path, and links to files."""
+    """(doc_file, line, ref_type, raw_text) of documentation (doc_file, text): inline code, fenced blocks with a path, and links to files. Inline code that ``allowed_in_docs`` knows is none."""
     lines = docs.select("doc_file", F.posexplode(F.split("text", "\n")).alias("at", "s")).withColumn("line", F.col("at") + 1)
     code = lines.select("doc_file", "line", F.explode(F.regexp_extract_all("s", F.lit(r"`([^`]+)`"), F.lit(1))).alias("raw_text"))
     r = F.col("raw_text")
+    code = code.where(~allowed_in_docs(r))
     kind = F.when(r.rlike(r"^[\w./-]+\.(py|ts|tsx|js|jsx|rs|sql|sh|json|md|yml|yaml|toml)$"), "file_link").when(r.rlike(r"^[A-Za-z_]\w*(\.\w+)*\(.*\)$"), "function_ref").when(r.rlike(r"^[A-Z][a-z0-9]+([A-Z][A-Za-z0-9]*)+$"), "class_ref").otherwise("inline_code")
     links = lines.select("doc_file", "line", F.explode(F.regexp_extract_all("s", F.lit(r"\[[^\]]*\]\(([^)\s]+\.[a-z]{1,5})\)"), F.lit(1))).alias("raw_text")).where(~r.rlike("^https?:"))
     blocks = lines.select("doc_file", "line", F.regexp_extract("s", r"^```(?:[a-z]+:|\d+:\d+:)([\w./-]+)", 1).alias("raw_text")).where("raw_text <> ''")
@@ -97,13 +111,21 @@ def rule_checks(rules: DataFrame, budget: int = 180) -> DataFrame:
 DIRECTIVES = ((r"(?i)\balways use\b", r"(?i)\bnever use\b"), (r"(?i)\bprefer\b", r"(?i)\bavoid\b"), (r"(?i)\bmust\b(?! not)", r"(?i)\bmust not\b"), (r"(?i)\benable\b", r"(?i)\bdisable\b"))
 
 
+def globs_overlap(a: Column, b: Column) -> Column:
+    """Whether two globs may name the same file: not if both name extensions and share none. A missing glob is every file."""
+    every = lambda g: F.coalesce(F.when(F.trim(g) != "", F.trim(g)), F.lit("**/*"))
+    a, b = every(a), every(b)
+    ends = lambda g: F.regexp_extract_all(g, F.lit(r"\*\.(\w+)"), F.lit(1))
+    return (a == "**/*") | (b == "**/*") | (F.size(ends(a)) == 0) | (F.size(ends(b)) == 0) | F.arrays_overlap(ends(a), ends(b))
+
+
 def rule_conflicts(rules: DataFrame, categories: dict[str, list[str]]) -> DataFrame:
-    """(file_a, file_b, category): pairs of rules that speak of a category with different keywords (``categories``: name to keywords)."""
-    text = F.lower("text")
+    """(file_a, file_b, category): pairs of rules that speak of a category with different keywords (``categories``: name to keywords) and whose globs may overlap."""
+    text, globs = F.lower("text"), F.regexp_replace(frontmatter(F.col("text"))["globs"], "^[\"']|[\"']$", "")
     mention = F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.array(*[F.when(text.contains(k), F.lit(k)) for k in ks]).alias("k")) for c, ks in categories.items()]))
-    m = rules.select("file", mention.alias("m")).select("file", "m.category", F.array_sort(F.array_compact("m.k")).alias("keys")).where(F.size("keys") > 0)
-    a, b = m.select("category", F.col("file").alias("file_a"), F.col("keys").alias("ka")), m.select("category", F.col("file").alias("file_b"), F.col("keys").alias("kb"))
-    return a.join(b, "category").where("file_a < file_b AND ka <> kb").select("file_a", "file_b", "category")
+    m = rules.select("file", globs.alias("globs"), mention.alias("m")).select("file", "globs", "m.category", F.array_sort(F.array_compact("m.k")).alias("keys")).where(F.size("keys") > 0)
+    a, b = m.select("category", F.col("file").alias("file_a"), F.col("keys").alias("ka"), F.col("globs").alias("ga")), m.select("category", F.col("file").alias("file_b"), F.col("keys").alias("kb"), F.col("globs").alias("gb"))
+    return a.join(b, "category").where("file_a < file_b AND ka <> kb").where(globs_overlap(F.col("ga"), F.col("gb"))).select("file_a", "file_b", "category")
 
 
 def directive_conflicts(rules: DataFrame) -> DataFrame:

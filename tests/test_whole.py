@@ -106,3 +106,14 @@ def test_every_row_is_a_query(spark, monkeypatch):
     one = evidence.structurally_similar(ix, ix.select("file").distinct(), 4).collect()
     each = evidence.structurally_similar_each(ix, 4).collect()
     assert sorted(map(tuple, each)) == sorted(map(tuple, one)) and len({r.scope for r in each}) == 9
+
+
+def test_allow_list_and_globs(spark):
+    from graphloom.functions import text as T
+
+    d = spark.createDataFrame([("a.md", "`pip install x` `print(1)` `True` `langchain-core` `my_func(x)` `MyClass` `src/a-b.py` `np.run(x)` `git`")], "doc_file string, text string")
+    assert {r.raw_text for r in T.doc_references(d).collect()} == {"my_func(x)", "MyClass", "src/a-b.py", "np.run(x)"}
+    rule = lambda g, t: (f"---\nglobs: {g}\n---\n{t}" if g else t)
+    rows = [("a", rule('"**/*.py"', "use tabs")), ("b", rule("**/*.ts, **/*.py", "use spaces")), ("c", rule("src/*.rs", "use spaces")), ("d", rule("", "spaces")), ("e", rule("lib/", "spaces"))]
+    got = T.rule_conflicts(spark.createDataFrame(rows, "file string, text string"), {"indent": ["tabs", "spaces"]}).collect()
+    assert sorted((r.file_a, r.file_b) for r in got) == [("a", "b"), ("a", "d"), ("a", "e")]
