@@ -53,23 +53,35 @@ def blocks(radius: int) -> list[tuple[int, int]]:
     return [(int(a), int(b - a)) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
+def _words(items: list[tuple[int | None, str]]) -> tuple[list, list[np.ndarray]]:
+    """(ids, hashes of their words) of the items that are evidence, in order."""
+    ids, words = [], []
+    for i, t in sorted(((i, t) for i, t in items if t), key=lambda x: (x[0] is None, x[0] or 0, x[1])):
+        c = next(K.chunks(pa.array([t], pa.large_string()), 1 << 62))
+        h, _ = c.hashes()
+        if len(h) >= LEAST:
+            ids.append(i)
+            words.append(h)
+    return ids, words
+
+
+def counted(items: list[tuple[int | None, str]]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(shingles, in how many items each is, items)."""
+    sets = [np.unique(pairs_of(h)) for h in _words(items)[1]]
+    v, df = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, U64), np.empty(0, np.int64))
+    return v, df, len(sets)
+
+
 class Index:
-    """The items: weights of their shingles, fingerprints, and the block index of each size."""
+    """The items: weights of their shingles, fingerprints, and the block index of each size. ``counts``: of the whole benchmark (``counted``), if the items are a part of it."""
 
-    def __init__(self, items: list[tuple[int | None, str]], similarity: float = SIMILARITY, radius: int = RADIUS):
+    def __init__(self, items: list[tuple[int | None, str]], similarity: float = SIMILARITY, radius: int = RADIUS, counts: tuple[np.ndarray, np.ndarray, int] | None = None):
         self.similarity, self.radius, self.blocks = similarity, radius, blocks(radius)
-        self.ids, words = [], []
-        for i, t in sorted(((i, t) for i, t in items if t), key=lambda x: (x[0] is None, x[0] or 0, x[1])):
-            c = next(K.chunks(pa.array([t], pa.large_string()), 1 << 62))
-            h, _ = c.hashes()
-            if len(h) >= LEAST:
-                self.ids.append(i)
-                words.append(h)
+        self.ids, words = _words(items)
         self.sizes = np.array([len(h) for h in words], np.int64)
         lists = [pairs_of(h) for h in words]
         sets = [np.unique(s) for s in lists]
-        self.vocabulary, df = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, U64), np.empty(0))
-        n = len(sets)
+        self.vocabulary, df, n = counts or counted(items)
         self.weights = np.log1p((n + 1) / (df + 1.0))
         self.other = float(np.log1p(n + 1.0))
         self.sets = sets
@@ -86,7 +98,7 @@ class Index:
                 order = np.argsort(near, kind="stable")
                 tables.append((near[order], who[order]))
             self.by_size[m] = (own, float(self.mass[own].min()) * similarity, tables)
-        self.longest = int(self.sizes.max()) if n else 0
+        self.longest = int(self.sizes.max()) if sets else 0
         self.floor = min((x[1] for x in self.by_size.values()), default=0.0)
 
     def weight(self, s: np.ndarray) -> np.ndarray:
@@ -178,15 +190,17 @@ class Index:
 
 
 def indexes(benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> list[Index]:
-    """The items in groups of at most ITEMS."""
+    """The items in groups of at most ITEMS, with weights by counts over all of them."""
     rows = benchmark.where(F.length("text") > 0).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    out, held = [], []
+    groups: list[list] = [[]]
     for r in rows.toLocalIterator():
-        held.append((r["item_id"], r["text"]))
-        if len(held) == ITEMS:
-            out.append(Index(held, similarity, radius))
-            held = []
-    return out + ([Index(held, similarity, radius)] if held or not out else [])
+        if len(groups[-1]) == ITEMS:
+            groups.append([])
+        groups[-1].append((r["item_id"], r["text"]))
+    parts = [counted(g) for g in groups]
+    v, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    counts = v, np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(v)).astype(np.int64), sum(p[2] for p in parts)
+    return [Index(g, similarity, radius, counts) for g in groups]
 
 
 def _found(docs: DataFrame, index: Index) -> DataFrame:

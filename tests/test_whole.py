@@ -117,3 +117,16 @@ def test_allow_list_and_globs(spark):
     rows = [("a", rule('"**/*.py"', "use tabs")), ("b", rule("**/*.ts, **/*.py", "use spaces")), ("c", rule("src/*.rs", "use spaces")), ("d", rule("", "spaces")), ("e", rule("lib/", "spaces"))]
     got = T.rule_conflicts(spark.createDataFrame(rows, "file string, text string"), {"indent": ["tabs", "spaces"]}).collect()
     assert sorted((r.file_a, r.file_b) for r in got) == [("a", "b"), ("a", "d"), ("a", "e")]
+
+
+def test_groups_of_benchmark_items(spark, monkeypatch):
+    from graphloom.llm import decontaminate
+
+    words = "red blue green gold iron salt rain snow wind fire leaf root".split()
+    items = [(k, " ".join(words[(k * j + j * j) % 12] for j in range(1, 12))) for k in range(30)]
+    docs = [(k, t.replace("rain", "mist") + " and so on") for k, t in items] + [(50 + k, " ".join(t.split()[: 8 + k % 3] + ["x", "y"])) for k, t in items]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    find = lambda: sorted((r.doc_id, r.item_id, r.first_word, r.words, round(r.similarity, 9)) for r in decontaminate.leaks(d, b).collect())
+    whole = find()
+    monkeypatch.setattr(decontaminate, "ITEMS", 4)
+    assert len(decontaminate.indexes(b)) == 8 and find() == whole and len(whole) > 20
