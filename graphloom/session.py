@@ -55,7 +55,18 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path  # for discard()
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` returned and nothing reads any more; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_written_to", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str, count: int | None = None) -> DataFrame:
