@@ -4,7 +4,7 @@ Every document is its set of word n-grams. Documents of equal sets collapse firs
 Jaccard similarity of at least d, their symmetric difference holds at most H = (1-d)/(1+d) * (a+b) grams. The universe of
 gram hashes is cut into segments. A segment has an allowance of 0 (it must be equal in both sets) or 1 (it may differ by one
 gram: both sets index the segment and all its one-deletion neighbours). If the allowances plus one add up to more than H, some segment
-of every similar pair stays within its allowance. So both index a key for it, and the pair is a candidate; candidates are verified exactly.
+of every similar pair stays within its allowance. So both index a key for it, and the pair is a candidate; every candidate is verified on whole sets.
 
 Sizes are in bands of powers of two. A space holds the pairs of one band, or of two neighbouring ones, and has its own cut.
 Of its equal-only segments a set indexes just the cheapest H + q, in an order that depends on a segment's content alone (how common its rarest
@@ -12,8 +12,16 @@ gram is, then its hash). Two similar sets have at least (segments - H) equal seg
 shared keys need no verification. How many segments a space has, how many get an allowance of 1 and q come from a cost model
 fed with a bounded sample of documents; it affects the cost, never the result.
 
+Crowds of near copies would give as many candidates as their size squared. A set that shares signature keys with CROWD others or more is
+compared with one leader, the most central of them, and labelled with it if they are similar. Sets of one label form no candidates: by the triangle inequality
+two of them are similar for certain if their differences from the leader are small together, which counting decides for whole cells of equal differences at once;
+the rest are compared by these differences alone, in blocks. So no pair is lost and none is listed. Labels too affect the cost only.
+
+Sets are compared as sets of 64-bit gram hashes, and are equal if two 64-bit sums and their sizes are.
+
 Defined results: null, empty and wordless texts take part in no pair; a text of fewer than n words has one gram, all its words; rows that share a
-doc_id and a text are one document; rows with a null doc_id are left out.
+doc_id and a text are one document, rows that share a doc_id only are several; rows with a null doc_id are left out. doc_id is an integer, or a
+string of one; anything else fails in the cast. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -22,10 +30,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.session import by_ids, written
+from graphloom.session import BROADCAST_IDS, by_ids, discard, written
 
 from . import textkit as K
 
@@ -34,10 +42,19 @@ THRESHOLD = 0.7
 #: Bytes of text for each bucket of keys: bounds what one task of the candidate search holds.
 BUCKET_BYTES = 12_000_000
 #: Sampled documents for the frequencies of grams, and sampled sets of a space for its cost model.
-SAMPLE, MODELLED = 6000, 60
-#: Keys that two similar sets share at least, except in spaces where the cost model settles for one.
-Q = 3
+SAMPLE, MODELLED = 6000, 150
+#: What the shared keys of a pair must weigh together; in a space where similar sets share q keys at least, a key weighs FULL / q.
+FULL = 120
+#: What a space may choose: segments in terms of the fewest possible, the share of them with an allowance of 1, q.
+CHOICES = ((1.1, 0.0, 1), (1.1, 0.0, 3), (1.3, 0.0, 3), (1.6, 0.0, 3), (1.2, 0.0, 6), (1.6, 0.0, 6), (1.3, 0.0, 12), (1.2, 0.5, 1), (1.2, 1.0, 1))
+#: Signature keys of a set and grams of each; sets that share a key before a leader is sought.
+SIGN, OF, CROWD = 6, 4, 10
+#: Rows of a block of labelled sets; pairs that one task verifies; bytes of the leaders' sets that are broadcast; edges whose components one task finds.
+BLOCK, PAIRS_AT_ONCE, BROADCAST_BYTES, EDGES_AT_ONCE = 1024, 100_000, 32_000_000, 2_000_000
+#: Pairs that a task holds at once while it lists those of its keys.
+LISTED = 4_000_000
 U64 = np.uint64
+_BINS = (np.arange(SIGN, dtype=U64) * U64((1 << 64) // SIGN)).astype(U64)
 
 
 def gram_set(h: np.ndarray, n: int) -> np.ndarray:
@@ -46,31 +63,46 @@ def gram_set(h: np.ndarray, n: int) -> np.ndarray:
     return t[np.concatenate(([True], t[1:] != t[:-1]))] if len(t) else t
 
 
-def _each(batch: pa.RecordBatch, n: int):
-    """(doc_id, gram set) of each document that has an id and a word."""
+def _numbered(batch: pa.RecordBatch, n: int):
+    """(row, doc_id, gram set) of each document that has an id and a word."""
     ids, gone = K.id_array(batch.column(0))
     for c in K.chunks(batch.column(1)):
         h, ptr = c.hashes()
         for k, r in enumerate(c.rows):
             if not gone[r] and ptr[k + 1] > ptr[k]:
-                yield int(ids[r]), gram_set(h[ptr[k] : ptr[k + 1]], n)
+                yield int(r), int(ids[r]), gram_set(h[ptr[k] : ptr[k + 1]], n)
+
+
+def _each(batch: pa.RecordBatch, n: int):
+    """(doc_id, gram set) of each document that has an id and a word."""
+    for _, d, t in _numbered(batch, n):
+        yield d, t
+
+
+def signature(t: np.ndarray) -> np.ndarray:
+    """A key of each range of the hash: of the OF least grams of the set in it; 0 where there is none."""
+    at = np.append(np.searchsorted(t, _BINS), len(t))
+    i = at[:-1, None] + np.arange(OF)
+    there = i < at[1:, None]
+    keys = K.mix(np.where(there, K.mix(t[np.minimum(i, len(t) - 1)]), U64(0)).sum(1, dtype=U64) + _BINS)
+    return np.where(there[:, 0], keys, U64(0))
 
 
 def set_hashes(docs: DataFrame, n: int = N) -> DataFrame:
-    """(doc_id, h1, h2, size): a 128-bit hash of each document's set."""
+    """(doc_id, h1, h2, size, signs): a 128-bit hash of each document's set, and its signature."""
 
     def run(batches):
         for b in batches:
-            rows = [(d, int(t.sum(dtype=U64)), int(K.mix(t ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=U64)), len(t)) for d, t in _each(b, n)]
+            rows, signs = [], []
+            for d, t in _each(b, n):
+                rows.append((d % (1 << 64), int(t.sum(dtype=U64)), int(K.mix(t ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=U64)), len(t)))
+                signs.append(signature(t))
             a = np.array(rows, dtype=U64).reshape(-1, 4).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a[:, k]) for k in range(4)], names=["doc_id", "h1", "h2", "size"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, h1 long, h2 long, size long")
-
+            s = np.array(signs, U64).reshape(-1, SIGN).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * SIGN, pa.int32()), pa.array(s.ravel(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(a[:, k]) for k in range(4)), lists], names=["doc_id", "h1", "h2", "size", "signs"])
 
-def equal_sets(hashes: DataFrame) -> DataFrame:
-    """(rep, size, members): documents of equal sets; rep is the least doc_id."""
-    return hashes.groupBy("h1", "h2", "size").agg(F.sort_array(F.collect_set("doc_id")).alias("members")).select(F.col("members")[0].alias("rep"), "size", "members")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h1 long, h2 long, size long, signs array<long>")
 
 
 # -- the plan of a space ---------------------------------------------------------------------------------------------
@@ -113,7 +145,7 @@ class Plan:
 
     def space(self, s: tuple[int, int]):
         if s not in self.made:
-            slack, share, q = self.chosen.get(s, (1.3, 0.0, Q))
+            slack, share, q = self.chosen.get(s, (1.3, 0.0, 3))
             need = space_difference(s, self.d) + q
             points = max(need, math.ceil(slack * need))
             deep = int(share * points / 2)
@@ -166,7 +198,7 @@ def plan(docs: DataFrame, reps: int, n: int, d: float) -> Plan:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([t.tobytes() for _, t in _each(b, n)], pa.binary())], names=["t"])
 
-    sets = [np.frombuffer(r["t"], U64) for r in pick.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "t binary").toLocalIterator()]
+    sets = [np.frombuffer(r["t"], U64) for r in pick.select("doc_id", "text").mapInArrow(run, "t binary").toLocalIterator()]
     if not sets:
         return Plan(d, np.empty(0, U64), np.empty(0, U64), {})
     scale = reps / len(sets)
@@ -181,27 +213,27 @@ def plan(docs: DataFrame, reps: int, n: int, d: float) -> Plan:
     for s, rows in members.items():
         times = scale * max(1.0, len(rows) / MODELLED)
         rows = [(t, known.frequency(t), K.mix(t), most) for t, most in rows[:MODELLED]]
+        every = len(rows) * (len(rows) - 1) / 2
+        similar: dict[int, bool] = {}
         best = None
-        for slack, share, q in ((1.1, 0.0, 1), (1.1, 0.0, Q), (1.3, 0.0, Q), (1.6, 0.0, Q), (2.2, 0.0, Q), (1.2, 0.5, 1), (1.2, 1.0, 1)):
+        for slack, share, q in CHOICES:
             p = Plan(d, grams, counts, {s: (slack, share, q)})
             keys = [np.unique(p.keys(t, f, m, s, most)) for t, f, m, most in rows]
             made = sum(map(len, keys))
-            flat, owner = np.concatenate(keys), np.repeat(np.arange(len(rows)), [len(k) for k in keys])
-            order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], owner[order]
-            pairs: dict[tuple[int, int], int] = {}
-            cuts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1], [True])))
-            for i, j in zip(cuts[:-1], cuts[1:]):
-                if j - i > 1:
-                    o = owner[i:j]
-                    for x in range(len(o)):
-                        for y in range(x + 1, len(o)):
-                            pairs[o[x], o[y]] = pairs.get((o[x], o[y]), 0) + 1
-            near = {k for k in pairs if len(np.intersect1d(rows[k[0]][0], rows[k[1]][0])) > 0.3 * len(rows[k[0]][0])}
-            hits = sum(v for k, v in pairs.items() if k not in near)
-            left = sum(v >= q for k, v in pairs.items() if k not in near)
-            # a key costs 1, a shared key 4 and a candidate 60; false pairs grow with the square of the number of sets
-            cost = made * times + (4 * hits + 60 * left) * times * times
+            a, b, times_shared = _listed(np.concatenate(keys), np.repeat(np.arange(len(rows)), [len(k) for k in keys]), None, None)
+            code, place = np.unique(a * len(rows) + b, return_inverse=True)
+            many = np.bincount(place, times_shared, len(code))
+            for c in code.tolist():
+                if c not in similar:
+                    x, y = rows[c // len(rows)][0], rows[c % len(rows)][0]
+                    similar[c] = len(np.intersect1d(x, y, assume_unique=True)) > 0.3 * min(len(x), len(y))
+            many = many[[not similar[c] for c in code.tolist()]] if len(code) else many
+            hits = int(many.sum())
+            rate = hits / max(every, 1)
+            tail = 1 - math.exp(-rate) * sum(rate**i / math.factorial(i) for i in range(p.space(s)[1]))
+            left = int((many >= p.space(s)[1]).sum()) + max(tail, 0.0) * every
+            # a key costs 5 bytes, a shared key 8, a candidate 150; false pairs grow with the square of the number of sets
+            cost = 5 * made * times + (8 * hits + 150 * left) * times * times
             if best is None or cost < best[0]:
                 best = (cost, slack, share, q)
         chosen[s] = best[1:]
@@ -212,59 +244,62 @@ def plan(docs: DataFrame, reps: int, n: int, d: float) -> Plan:
 
 
 def indexed(docs: DataFrame, p: Plan, n: int, buckets: int) -> DataFrame:
-    """(bucket, base, keys, ids): packed keys of the sets. Ids are offsets from base, of 4 bytes where they fit, else of 8. Buckets of spaces with q = 1 are odd."""
+    """(bucket, base, keys, ids, labels) of documents (doc_id, text, label): packed keys of the sets.
+
+    A bucket's number tells q and whether its spaces hold pairs of two bands; of these, the lowest bit of a key tells the upper band.
+    Ids are differences in the order of the rows; labels are differences from the least label less one, 0 for none.
+    """
     d = p.d
     space_cache: dict[int, list] = {}
+    kinds = sorted({q for _, _, q in CHOICES} | {3})
 
     def run(batches):
-        ks: list[np.ndarray] = []
-        ds: list[int] = []
-        one: list[bool] = []
-        held = 0
+        held: list[tuple] = []
+        many = 0
 
         def flush():
-            nonlocal ks, ds, one, held
-            if not ks:
+            nonlocal held, many
+            if not held:
                 return
-            key = np.concatenate(ks)
-            many = [len(x) for x in ks]
-            doc = np.repeat(np.array(ds, np.int64), many)
-            bucket = (key % U64(buckets)).astype(np.int64) * 2 + np.repeat(np.array(one, np.int64), many)
-            ks, ds, one, held = [], [], [], 0
-            order = np.argsort(bucket.astype(np.uint16) if buckets <= 32768 else bucket, kind="stable")
-            bucket, key, doc = bucket[order], (key[order] >> U64(32)).astype(np.uint32), doc[order]
-            base = int(doc.min())
-            off = (doc - base).astype(np.uint32 if int(doc.max()) - base < 2**32 else np.int64)
+            lens = [len(x[0]) for x in held]
+            key = np.concatenate([x[0] for x in held])
+            doc, label, kind = (np.repeat(np.array([x[k] for x in held], np.int64), lens) for k in (1, 2, 3))
+            upper = np.repeat(np.array([x[4] for x in held], np.uint32), lens)
+            held, many = [], 0
+            bucket = (key % U64(buckets)).astype(np.int64) * (2 * len(kinds)) + kind
+            order = np.argsort(bucket, kind="stable")
+            bucket, doc, label = bucket[order], doc[order], label[order]
+            key = (((key >> U64(33)).astype(np.uint32) << np.uint32(1)) | upper)[order]
             at = np.concatenate((np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), [len(bucket)]))
             kb = key.tobytes()
-            for lo in range(0, len(at) - 1, 4096):
-                part = range(lo, min(lo + 4096, len(at) - 1))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([int(bucket[at[i]]) for i in part], pa.int64()),
-                        pa.array([base] * len(part), pa.int64()),
-                        pa.array([kb[4 * at[i] : 4 * at[i + 1]] for i in part], pa.binary()),
-                        pa.array([_planes(off[at[i] : at[i + 1]]) for i in part], pa.binary()),
-                    ],
-                    names=["bucket", "base", "keys", "ids"],
-                )
+            out: list[list] = [[], [], [], [], []]
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+                ids, lab = doc[i:j], label[i:j]
+                for k, v in zip(out, (int(bucket[i]), [int(ids[0]), int(lab.max())], kb[4 * i : 4 * j], _planes(_narrow(np.diff(ids, prepend=ids[0]))), _planes(_narrow(np.where(lab < 0, 0, lab.max() - lab + 1))) if lab.max() >= 0 else b"")):
+                    k.append(v)
+            for lo in range(0, len(out[0]), 4096):
+                yield pa.RecordBatch.from_arrays([pa.array(v[lo : lo + 4096], t) for v, t in zip(out, (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "base", "keys", "ids", "labels"])
 
         for b in batches:
-            for doc, t in _each(b, n):
+            labels = b.column(2).to_pylist()
+            for row, doc, t in _numbered(b, n):
                 if len(t) not in space_cache:
-                    space_cache[len(t)] = spaces_of(len(t), d)
+                    space_cache[len(t)] = [(s, most, kinds.index(p.space(s)[1]) * 2 + (s[0] != s[1]), int(len(t).bit_length() - 1 == s[1] != s[0])) for s, most in spaces_of(len(t), d)]
                 freq, mixed = p.frequency(t), K.mix(t)
-                for s, most in space_cache[len(t)]:
+                for s, most, kind, upper in space_cache[len(t)]:
                     got = p.keys(t, freq, mixed, s, most)
-                    ks.append(got)
-                    ds.append(doc)
-                    one.append(p.space(s)[1] == 1)
-                    held += len(got)
-                if held > 2_000_000:
+                    held.append((got, doc, -1 if labels[row] is None else labels[row], kind, upper))
+                    many += len(got)
+                if many > 2_000_000:
                     yield from flush()
         yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "bucket long, base long, keys binary, ids binary")
+    return docs.select("doc_id", "text", "label").mapInArrow(run, "bucket long, base array<long>, keys binary, ids binary, labels binary")
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Of 4 bytes where all are from 0 to 2^32, else of 8."""
+    return x.astype(np.uint32) if len(x) and x.min() >= 0 and x.max() < 1 << 32 else x.astype(np.int64)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -291,8 +326,7 @@ def _pairer(parts: int):
         for i, j in zip(cuts[:-1], cuts[1:]):
             x, y = a[i:j], b[i:j]
             base = int(x[0])
-            kind = np.uint32 if int(y.max()) - base < 2**32 else np.int64
-            for k, v in zip(out, (int(part[i]), base, int(j - i), _planes(np.diff(x, prepend=base).astype(kind)), _planes((y - base).astype(kind)), n[i:j].astype(np.uint8).tobytes())):
+            for k, v in zip(out, (int(part[i]), base, int(j - i), _planes(_narrow(np.diff(x, prepend=base))), _planes(_narrow(y - base)), n[i:j].astype(np.uint8).tobytes())):
                 out[k].append(v)
         return pa.table({k: pa.array(v, pa.int64() if k in ("part", "base", "many") else pa.binary()) for k, v in out.items()})
 
@@ -300,56 +334,84 @@ def _pairer(parts: int):
 
 
 def _counted(table: pa.Table) -> pa.Table:
-    """(doc_a, doc_b) that share Q keys or more over all buckets."""
+    """(doc_a, doc_b) whose shared keys weigh enough over all buckets."""
     aa, bb, nn = [], [], []
     for base, many, a, b, n in zip(table["base"].to_pylist(), table["many"].to_pylist(), table["a"], table["b"], table["n"]):
         aa.append(np.cumsum(_unplaned(a, many), dtype=np.int64) + base)
         bb.append(_unplaned(b, many).astype(np.int64) + base)
         nn.append(np.frombuffer(n.as_buffer(), np.uint8))
-    a, b, n = np.concatenate(aa), np.concatenate(bb), np.concatenate(nn)
+    a, b, n = _summed(np.concatenate(aa), np.concatenate(bb), np.concatenate(nn))
+    return pa.table({"doc_a": pa.array(a[n >= FULL], pa.int64()), "doc_b": pa.array(b[n >= FULL], pa.int64())})
+
+
+def _summed(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, with the sum of n up to FULL."""
     order = np.lexsort((b, a))
     a, b, n = a[order], b[order], n[order]
+    if not len(a):
+        return a, b, n
     first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-    ok = np.add.reduceat(n, first, dtype=np.int64) >= Q
-    return pa.table({"doc_a": pa.array(a[first[ok]], pa.int64()), "doc_b": pa.array(b[first[ok]], pa.int64())})
+    return a[first], b[first], np.minimum(np.add.reduceat(n, first, dtype=np.int64), FULL)
+
+
+def _listed(key: np.ndarray, doc: np.ndarray, label: np.ndarray | None, upper: np.ndarray | None, weight: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, n), a < b: pairs that share keys, with the sum of weights if there is more than one piece of LISTED pairs; else one row a key.
+
+    label: pairs of one label are left out, -1 is none; upper: pairs on one side are left out.
+    """
+    label = np.full(len(key), -1, np.int64) if label is None else label
+    order = np.lexsort((label, key))
+    key, doc, label = key[order], doc[order], label[order]
+    same = key[1:] == key[:-1]
+    inside = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(key) else np.zeros(0, bool)
+    key, doc, label, order = key[inside], doc[inside], label[inside], order[inside]
+    none = np.zeros(0, np.int64)
+    if not len(key):
+        return none, none, none
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    end = np.append(np.flatnonzero(new)[1:], len(key))[np.cumsum(new) - 1]
+    own = new | np.concatenate(([True], label[1:] != label[:-1])) | (label < 0)
+    start = np.append(np.flatnonzero(own)[1:], len(key))[np.cumsum(own) - 1]
+    many = end - start
+    total = np.concatenate(([0], np.cumsum(many)))
+    found = []
+    i = 0
+    while i < len(many):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + LISTED, "right")) - 1)
+        x = np.repeat(np.arange(i, j), many[i:j])
+        y = np.arange(total[j] - total[i]) - np.repeat(total[i:j] - total[i], many[i:j]) + np.repeat(start[i:j], many[i:j])
+        if upper is not None:
+            ok = upper[order[x]] != upper[order[y]]
+            x, y = x[ok], y[ok]
+        a, b = doc[x], doc[y]
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        ok = a != b
+        piece = a[ok], b[ok], np.full(int(ok.sum()), weight, np.int64)
+        found.append(piece if total[-1] <= LISTED else _summed(*piece))
+        i = j
+    return tuple(np.concatenate(z) for z in zip(*found))
 
 
 def _bucket_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, shared) in order: how many keys of this bucket two documents share, Q standing for more; one counts as Q where q is 1."""
-    weight = Q if table["bucket"][0].as_py() % 2 else 1
-    ks, ds = [], []
-    for base, k, o in zip(table["base"].to_pylist(), table["keys"], table["ids"]):
+    """(a, b, weight) in order: what the keys of this bucket that two documents share weigh, FULL standing for more."""
+    kinds = sorted({q for _, _, q in CHOICES} | {3})
+    kind = table["bucket"][0].as_py() % (2 * len(kinds))
+    ks, ds, ls = [], [], []
+    for (base, top), k, o, lab in zip(table["base"].to_pylist(), table["keys"], table["ids"], table["labels"]):
         key = np.frombuffer(k.as_buffer(), np.uint32)
         ks.append(key)
-        ds.append(_unplaned(o, len(key)).astype(np.int64) + base)
-    key, doc = np.concatenate(ks), np.concatenate(ds)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    same = key[1:] == key[:-1]
-    inside = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    key, doc = key[inside], doc[order[inside]]
-    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
-    end = np.concatenate((start[1:], [len(key)])).astype(np.int64)
-    two = end - start == 2
-    aa, bb = [doc[start[two]]], [doc[start[two] + 1]]
-    for i, j in zip(start[~two].tolist(), end[~two].tolist()):
-        m = doc[i:j]
-        x, y = np.triu_indices(len(m), 1)
-        aa.append(m[x])
-        bb.append(m[y])
-    a, b = np.concatenate(aa), np.concatenate(bb)
-    a, b = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.empty(0, np.int64)
-    n = np.diff(np.concatenate((first, [len(a)]))) if len(a) else first
-    a, b = a[first], b[first]
-    ok = a != b
-    return a[ok], b[ok], np.minimum(n[ok] * weight, Q)
+        ds.append(np.cumsum(_unplaned(o, len(key)).astype(np.int64)) + base)
+        if top < 0:
+            ls.append(np.full(len(key), -1, np.int64))
+        else:
+            off = _unplaned(lab, len(key)).astype(np.int64)
+            ls.append(np.where(off == 0, -1, top - off + 1))
+    key = np.concatenate(ks)
+    return _summed(*_listed(key >> np.uint32(1), np.concatenate(ds), np.concatenate(ls), key & np.uint32(1) if kind % 2 else None, -(-FULL // kinds[kind // 2])))
 
 
 def candidates(keys: DataFrame, parts: int) -> DataFrame:
-    """(doc_a, doc_b) of documents that share as many keys as similar ones must."""
+    """(doc_a, doc_b) of documents that share as many keys as similar ones must and have no label in common."""
     pairs = keys.groupBy("bucket").applyInArrow(_pairer(parts), "part long, base long, many long, a binary, b binary, n binary")
     return pairs.groupBy("part").applyInArrow(_counted, "doc_a long, doc_b long")
 
@@ -384,7 +446,7 @@ def _packed(docs: DataFrame, n: int, sketched: bool) -> DataFrame:
                 sets.append((sketch(t) if sketched else t).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "size", "grams"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, size long, grams binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, grams binary")
 
 
 def _siever(d: float):
@@ -436,15 +498,25 @@ def _verifier(d: float):
 
 
 def _in_parts(docs: DataFrame, pairs: DataFrame, n: int, sketched: bool, judge, schema: str, name: str) -> DataFrame:
-    """Pairs judged in parts, named after the least document that doc_a is paired with, so that the sets of a group of copies travel a few times, not once a pair."""
+    """Pairs judged in parts, named after the least document that doc_a is paired with, so that the sets of a group of copies travel a few times, not once a pair.
+
+    A part of more than PAIRS_AT_ONCE pairs is cut by doc_a.
+    """
     ends = pairs.select(F.explode(F.array(F.struct(F.col("doc_a").alias("x"), F.col("doc_b").alias("y")), F.struct(F.col("doc_b").alias("x"), F.col("doc_a").alias("y")))).alias("e"))
     least = ends.groupBy("e.x").agg(F.least(F.min("e.y"), F.col("x")).alias("part")).select(F.col("x").alias("doc_a"), "part")
-    parts = written(pairs.join(least, "doc_a").select("part", "doc_a", "doc_b"), "parts")
-    need = parts.select(F.col("part").alias("of"), F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct()
+    parts = written(pairs.join(least, "doc_a").select("part", "doc_a", "doc_b", F.lit(0).alias("piece")), "parts")
+    large = parts.groupBy("part").agg(F.ceil(F.count("*") / F.lit(PAIRS_AT_ONCE)).alias("cuts")).where("cuts > 1")
+    if not large.isEmpty():
+        whole = parts
+        parts = written(whole.join(large, "part", "left").select("part", "doc_a", "doc_b", F.pmod(F.hash("doc_a"), F.coalesce("cuts", F.lit(1))).cast("int").alias("piece")), "parts")
+        discard(whole)
+    need = parts.select(F.col("part").alias("of"), F.col("piece").alias("cut"), F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct()
     ids = written(need.select("doc_id").distinct(), "candidate-ids")
     sets = _packed(by_ids(docs, ids, "doc_id", "left_semi"), n, sketched)
-    there = need.join(sets.dropDuplicates(["doc_id"]).hint("shuffle_hash"), "doc_id").select("of", "doc_id", "size", "grams")
-    return written(there.groupBy("of").cogroup(parts.groupBy("part")).applyInArrow(judge, schema), name)
+    there = need.join(sets.hint("shuffle_hash"), "doc_id").select("of", "cut", "doc_id", "size", "grams")
+    out = written(there.groupBy("of", "cut").cogroup(parts.groupBy("part", "piece")).applyInArrow(judge, schema), name)
+    discard(parts, ids)
+    return out
 
 
 def verified(docs: DataFrame, pairs: DataFrame, n: int, d: float) -> DataFrame:
@@ -453,82 +525,276 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, d: float) -> DataFrame:
     Sketches of the sets, which are far smaller, first drop the pairs that they rule out for certain.
     """
     left = _in_parts(docs, pairs, n, True, _siever(d), "doc_a long, doc_b long", "sieved")
-    return _in_parts(docs, left, n, False, _verifier(d), "doc_a long, doc_b long, jaccard double", "pairs")
+    out = _in_parts(docs, left, n, False, _verifier(d), "doc_a long, doc_b long, jaccard double", "pairs")
+    discard(left)
+    return out
+
+
+# -- crowds ----------------------------------------------------------------------------------------------------------
+
+
+def leaders(signs: DataFrame) -> DataFrame:
+    """(doc_id, leader) of the sets (doc_id, signs) that share a signature key with CROWD sets or more.
+
+    The leader of a key is the set whose keys are the most common together; a set takes the leader of most of its keys.
+    """
+    keys = signs.select("doc_id", F.explode("signs").alias("key")).where("key <> 0")
+    hot = written(keys.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") >= CROWD), "hot-keys")
+    k = hot.count()
+    crowd = written(keys.join(F.broadcast(hot) if k <= BROADCAST_IDS else hot.hint("merge"), "key"), "crowds")
+    score = crowd.groupBy("doc_id").agg(F.sum("many").alias("score"))
+    first = crowd.join(score, "doc_id").groupBy("key").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("of"))).alias("top")).select("key", "top.score", (-F.col("top.of")).alias("leader"))
+    votes = crowd.join(first, "key").groupBy("doc_id", "leader").agg(F.count("*").alias("votes"), F.max("score").alias("score"))
+    out = written(votes.groupBy("doc_id").agg(F.max(F.struct("votes", "score", (-F.col("leader")).alias("of"))).alias("top")).select("doc_id", (-F.col("top.of")).alias("leader")), "leaders")
+    discard(hot, crowd)
+    return out
+
+
+def labelled(docs: DataFrame, lead: DataFrame, n: int, d: float) -> DataFrame:
+    """(doc_id, label, size, apart, delta): the sets that are similar to their leader.
+
+    delta: the sorted hashes of the grams that one of them lacks; apart: how far the set is from being half as far from the leader as similar sets may be from one another,
+    scaled to a whole number. Two sets of a label whose ``apart`` add up to 0 or less are similar.
+    """
+    many, tops = lead.count(), lead.select(F.col("leader").alias("doc_id")).distinct()
+    sets = written(_packed(by_ids(docs, tops, "doc_id", "left_semi"), n, False).select(F.col("doc_id").alias("leader"), F.col("grams").alias("of")), "leader-sets")
+    held = sets.agg(F.sum(F.length("of"))).first()[0] or 0
+    rows = docs.join(F.broadcast(lead) if many <= BROADCAST_IDS else lead.hint("merge"), "doc_id")
+    rows = rows.join(F.broadcast(sets) if held <= BROADCAST_BYTES else sets.hint("merge"), "leader")
+    over, under = _scaled(d)
+
+    def run(batches):
+        for b in batches:
+            out: list[list] = [[], [], [], [], []]
+            lead, of = b.column(2).to_pylist(), b.column(3)
+            for row, doc, t in _numbered(b, n):
+                top = np.frombuffer(of[row].as_buffer(), U64)
+                delta = np.setxor1d(t, top, assume_unique=True)
+                if len(delta) * over <= (len(t) + len(top)) * under:
+                    for k, v in zip(out, (doc, lead[row], len(t), len(delta) * over - len(t) * under, delta.tobytes())):
+                        k.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (*[pa.int64()] * 4, pa.binary()))], names=["doc_id", "label", "size", "apart", "delta"])
+
+    out = written(rows.select("doc_id", "text", "leader", "of").mapInArrow(run, "doc_id long, label long, size long, apart long, delta binary"), "labelled")
+    discard(sets)
+    return out
+
+
+def _scaled(d: float) -> tuple[int, int]:
+    """Whole numbers o, u so that sets with a difference of x and sizes of s together are similar if x * o <= s * u."""
+    k = round(d * 1_000_000)
+    return 1_000_000 + k, 1_000_000 - k
+
+
+def _block_links(left: pa.Table, right: pa.Table) -> pa.Table:
+    """(doc_id, links): what verified pairs of a left, far set and a right one add to their links."""
+    right = right.rename_columns([c.removeprefix("other_") for c in right.column_names])
+    if not left.num_rows or not right.num_rows:
+        return pa.table({"doc_id": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
+    ids, apart, weight = ([np.asarray(t[c]) for t in (left, right)] for c in ("doc_id", "apart", "weight"))
+    over = left["over"][0].as_py()
+    delta = [[np.frombuffer(x.as_buffer(), U64) for x in t["delta"]] for t in (left, right)]
+    flat = [np.concatenate(x) if x else np.empty(0, U64) for x in delta]
+    both = np.intersect1d(*flat)
+    shared = np.zeros((len(ids[0]), len(ids[1])), np.float32)
+    place = []
+    for x, f in zip(delta, flat):
+        at = np.searchsorted(both, f)
+        at[at == len(both)] = 0
+        ok = both[at] == f if len(both) else np.zeros(len(f), bool)
+        place.append((np.repeat(np.arange(len(x)), [len(y) for y in x])[ok], at[ok]))
+    for lo in range(0, len(both), 4096):
+        m = []
+        for (row, col), x in zip(place, delta):
+            part = (col >= lo) & (col < lo + 4096)
+            one = np.zeros((len(x), min(4096, len(both) - lo)), np.float32)
+            one[row[part], col[part] - lo] = 1
+            m.append(one)
+        shared += m[0] @ m[1].T
+    total = apart[0][:, None] + apart[1][None, :]
+    ok = (total > 0) & (total - 2 * over * shared.astype(np.int64) <= 0)
+    far = apart[1] > 0  # two far sets meet twice
+    ok &= ~far[None, :] | (ids[0][:, None] < ids[1][None, :])
+    doc, links = np.concatenate(ids), np.concatenate((ok @ weight[1], ok.T @ weight[0]))
+    return pa.table({"doc_id": pa.array(doc[links > 0], pa.int64()), "links": pa.array(links[links > 0].astype(np.int64), pa.int64())})
+
+
+def crowd_links(rows: DataFrame, d: float) -> DataFrame:
+    """(doc_id, links): how many documents of other sets of its label each set of ``rows`` (labelled, and weight: documents of the set) is similar to."""
+    cells = rows.groupBy("label", "apart").agg(F.sum("weight").alias("weight"))
+    # a cell is similar to the cells up to minus its own value: one pass in order, a question behind the cells of its value
+    line = cells.select("label", F.col("apart").alias("at"), F.lit(0).alias("asks"), "weight", F.lit(None).cast("long").alias("apart")).unionByName(
+        cells.select("label", (-F.col("apart")).alias("at"), F.lit(1).alias("asks"), F.lit(0).cast("long").alias("weight"), "apart")
+    )
+    sure = line.withColumn("sure", F.sum("weight").over(Window.partitionBy("label").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0))).where("asks = 1").select("label", "apart", "sure")
+    own = F.when(F.col("apart") <= 0, F.col("weight")).otherwise(0)
+    certain = rows.join(sure, ["label", "apart"]).select("doc_id", (F.col("sure") - own).alias("links"))
+    span = rows.groupBy("label").agg(F.max("apart").alias("farthest"), F.ceil(F.sum(F.when(F.col("apart") > 0, 1).otherwise(0)) / BLOCK).alias("lefts"))
+    open_ = rows.join(span.where("farthest > 0"), "label").where(F.col("apart") > -F.col("farthest"))
+    rights = open_.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("rights"))
+    open_ = open_.join(rights, "label").withColumn("over", F.lit(_scaled(d)[0]))
+    place = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    left = open_.where("apart > 0").select("label", place("lefts").alias("l"), every("rights").alias("r"), "doc_id", "apart", "weight", "over", "delta")
+    right = open_.select("label", every("lefts").alias("l"), place("rights").alias("r"), "doc_id", "apart", "weight", "delta")
+    right = right.select(*(F.col(c).alias("other_" + c) for c in right.columns))
+    checked = left.groupBy("label", "l", "r").cogroup(right.groupBy("other_label", "other_l", "other_r")).applyInArrow(_block_links, "doc_id long, links long")
+    return certain.unionByName(checked).groupBy("doc_id").agg(F.sum("links").alias("links"))
+
+
+# -- the join --------------------------------------------------------------------------------------------------------
 
 
 class Joined:
-    """What the join finds: ``sets`` (rep, size, members) and ``pairs`` (doc_a, doc_b, jaccard) of representatives."""
+    """What the join finds.
+
+    ``docs`` (doc_id, rep): every document with words, and the least document of an equal set; ``sets`` (rep, weight): how many documents have it;
+    ``pairs`` (doc_a, doc_b, jaccard): similar sets that have no label in common; ``labelled``: see there.
+    """
+
+    def __init__(self, docs: DataFrame, sets: DataFrame, pairs: DataFrame, labelled: DataFrame):
+        self.docs, self.sets, self.pairs, self.labelled = docs, sets, pairs, labelled
+
+    def classes(self) -> DataFrame:
+        """(rep, class_id) of the sets that are linked to others: the least set that links lead to."""
+        edges = self.pairs.select("doc_a", "doc_b").unionByName(self.labelled.select(F.col("doc_id").alias("doc_a"), F.col("label").alias("doc_b")))
+        return components(edges).select(F.col("doc_id").alias("rep"), F.col("root").alias("class_id"))
 
-    def __init__(self, sets: DataFrame, pairs: DataFrame):
-        self.sets, self.pairs = sets, pairs
+
+def keyed(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, bool]:
+    """Documents with an id and a text, each once, with a 64-bit ``key``, and whether ids repeat.
+
+    The key is the doc_id; where rows of one doc_id have several texts, a hash of both.
+    """
+    docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    num = F.col("doc_id").cast("long")
+    many = docs.select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg(F.count("*").alias("k"), (F.min("h") != F.max("h")).alias("differ")).where("k > 1").select("doc_id", "differ")
+    many = written(many, "repeated")
+    r = many.count()
+    if not r:
+        discard(many)
+        return docs.withColumn(key, num), False
+    mark = [c for c in ("differ", "differ_", "differ__") if c not in docs.columns][0]
+    many = many.withColumnRenamed("differ", mark)
+    again = docs.join(F.broadcast(many) if r <= BROADCAST_IDS else many.hint("merge"), "doc_id").withColumn(key, F.when(F.col(mark), F.xxhash64("doc_id", "text")).otherwise(num))
+    once = by_ids(docs, many.select("doc_id"), "doc_id", "left_anti", r).withColumn(key, num)
+    return once.unionByName(again.dropDuplicates([key]).select(*map(_named, once.columns))), True
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> Joined:
-    """All pairs of documents whose n-gram sets have a Jaccard similarity of at least ``threshold`` (0.5 or more)."""
+    """All links of documents (doc_id long, text), each id once, whose n-gram sets have a Jaccard similarity of at least ``threshold`` (0.5 or more)."""
     if not 0.5 <= threshold <= 1:
         raise ValueError("threshold must be from 0.5 to 1")
-    docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = written(equal_sets(set_hashes(docs, n)), "equal-sets")
-    copies = sets.where(F.size("members") > 1).select(F.explode(F.slice("members", 2, F.size("members") - 1)).alias("doc_id"))
-    sizes = sets.agg(F.count("*"), F.sum("size"), F.sum(F.size("members") - 1)).first()
-    reps, grams, extra = (int(x or 0) for x in sizes)
-    own = by_ids(docs, copies, "doc_id", "left_anti", extra)
+    hashes = written(set_hashes(docs, n), "hashes")
+    sets = written(hashes.groupBy("h1", "h2", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight")), "equal-sets")
+    reps, grams, shared, extra = (int(x or 0) for x in sets.agg(F.count("*"), F.sum("size"), F.count(F.when(F.col("weight") > 1, 1)), F.sum(F.col("weight") - 1)).first())
+    several = sets.where("weight > 1").select("h1", "h2", "size", "rep")
+    rep = written(hashes.join(F.broadcast(several) if shared <= BROADCAST_IDS else several.hint("merge"), ["h1", "h2", "size"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "signs"), "representatives")
+    own = rep.where("doc_id = rep")
+    lead = leaders(own.select("doc_id", "signs"))
+    close = labelled(docs, lead, n, threshold)
+    discard(hashes, lead)
+    role = rep.where("doc_id <> rep").select("doc_id", F.lit(True).alias("gone"), F.lit(None).cast("long").alias("label")).unionByName(close.select("doc_id", F.lit(False).alias("gone"), "label"))
+    k = extra + close.count()
+    own = docs.select("doc_id", "text").join(F.broadcast(role) if k <= BROADCAST_IDS else role.hint("merge"), "doc_id", "left").where("gone IS NULL OR NOT gone").select("doc_id", "text", "label")
     p = plan(own, reps, n, threshold)
-    buckets = max(1, math.ceil(grams * 6 / BUCKET_BYTES))
-    pairs = written(candidates(indexed(own, p, n, buckets), buckets), "candidates")
-    return Joined(sets, verified(own, pairs, n, threshold))
+    buckets = max(1, math.ceil(grams * 5 / BUCKET_BYTES))
+    possible = written(candidates(indexed(own, p, n, buckets), buckets), "candidates")
+    pairs = verified(docs.select("doc_id", "text"), possible, n, threshold)
+    discard(possible)
+    return Joined(rep.select("doc_id", "rep"), sets.select("rep", "weight"), pairs, close)
 
 
 def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, jaccard, docs_a, docs_b): every x of docs_a and y of docs_b, x != y, is a pair with this similarity.
+    """(doc_id, class_id, links): each document that is similar to another one; those of no link have no row.
 
-    doc_a and doc_b are the least ids of two sets; docs_a and docs_b are all documents that have these sets. A set that several documents
-    have gives a row of its own, with doc_b its second document and both lists the same.
+    links: how many other documents have a similarity of ``threshold`` or more with it, equal ones included. class_id: the least doc_id that links lead to;
+    documents are in one class if and only if a chain of links connects them. A doc_id whose rows have several texts has a row for each linked one.
     """
-    found = join(docs, n, threshold)
-    own = found.sets.where(F.size("members") > 1).select(
-        F.col("rep").alias("doc_a"), F.col("members")[1].alias("doc_b"), F.lit(1.0).alias("jaccard"), F.col("members").alias("docs_a"), F.col("members").alias("docs_b")
-    )
-    a = found.sets.select(F.col("rep").alias("doc_a"), F.col("members").alias("docs_a"))
-    b = found.sets.select(F.col("rep").alias("doc_b"), F.col("members").alias("docs_b"))
-    return own.unionByName(found.pairs.join(a, "doc_a").join(b, "doc_b").select("doc_a", "doc_b", "jaccard", "docs_a", "docs_b"))
+    known, repeats = keyed(docs.select("doc_id", "text"), "key")
+    found = join(known.select(F.col("key").alias("doc_id"), "text"), n, threshold)
+    pairs = found.pairs.select(F.explode(F.array(F.struct(F.col("doc_a").alias("x"), F.col("doc_b").alias("rep")), F.struct(F.col("doc_b").alias("x"), F.col("doc_a").alias("rep")))).alias("e")).select("e.*")
+    other = pairs.join(found.sets, "rep").groupBy("x").agg(F.sum("weight").alias("links")).select(F.col("x").alias("rep"), "links")
+    crowd = crowd_links(found.labelled.join(found.sets.withColumnRenamed("rep", "doc_id"), "doc_id"), threshold).withColumnRenamed("doc_id", "rep")
+    links = other.unionByName(crowd).groupBy("rep").agg(F.sum("links").alias("links"))
+    own = found.sets.join(links, "rep", "left").join(found.classes(), "rep", "left").select("rep", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("class_id", "rep").alias("class_id")).where("links > 0")
+    own = written(own, "links")
+    k = own.count()
+    out = found.docs.join(F.broadcast(own) if k <= BROADCAST_IDS else own.hint("merge"), "rep").select("doc_id", "class_id", "links")
+    if not repeats:
+        return out
+    names = known.select(F.col("key").alias("doc_id"), F.col("doc_id").cast("long").alias("name"))
+    out = out.join(names, "doc_id").select("name", "class_id", "links")
+    least = out.groupBy("class_id").agg(F.min("name").alias("least"))
+    return out.join(least, "class_id").select(F.col("name").alias("doc_id"), F.col("least").alias("class_id"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, root): the least id that each document of the edges (doc_a, doc_b) is connected to.
 
-    Alternating large-star and small-star rounds: a logarithmic number of rounds, each written to the shared folder.
+    Up to EDGES_AT_ONCE edges by union and find in one task; beyond it by alternating large-star and small-star rounds, a logarithmic number of them,
+    each written to the shared folder. In these, edges meet the least neighbour of their end by a join, so no hub's neighbours are collected.
     """
     e = edges.select(F.greatest("doc_a", "doc_b").alias("u"), F.least("doc_a", "doc_b").alias("v")).where("u <> v").distinct()
     e = written(e, "edges")
+    if e.count() <= EDGES_AT_ONCE:
+        return e.coalesce(1).mapInArrow(_united, "doc_id long, root long")
     while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.collect_list("v").alias("vs")).select("u", F.least("m", "u").alias("m"), "vs")
-        large = low.select("u", "m", F.explode("vs").alias("v")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        star = large.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("vs"))
-        small = star.select(F.explode(F.array_union("vs", F.array("u"))).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = written(large, "edges")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         new = written(small, "edges")
-        changed = new.join(e, ["u", "v"], "left_anti").isEmpty() and e.join(new, ["u", "v"], "left_anti").isEmpty()
+        same = new.join(e, ["u", "v"], "left_anti").isEmpty() and e.join(new, ["u", "v"], "left_anti").isEmpty()
+        discard(e, large)
         e = new
-        if changed:
+        if same:
             return e.select(F.col("u").alias("doc_id"), F.col("v").alias("root"))
 
 
+def _united(batches):
+    """(doc_id, root) of all nodes of the edges, by halving of paths; a root is the least of its component."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            u, v = find(u), find(v)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+    nodes = list(parent)
+    for lo in range(0, len(nodes), 1 << 16):
+        part = nodes[lo : lo + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["doc_id", "root"])
+
+
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with only the least doc_id of each group of near or exact copies; columns as they are.
 
-    Rows with a null doc_id or no words stay. Of rows that repeat a doc_id, one of each text stays before groups are formed.
+    Rows with a null doc_id or text stay. Of rows that repeat a doc_id and a text one stays. Where rows of a doc_id have several texts,
+    each stands for itself; which one of its group stays then goes by a hash of both.
     """
-    ids = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
-    repeated = written(ids, "repeated")
-    r = repeated.count()
-    if r:
-        again = by_ids(docs, repeated, "doc_id", "left_semi", r).dropDuplicates(["doc_id", "text"])
-        docs = written(by_ids(docs, repeated, "doc_id", "left_anti", r).unionByName(again), "once")
-    found = join(docs, n, threshold)
-    whole = found.sets.select(F.col("rep").alias("doc_a"), F.explode("members").alias("doc_b")).where("doc_a <> doc_b")
-    gone = written(components(found.pairs.select("doc_a", "doc_b").unionByName(whole)).select("doc_id").distinct(), "gone")
-    return by_ids(docs, gone, "doc_id", "left_anti")
-
-
-__all__ = ["components", "join", "keep_one", "near_duplicates"]
+    key = next(f"key{k or ''}" for k in range(len(docs.columns) + 1) if f"key{k or ''}" not in docs.columns)
+    known, repeats = keyed(docs, key)
+    found = join(known.select(F.col(key).alias("doc_id"), "text"), n, threshold)
+    classes = written(found.classes().select("rep", "class_id"), "classes")
+    k = classes.count()
+    gone = found.docs.join(F.broadcast(classes) if k <= BROADCAST_IDS else classes.hint("merge"), "rep", "left").where(F.col("doc_id") != F.coalesce("class_id", "rep")).select(F.col("doc_id").alias(key))
+    gone = written(gone, "gone")
+    rest = by_ids(known, gone, key, "left_anti").drop(key)
+    return rest.select(*map(_named, docs.columns)).unionByName(docs.where(F.col("doc_id").isNull() | F.col("text").isNull()))
+
+
+def _named(name: str) -> str:
+    """A column's name, quoted."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+__all__ = ["Joined", "components", "join", "keep_one", "near_duplicates"]

@@ -39,14 +39,69 @@ def test_words_match_the_simple_definition():
             assert got == K.simple_words(texts[row])
 
 
+def linked(rows, n, threshold):
+    """(doc_id, class_id, links) of all linked documents, by comparing all pairs."""
+    sets = {i: frozenset(zip(*[t.split()[k:] for k in range(n)])) for i, t in rows}
+    near = {a: {b for b in sets if b != a and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-12} for a in sets}
+    out = set()
+    for a in sets:
+        if near[a]:
+            seen, todo = {a}, [a]
+            while todo:
+                for b in near[todo.pop()] - seen:
+                    seen.add(b)
+                    todo.append(b)
+            out.add((a, min(seen), len(near[a])))
+    return out
+
+
 @pytest.mark.parametrize("n,threshold", [(2, 0.7), (1, 0.5), (3, 0.9)])
 def test_join_finds_all_pairs(spark, n, threshold):
     rows = families(n)
-    sets = {i: frozenset(zip(*[t.split()[k:] for k in range(n)])) for i, t in rows}
-    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-12}
     out = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n, threshold).collect()
-    got = {(min(x, y), max(x, y)) for r in out for x in r.docs_a for y in r.docs_b if x != y}
-    assert got == want
+    assert set(map(tuple, out)) == linked(rows, n, threshold) and len({r.doc_id for r in out}) == len(out)
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.6])
+def test_join_counts_crowds_of_near_copies(spark, monkeypatch, threshold):
+    """Crowds whose members differ from little to more than links allow, with equal members, in blocks of a few rows."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "CROWD", 5)
+    r = random.Random(3)
+    texts = []
+    for size, length in ((70, 120), (40, 30), (25, 400)):
+        base = words(r, length, 4000)
+        for _ in range(size):
+            t = list(base)
+            for _ in range(r.randint(0, length // 7)):
+                t[r.randrange(length)] = f"x{r.randrange(60)}"
+            texts.append(" ".join(t))
+    texts += r.choices(texts, k=15)
+    r.shuffle(texts)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = list(map(tuple, ngram_join.near_duplicates(docs, 2, threshold).collect()))
+    assert set(out) == linked(rows, 2, threshold) and len(out) == len(set(out))
+    found = ngram_join.join(docs, 2, threshold)
+    assert found.labelled.count() > 80 and found.pairs.count() < 1000
+
+
+def test_components_by_rounds(spark, monkeypatch):
+    """Rounds of joins find what one task finds."""
+    r = random.Random(4)
+    edges = spark.createDataFrame([(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000, 1000 + k) for k in range(1, 60)], "doc_a long, doc_b long")
+    one = set(map(tuple, ngram_join.components(edges).collect()))
+    monkeypatch.setattr(ngram_join, "EDGES_AT_ONCE", 0)
+    roots = dict(ngram_join.components(edges).collect())
+    assert {(a, b) for a, b in one if a != b} == {(a, b) for a, b in roots.items() if a != b}
+
+
+def test_join_cuts_large_parts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PAIRS_AT_ONCE", 3)
+    monkeypatch.setattr(ngram_join, "LISTED", 10)
+    rows = families(8)
+    out = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert set(map(tuple, out)) == linked(rows, 2, 0.7)
 
 
 def test_sketches_never_rule_out_a_pair():
