@@ -16,6 +16,7 @@ def sampled_labels(labels: DataFrame, columns: list[str], rows: int, seed: int)
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int, seed: int) -> DataFrame:
-    """(doc_id, text, label columns) of the sampled labels; the sample is bounded, so it is broadcast."""
+    """(doc_id, text, label columns) of the sampled labels, one row each; the sample is bounded, so it is broadcast. Of rows that repeat a doc_id the least text is taken."""
     picked = sampled_labels(labels, columns, rows, seed)
-    return docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
+    found = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), *[F.first(c).alias(c) for c in columns])

@@ -3,10 +3,11 @@
 A bounded sample of labelled documents gives token counts of both classes; copies within the sample count once. A word's score is the
 log of its probability in toxic text over that in clean text, each smoothed by a Dirichlet prior that is proportional to the word's background frequency. Words whose
 document-level log-odds are not significantly positive are pooled into one class with one, slightly negative score. So scores are log likelihood ratios, and
-the best segment of a clean document of n words has P(M >= s) = 1 - exp(-K n e^-s), an extreme-value law whose K is fitted on held-out clean documents.
+the best segment of a clean document of n words has P(M >= s) = 1 - exp(-K n e^-s), an extreme-value law whose K is fitted on the best segments of held-out clean documents.
 
 Every document is scanned once, whole, for all its maximal-scoring segments (linear time); a segment is a toxic passage if so good a
-segment is expected fewer than ``ALPHA`` times in the clean text of its document. A document is toxic if it has one.
+segment is expected fewer than ``ALPHA`` times in the clean text of its document. A document is toxic if it has one. Its p-value is the chance that clean text of its length has
+as many passages as it has that are as good as its least one: their number is Poisson, with the E-value as its mean.
 
 Defined results: null, empty and wordless texts have no passages; every row is scanned by itself, so rows that are repeated give their passages again, and a
 null doc_id is carried as null; passages with equal scores are all given. Without labelled documents of both kinds nothing is toxic and the result is empty. Other columns are ignored.
@@ -14,6 +15,8 @@ null doc_id is carried as null; passages with equal scores are all given. Withou
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,9 +37,10 @@ SCHEMA = "doc_id long, toxic boolean, passage int, start_byte long, end_byte lon
 def segments(at: np.ndarray, gain: np.ndarray, drift: float, n: int) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first word, word after, score) of n words that score ``-drift`` but for those ``at`` some places, which score ``gain`` > 0.
 
-    Ruzzo and Tompa's scan: each candidate keeps the cumulative score before and after it; it absorbs earlier ones while that pays.
+    Ruzzo and Tompa's scan: each candidate keeps the cumulative score before and after it, and a link to the last candidate before it with a lower score before it;
+    it absorbs earlier ones while that pays. Whatever a search passes over is never met again, so the time is in proportion to the places.
     """
-    lefts, rights, first, last = [], [], [], []
+    lefts, rights, first, last, link = [], [], [], [], []
     total, before = 0.0, 0
     for p, g in zip(at.tolist(), gain.tolist()):
         total -= drift * (p - before)
@@ -44,18 +48,20 @@ def segments(at: np.ndarray, gain: np.ndarray, drift: float, n: int) -> list[tup
         lo, start = total, p
         total += g
         hi = total
+        j = len(lefts) - 1
         while True:
-            j = len(lefts) - 1
             while j >= 0 and lefts[j] >= lo:
-                j -= 1
+                j = link[j]
             if j < 0 or rights[j] >= hi:
                 lefts.append(lo)
                 rights.append(hi)
                 first.append(start)
                 last.append(p + 1)
+                link.append(j)
                 break
-            lo, start = lefts[j], first[j]
-            del lefts[j:], rights[j:], first[j:], last[j:]
+            lo, start, k = lefts[j], first[j], link[j]
+            del lefts[j:], rights[j:], first[j:], last[j:], link[j:]
+            j = k
     return [(a, b, r - l) for a, b, l, r in zip(first, last, lefts, rights)]
 
 
@@ -76,27 +82,32 @@ class Model:
 
 
 def _doc_rows(docs: DataFrame) -> list[dict]:
-    """(toxic, hashes, counts, bands) of each labelled document, ordered by content."""
+    """(toxic, hashes, counts, bands, order) of each labelled document, ordered by content.
+
+    order: the place of each of its words among its hashes, for a third of the clean documents, chosen by content; empty for the others.
+    """
 
     def run(batches):
         salts = K.mix(np.arange(1, BANDS + 1, dtype=U64))
         for b in batches:
-            rows = {"toxic": [], "hashes": [], "counts": [], "bands": []}
+            rows = {"toxic": [], "hashes": [], "counts": [], "bands": [], "order": []}
             toxic = b.column(1).to_pylist()
             for c in K.chunks(b.column(0)):
                 h, ptr = c.hashes()
                 for k, r in enumerate(c.rows):
                     own = h[ptr[k] : ptr[k + 1]]
                     if len(own):
-                        u, n = np.unique(own, return_counts=True)
+                        u, inverse, n = np.unique(own, return_inverse=True, return_counts=True)
                         g = K.grams(own, SPAN)
+                        least = np.array([K.mix(g ^ s).min() for s in salts])
                         rows["toxic"].append(toxic[r])
                         rows["hashes"].append(u.tobytes())
                         rows["counts"].append(n.astype(np.int64).tobytes())
-                        rows["bands"].append(np.array([K.mix(g ^ s).min() for s in salts]).tobytes())
-            yield pa.RecordBatch.from_pydict(rows, pa.schema([("toxic", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()), ("bands", pa.binary())]))
+                        rows["bands"].append(least.tobytes())
+                        rows["order"].append(inverse.astype(np.uint32).tobytes() if not toxic[r] and least[0] % U64(3) == 0 else b"")
+            yield pa.RecordBatch.from_pydict(rows, pa.schema([("toxic", pa.int32()), *((k, pa.binary()) for k in ("hashes", "counts", "bands", "order"))]))
 
-    got = docs.select("text", "toxic").mapInArrow(run, "toxic int, hashes binary, counts binary, bands binary").collect()
+    got = docs.select("text", "toxic").mapInArrow(run, "toxic int, hashes binary, counts binary, bands binary, order binary").collect()
     return sorted((r.asDict() for r in got), key=lambda r: (r["bands"], r["hashes"], r["toxic"]))
 
 
@@ -133,10 +144,10 @@ def _root(dt: np.ndarray, dc: np.ndarray, at: int, ac: int) -> np.ndarray:
 
 
 def learn(rows: list[dict]) -> Model:
-    """The word scores of labelled documents. Every third clean document is held out for K."""
+    """The word scores of labelled documents. About every third clean document, with its words in order, is held out for K."""
     rows = _once(rows)
     toxic, clean = [r for r in rows if r["toxic"]], [r for r in rows if not r["toxic"]]
-    held, clean = clean[::3], [r for k, r in enumerate(clean) if k % 3]
+    held, clean = [r for r in clean if r["order"]], [r for r in clean if not r["order"]]
     if not toxic or not clean:
         return Model(np.empty(0, U64), np.empty(0), 0.0)
     words = np.unique(np.concatenate([np.frombuffer(r["hashes"], U64) for r in toxic + clean]))
@@ -155,15 +166,35 @@ def learn(rows: list[dict]) -> Model:
         return Model(np.empty(0, U64), np.empty(0), 0.0)
     drift = float(np.log((1 - qc[pick].sum()) / (1 - qt[pick].sum())))
     m = Model(words[pick], gain[pick], max(drift, 1e-4))
-    # n e^-M of clean documents is exponential with rate K; a document's best word is a lower bound of M that needs no order of words
-    u = []
-    for r in held:
-        _, g = m.found(np.frombuffer(r["hashes"], U64))
-        u.append(np.frombuffer(r["counts"], np.int64).sum() * np.exp(-(g.max() if len(g) else 0.0)))
-    m.k = max(K_MIN, len(u) / max(sum(u), 1e-9)) if u else 1.0
+    m.k = rate([best_of(m, r) for r in held])
     return m
 
 
+def best_of(m: Model, row: dict) -> tuple[int, float]:
+    """(words, score of the best segment) of a document that has its words in order."""
+    h = np.frombuffer(row["hashes"], U64)[np.frombuffer(row["order"], np.uint32)]
+    at, gain = m.found(h)
+    return len(h), max((s for _, _, s in segments(at, gain, m.drift, len(h))), default=0.0)
+
+
+def rate(best: list[tuple[int, float]]) -> float:
+    """K of the extreme-value law: n e^-M is exponential with this rate. A document without a segment has no score, so its n is a lower bound of that."""
+    if not best:
+        return 1.0
+    return max(K_MIN, sum(s > 0 for _, s in best) / sum(n * np.exp(-s) for n, s in best))
+
+
+def at_least(r: int, mean: float) -> float:
+    """The chance of r or more events of a Poisson law."""
+    term = math.exp(-mean + r * math.log(max(mean, 1e-300)) - math.lgamma(r + 1))
+    total, k = 0.0, r
+    while term > total * 1e-17 and k < r + 200:
+        total += term
+        k += 1
+        term *= mean / k
+    return min(total, 1.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> Model:
     """Fit on at most ``rows`` labelled documents."""
     return learn(_doc_rows(labelled_texts(docs, labels, ["toxic"], rows, 2)))
@@ -193,7 +224,7 @@ def scan(docs: DataFrame, model: Model, alpha: float = ALPHA) -> DataFrame:
                     found = [x for x in found if x[3] < alpha]
                     if found:
                         r = c.rows[k]
-                        p = -float(np.expm1(-min(x[3] for x in found)))
+                        p = at_least(len(found), max(x[3] for x in found))
                         for no, (a, e, s, ev) in enumerate(found):
                             out.append((None if gone[r] else int(ids[r]), True, no, int(st[ptr[k] + a] - c.off[k]), int(en[ptr[k] + e - 1] - c.off[k]), e - a, s, ev, p, len(found)))
             columns = list(zip(*out)) if out else [()] * len(names)
