@@ -4,7 +4,9 @@ Each language has a tree of byte contexts up to ``ORDER`` bytes, counted on a bo
 context that is known, or after an escape in the next shorter one, down to a uniform code of the 256 bytes. A symbol seen c times in a
 context of t symbols of which d differ has probability c / (t + d), an escape d / (t + d). As statistics are frozen, the code length of a byte is a function of
 the bytes before it: all contexts of all languages become the states of one automaton with a table of code lengths, so that a
-text is scored exactly, whole, with a few array look-ups a byte.
+text is scored whole, with a few array look-ups a byte. The table holds each code length to the nearest 1/256 bit: a text's total is within 1/512 bit a byte of the
+sum of the exact ones. An entry goes up to 128 bits, which no code length exceeds while a language's sample has fewer than 16 million bytes.
+Contexts of three bytes and more that were seen fewer than ``SEEN`` times in all samples are no part of the trees: their shorter ones stand for them.
 
 The language with the least code length wins. A text is accepted if it takes no more bits than texts of its language are known to take, with an allowance for
 short texts. Ties go to the language that is first in order.
@@ -229,6 +231,6 @@ def identify(docs: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> DataF
 def keep_known(docs: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> DataFrame:
     """The documents of an accepted language, with their columns as they are."""
     columns = docs.columns
-    flag = "__accepted"
     s = scored(docs, fit(docs, sample, order), columns)
-    return s.toDF(*columns, "__lang", "__rate", "__margin", flag).where(F.col(flag)).select(*[F.col(f"`{c}`") for c in columns])
+    plain = [f"c{k}" for k in range(len(columns))]  # whatever the columns are called
+    return s.toDF(*plain, "lang_id", "rate", "margin", "accepted").where("accepted").select(*plain).toDF(*columns)
