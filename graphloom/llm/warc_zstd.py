@@ -3,8 +3,8 @@
 Each file starts with a skippable frame (magic 0x184D2A5D) that holds a dictionary built from the file's own records; every record follows as a frame of its own that is
 compressed with it, so any record can be read alone from its offset. This is the layout that public readers of ``.warc.zst`` expect.
 
-A task writes the records of its partition one file after another, without a shuffle, and holds one file's records of ``FILE_BYTES`` at most (plus one record). The dictionary is trained on records spread evenly over the whole
-file, as many as make up ``TRAIN_BYTES``, a bound on training alone; all records are compressed. Files are rows of frames here: a frame's place is its file, number, offset and length, and the frames of a file
+A task writes the records of its partition one file after another, without a shuffle, and holds one file's records of ``FILE_BYTES`` at most (plus one record). The dictionary is trained on all
+records of the file, whole. Files are rows of frames here: a frame's place is its file, number, offset and length, and the frames of a file
 in order of their numbers are its bytes. ``save`` makes files of them. Everything is a function of the records, so a task that runs again writes the same bytes.
 
 Defined results: a null url has no WARC-Target-URI; a null html is an empty block marked ``WARC-Truncated: unspecified``; a null page_id has no X-Page-Id; all three come back as null, empty strings as empty. Control
@@ -14,7 +14,6 @@ characters and blanks in a URL are percent-encoded, and decoded again by ``read`
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 import struct
 from collections.abc import Iterator
@@ -22,13 +21,14 @@ from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAGIC = 0x184D2A5D
-#: Bytes of records in a file, bytes of the dictionary, bytes of records it is trained on, and the level of compression.
-FILE_BYTES, DICT_BYTES, TRAIN_BYTES, LEVEL = 64 << 20, 64 << 10, 4 << 20, 3
+#: Bytes of records in a file, bytes of the dictionary, most bytes of one sample in training (the trainer takes no longer ones), and the level of compression.
+FILE_BYTES, DICT_BYTES, SAMPLE_BYTES, LEVEL = 64 << 20, 64 << 10, 128 << 10, 3
 #: Records are dated so where the caller gives no date: the tables have none.
 DATE = "1970-01-01T00:00:00Z"
 SCHEMA = "file string, number int, offset long, length long, record_id string, page_id long, url string, block_bytes long, digest string, frame binary"
@@ -53,19 +53,16 @@ def record(page_id: int | None, url: str | None, html: str | None, date: str = D
     return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n", rid, digest, len(block)
 
 
-def dictionary(records: list[bytes], size: int = DICT_BYTES, train: int = TRAIN_BYTES) -> bytes:
-    """A dictionary trained on records spread over all of them; where there is too little to train on, their beginning as raw content."""
-    total = sum(map(len, records))
-    stride = max(1, -(-total // train))
-    picked = records[::stride]
-    # of a long record the dictionary can use a part only; compression takes it whole
-    picked = [r if len(r) <= 131072 else r[: 131072] for r in picked]
-    if len(picked) >= 16 and sum(map(len, picked)) >= 8 * 1024:
+def dictionary(records: list[bytes], size: int = DICT_BYTES) -> bytes:
+    """A dictionary trained on all records; where there is too little to train on, the end of the records as raw content."""
+    pieces = [r[k : k + SAMPLE_BYTES] for r in records for k in range(0, len(r), SAMPLE_BYTES)]
+    total = sum(map(len, pieces))
+    if len(pieces) >= 8:
         try:
-            return zstandard.train_dictionary(min(size, max(1024, sum(map(len, picked)) // 8)), picked, level=LEVEL).as_bytes()
+            return zstandard.train_dictionary(min(size, max(1024, total // 8)), pieces, level=LEVEL).as_bytes()
         except zstandard.ZstdError:
             pass
-    return (picked[0] if picked else b"")[:1024].ljust(8, b"\n")
+    return b"".join(records)[-size:].ljust(8, b"\n")
 
 
 def leading_frame(d: bytes) -> bytes:
@@ -120,14 +117,14 @@ def archive(pages: DataFrame, date: str = DATE, file_bytes: int = FILE_BYTES) ->
 
 
 def save(frames: DataFrame, path: str) -> DataFrame:
-    """Write the files into a folder that all executors share (a path or a ``file:`` URL); gives (file, bytes).
+    """Write the files into a folder that all executors share, a path or a URL of any file system that Arrow knows (``file:``, ``hdfs:``, ``s3:`` and others); gives (file, bytes).
 
-    A file is written under a name of its own and renamed when it is whole, so that a task that is lost or runs twice leaves no part of one.
+    A file is written under a name of its own and moved when it is whole, so that a task that is lost or runs twice leaves no part of one.
     """
-    folder = re.sub(r"^file:(//)?", "", path)
 
     def run(batches):
-        os.makedirs(folder, exist_ok=True)
+        store, folder = fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+        store.create_dir(folder, recursive=True)
         task = TaskContext.get()
         mark = f".{task.taskAttemptId() if task else 0}"
         name, out = None, None
@@ -137,18 +134,29 @@ def save(frames: DataFrame, path: str) -> DataFrame:
                 if f != name:
                     if out:
                         out.close()
-                        os.replace(f"{folder}/{name}{mark}", f"{folder}/{name}")
-                    name, out, sizes[f] = f, open(f"{folder}/{f}{mark}", "wb"), 0  # noqa: SIM115
+                        store.move(f"{folder}/{name}{mark}", f"{folder}/{name}")
+                    name, out, sizes[f] = f, store.open_output_stream(f"{folder}/{f}{mark}"), 0
                 sizes[f] += out.write(frame.as_buffer())
         if out:
             out.close()
-            os.replace(f"{folder}/{name}{mark}", f"{folder}/{name}")
+            store.move(f"{folder}/{name}{mark}", f"{folder}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array(list(sizes), pa.string()), pa.array(list(sizes.values()), pa.int64())], names=["file", "bytes"])
 
     rows = frames.repartition(F.col("file")).sortWithinPartitions("file", "number").select("file", "frame")
     return rows.mapInArrow(run, "file string, bytes long")
 
 
+def frame_end(data: bytes, at: int) -> int:
+    """Where the Zstandard frame that begins at a place ends, from its header and the headers of its blocks."""
+    check = data[at + 4] & 4
+    at += zstandard.frame_header_size(data[at : at + 18])
+    while True:
+        head = int.from_bytes(data[at : at + 3], "little")
+        at += 3 + (1 if head >> 1 & 3 == 1 else head >> 3)
+        if head & 1:
+            return at + (4 if check else 0)
+
+
 def frames_of(data: bytes) -> Iterator[bytes]:
     """The raw records of a whole file."""
     magic, n = struct.unpack_from("<II", data)
@@ -157,10 +165,9 @@ def frames_of(data: bytes) -> Iterator[bytes]:
     unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + n]))
     at = 8 + n
     while at < len(data):
-        one = unpacker.decompressobj()
-        raw = one.decompress(data[at:])
-        at = len(data) - len(one.unused_data)
-        yield raw
+        end = frame_end(data, at)
+        yield unpacker.decompress(data[at:end])
+        at = end
 
 
 def parse(raw: bytes) -> tuple[int | None, str | None, str | None]:
