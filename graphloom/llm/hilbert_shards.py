@@ -6,7 +6,7 @@ can skip most runs whichever dimension it filters by.
 
 The index is computed inside the JVM: the curve is a finite automaton, walked once for each bit with a table look-up. Quantiles and the weights of the
 cells come from all rows. The table of cells has at most 2 ** (bits * dimensions) rows, so it is broadcast only while it has at most ``BROADCAST_CELLS`` of them. A cell that
-outweighs a run is cut into several runs by doc_id.
+outweighs a run is cut into several runs by a scramble of doc_id, or of n_chars where doc_id is null; rows that are the same in both stay together.
 
 Defined results: a null in a dimension is quantised to 0, the cell of the least values; null and empty texts weigh nothing but their row; rows that are repeated stay as often as they are there; equal
 indexes are in the order of doc_id, nulls first; an empty table gives no rows. Other columns are carried along; input columns named ``curve`` or ``shard`` are replaced.
@@ -73,24 +73,41 @@ def curve_index(dims: list[Column], bits: int) -> Column:
 
 
 def _numbered(docs: DataFrame, column: str, bits: int) -> DataFrame:
-    """(value, cell) of a column with few values: places in the order of the values, spread over the cells by row counts."""
+    """(value, cell) of a column: places in the order of the values, spread over the cells by row counts.
+
+    Running sums in two steps: ranges of values are summed, then each range runs on from the sum of those before it.
+    """
     counts = docs.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1))
-    return counts.select("value", F.floor(F.coalesce(before, F.lit(0)) * (1 << bits) / F.sum("n").over(Window.partitionBy())).cast("int").alias("cell"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = written(counts.repartitionByRange(parts, "value").withColumn("part", F.spark_partition_id()), "values")
+    sums = counts.groupBy("part").agg(F.sum("n").alias("n"))  # at most ``parts`` rows
+    ahead = sums.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("ahead"), F.sum("n").over(Window.partitionBy()).alias("all"))
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    return counts.join(F.broadcast(ahead), "part").select("value", F.floor((F.col("ahead") + inside) * (1 << bits) / F.col("all")).cast("int").alias("cell"))
 
 
 def placed(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """The rows with their ``curve`` index over lang, source and length (in powers of the square root of 2, from 64 characters up)."""
     top = (1 << bits) - 1
     plain = docs.drop("curve", "shard")
+    own = _free(plain.columns)
     for name in ("lang", "source"):
-        cells = written(_numbered(docs, name, bits).select(F.col("value").alias(f"__v_{name}"), F.col("cell").alias(f"__c_{name}")), "cells")
+        value, cell = f"{own}value", f"{own}{name}"
+        cells = written(_numbered(docs, name, bits).toDF(value, cell), "cells")
         # a join by shuffle would put a hot value's rows into one task; that many values have none that hot
-        plain = plain.join(F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells, F.col(name) == F.col(f"__v_{name}"), "left").drop(f"__v_{name}")
+        plain = plain.join(F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells, F.col(name) == F.col(value), "left").drop(value)
     chars = F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0))
     length = F.when(chars < 64, 0).otherwise(F.least(F.lit(top), F.floor(2 * (F.log2(F.greatest(chars, F.lit(64.0))) - 6) + 1e-9))).cast("int")
-    dims = [F.coalesce(F.col("__c_lang"), F.lit(0)), F.coalesce(F.col("__c_source"), F.lit(0)), length]
-    return plain.withColumn("curve", curve_index(dims, bits)).drop("__c_lang", "__c_source")
+    dims = [F.coalesce(F.col(f"{own}lang"), F.lit(0)), F.coalesce(F.col(f"{own}source"), F.lit(0)), length]
+    return plain.withColumn("curve", curve_index(dims, bits)).drop(f"{own}lang", f"{own}source")
+
+
+def _free(columns: list[str]) -> str:
+    """A beginning of names that no column has."""
+    own = "_"
+    while any(c.lower().startswith(own) for c in columns):
+        own += "_"
+    return own
 
 
 def runs(rows: DataFrame, weight: Column, run: int = RUN_CHARS) -> DataFrame:
@@ -108,13 +125,16 @@ def shard(docs: DataFrame, bits: int = BITS, run: int = RUN_CHARS) -> DataFrame:
     weight = F.coalesce(F.col("n_chars"), F.lit(0)) + ROW_CHARS
     plan = written(runs(rows.select("curve", "n_chars"), weight, run), "runs")
     got = plan.agg(F.count("*"), F.max(F.col("first") + F.col("pieces"))).first()
-    plan = plan.toDF("curve", "__first", "__pieces")
+    own = _free(rows.columns)
+    plan = plan.toDF("curve", f"{own}first", f"{own}pieces")
     out = rows.join(F.broadcast(plan) if got[0] <= BROADCAST_CELLS else plan, "curve")
-    key = F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.col("__pieces")), F.lit(0))
-    out = out.withColumn("shard", F.col("__first") + key)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.col("n_chars").cast("long"), F.lit(0))
+    scrambled = F.shiftright(F.pmod(key, F.lit(1 << 31)) * F.lit(2654435761), 15)
+    out = out.withColumn("shard", F.col(f"{own}first") + F.pmod(scrambled, F.col(f"{own}pieces")))
     columns = [c for c in docs.columns if c not in ("curve", "shard")]
     out = out.select(*[F.col(f"`{c}`") for c in columns], "curve", "shard")
-    return out.repartitionByRange(max(1, int(got[1] or 1)), "shard").sortWithinPartitions("shard", "curve", "doc_id")
+    # each shard is a partition of its own
+    return out.repartitionById(max(1, int(got[1] or 1)), F.col("shard").cast("int")).sortWithinPartitions("shard", "curve", "doc_id")
 
 
 def manifest(sharded: DataFrame) -> DataFrame:
@@ -147,4 +167,4 @@ dims AS (SELECT d.*, coalesce(a.cell, 0) AS c_lang, coalesce(b.cell, 0) AS c_sou
 cell AS (SELECT curve, sum(coalesce(n_chars, 0) + {ROW_CHARS}) AS w FROM {last} GROUP BY curve),
 cum AS (SELECT curve, w, coalesce(sum(w) OVER (ORDER BY curve ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM cell),
 run AS (SELECT curve, CAST(floor(p / {RUN_CHARS}.0) AS BIGINT) AS first, greatest(1, CAST(floor((p + w) / {RUN_CHARS}.0) AS BIGINT) - CAST(floor(p / {RUN_CHARS}.0) AS BIGINT)) AS pieces FROM cum)
-SELECT doc_id, text, lang, source, n_chars, curve, CAST(first + coalesce(((doc_id % pieces) + pieces) % pieces, 0) AS BIGINT) AS shard FROM {last} JOIN run USING (curve)"""
+SELECT doc_id, text, lang, source, n_chars, curve, CAST(first + ((((coalesce(doc_id, n_chars, 0) % 2147483648 + 2147483648) % 2147483648 * 2654435761) >> 15) % pieces) AS BIGINT) AS shard FROM {last} JOIN run USING (curve)"""
