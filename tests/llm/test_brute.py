@@ -172,6 +172,41 @@ def test_segments_are_the_maximal_ones():
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in brute(x)]
 
 
+def test_segments_take_linear_time():
+    """Falling scores make every place look back; many small rises within them too."""
+    import time
+
+    def took(n):
+        at = np.arange(n) * 3
+        gain = np.where(np.arange(n) % 2, 0.05, 1.1) + np.linspace(0.2, 0, n)
+        began = time.process_time()
+        for x in (gain, np.full(n, 0.1)):
+            toxic_segments.segments(at, x, 0.41, 3 * n)
+        return time.process_time() - began
+
+    took(5_000)
+    assert took(160_000) < 14 * max(took(20_000), 0.02)
+
+
+def test_false_passages_are_as_rare_as_stated():
+    """K from half of clean documents that draw their words alike; on the others, E-values below a level come as often as it says."""
+    rng = np.random.default_rng(5)
+    m = toxic_segments.Model(np.arange(40, dtype=np.uint64), np.linspace(0.8, 2.5, 40), 0.35)
+
+    def best(n):
+        h = np.where(rng.random(n) < 0.06, rng.integers(0, 40, n), 1000).astype(np.uint64)
+        at, gain = m.found(h)
+        return n, max((s for _, _, s in toxic_segments.segments(at, gain, m.drift, n)), default=0.0)
+
+    sizes = rng.integers(50, 600, 3000)
+    k = toxic_segments.rate([best(n) for n in sizes[:1500]])
+    e = np.array([k * n * np.exp(-s) for n, s in map(best, sizes[1500:])])
+    for level in (0.3, 0.1, 0.03):
+        assert (e < level).mean() < 1.6 * level
+    assert abs(toxic_segments.at_least(1, 0.01) + np.expm1(-0.01)) < 1e-15
+    assert abs(toxic_segments.at_least(3, 2.0) - (1 - np.exp(-2) * 5)) < 1e-12
+
+
 def test_toxicity_finds_what_is_planted(spark):
     r = random.Random(9)
     docs, labels = [], []
@@ -317,6 +352,51 @@ def test_warc_round_trip(spark, tmp_path):
     assert data[one.offset : one.offset + one.length] == bytes(one.frame)
 
 
+def test_warc_frames_are_standard(spark):
+    """An independent walk: headers by struct, each frame decompressed alone by a reader that knows the dictionary only, and by its offset."""
+    import hashlib
+    import struct
+
+    import zstandard
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    want = {r.page_id: (r.url, r.html) for r in pages.collect()}
+    frames = warc_zstd.archive(pages, file_bytes=100_000).collect()
+    for name in {r.file for r in frames}:
+        own = sorted((r for r in frames if r.file == name), key=lambda r: r.number)
+        data = b"".join(bytes(r.frame) for r in own)
+        assert struct.unpack("<I", data[:4])[0] == 0x184D2A5D
+        size = struct.unpack("<I", data[4:8])[0]
+        assert own[0].length == 8 + size and [r.offset for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))]
+        z = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + size]))
+        for r in own[1:]:
+            frame = data[r.offset : r.offset + r.length]
+            assert frame[:4] == b"\x28\xb5\x2f\xfd"
+            raw = z.decompress(frame)
+            head, body = raw.split(b"\r\n\r\n", 1)
+            assert head.startswith(b"WARC/1.1\r\nWARC-Type: resource\r\n") and body.endswith(b"\r\n\r\n")
+            html = want.pop(r.page_id)[1].encode()
+            assert body[:-4] == html and f"Content-Length: {len(html)}".encode() in head.split(b"\r\n")
+            assert f"WARC-Block-Digest: sha256:{hashlib.sha256(html).hexdigest()}".encode() in head.split(b"\r\n")
+    assert not want
+
+
+def test_warc_files_are_read_in_linear_time():
+    import time
+
+    import zstandard
+
+    records = [warc_zstd.record(k, f"http://h.example/{k}", f"<p>{k}</p>" + "text of a page " * 90)[0] for k in range(8000)]
+    d = warc_zstd.dictionary(records)
+    packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=True)
+    data = warc_zstd.leading_frame(d) + b"".join(map(packer.compress, records))
+    began = time.process_time()
+    assert list(warc_zstd.frames_of(data)) == records
+    assert time.process_time() - began < 2
+    long = [b"x%d " % k + bytes(range(256)) * 2000 for k in range(3)]
+    assert len(warc_zstd.dictionary(long)) > 256 and len(warc_zstd.dictionary([b"ab"])) == 8
+
+
 def test_urls_held_out():
     rows = url_filter.labelled_urls()
     groups = [k // 4 % 5 for k in range(len(rows))]

@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, in every operator and stage."""
 
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -39,13 +41,24 @@ def bench(spark):
 def test_language(docs, empty):
     out = language_ppm.identify(docs).collect()
     assert len(out) == len(rows())
-    assert all((r.lang_id is None) == (not r.accepted) or r.lang_id for r in out)
-    assert [r.accepted for r in out if r.doc_id in (1, 2)] == [False, False]
+    assert [(r.accepted, r.lang_id, r.bits_per_byte) for r in out if r.doc_id in (1, 2)] == [(False, None, None)] * 2
+    assert [(r.accepted, r.lang_id) for r in out if r.doc_id in (4, 10, 39)] == [(True, "en")] * 4
     assert language_ppm.identify(empty).count() == 0
+    clash = docs.withColumnsRenamed({"keep": "__accepted", "curve": "accepted", "shard": "lang_id", "c0": "c1"})
+    kept = language_ppm.keep_known(clash)
+    assert kept.columns == clash.columns and {r.doc_id for r in kept.collect()} >= {4, 5, 10, 39, None}
 
 
 def test_toxicity(docs, labels, empty):
-    toxic_segments.toxic_passages(docs, labels).collect()
+    out = toxic_segments.toxic_passages(docs, labels).collect()
+    assert not out  # no word is significantly toxic here
+    r = random.Random(1)
+    bad = docs.selectExpr("doc_id", "CASE WHEN doc_id % 5 = 0 THEN concat(text, repeat(' vile rotten', 9)) ELSE text END AS text", "lang", "keep AS toxic")
+    more = bad.sparkSession.createDataFrame([(100 + k, " ".join(f"w{r.randrange(400)}" for _ in range(60)) + " vile rotten" * 3 * (k % 2), "en", 1) for k in range(300)], bad.schema)
+    many = labels.unionByName(labels.sparkSession.createDataFrame([(100 + k, 1, k % 2) for k in range(300)], labels.schema))
+    every = bad.unionByName(more).unionByName(bad.where("doc_id = 5")).unionByName(bad.where("doc_id = 20").selectExpr("CAST(NULL AS long) AS doc_id", "text", "lang", "toxic"))
+    out = [r.doc_id for r in toxic_segments.toxic_passages(every, many).collect()]
+    assert out.count(5) == 2 and out.count(None) == 1 and {10, 15, 20, 25, 30, 35} <= set(out) and not {1, 2, 3, 4, 6, 7, 11, 12} & set(out)
     assert toxic_segments.toxic_passages(docs, labels.limit(0)).count() == 0
     assert toxic_segments.toxic_passages(empty, labels).count() == 0
 
@@ -83,10 +96,28 @@ def test_packing(docs, empty):
     assert bestfit_packing.pack(empty).count() == 0
 
 
+def test_labelled_rows_are_bounded(spark):
+    from graphloom.llm.labelled import labelled_texts
+
+    d = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(2, "x"), (3, None), (None, "y")], "doc_id long, text string")
+    l = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (4, 1)], "doc_id long, quality int")
+    assert sorted(map(tuple, labelled_texts(d, l, ["quality"], 10, 1).collect())) == [(1, "text 0", 0), (2, "x", 0)]
+
+
 def test_sharding(docs, empty):
     out = hilbert_shards.shard(docs, run=2000)
     assert out.columns == [c for c in docs.columns if c not in ("curve", "shard")] + ["curve", "shard"]
     assert out.count() == len(rows()) and hilbert_shards.shard(empty).count() == 0
+    clash = docs.withColumnsRenamed({"keep": "__v_lang", "c0": "__first", "first": "_value", "shard": "__pieces"})
+    out = hilbert_shards.shard(clash, run=2000).drop("curve", "shard")
+    same = lambda d: sorted(map(repr, d.select(*[f"`{c}`" for c in clash.columns if c not in ("curve", "shard")]).collect()))
+    assert same(out) == same(clash)
+    lost = docs.unionByName(docs).unionByName(docs).selectExpr("CAST(NULL AS long) AS doc_id", "text", "'en' AS lang", "'s' AS source", "CAST(rand(1) * 20 + 100 AS long) AS n_chars")
+    sizes = [r["count"] for r in hilbert_shards.shard(lost, run=2000).groupBy("shard").count().collect()]
+    assert sum(sizes) == 3 * len(rows()) and len(sizes) > 6 and max(sizes) < 40
+    one = lost.selectExpr("CAST(monotonically_increasing_id() * 64 AS long) AS doc_id", "text", "lang", "source", "100L AS n_chars")
+    sizes = [r["count"] for r in hilbert_shards.shard(one, run=2000).groupBy("shard").count().collect()]
+    assert len(sizes) > 6 and max(sizes) < 40
 
 
 def test_decontamination(docs, bench, empty):
