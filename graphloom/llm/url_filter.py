@@ -20,39 +20,78 @@ from pyspark.sql import DataFrame
 from . import textkit as K
 
 BITS, GRAMS, THRESHOLD = 18, (3, 4, 5), 0.5
-#: Weight of the square penalty, and steps of the fit.
-PENALTY, STEPS = 0.02, 300
+#: Weight of the square penalty, steps of the fit, and the share of URLs that are taken to be unwanted beforehand.
+PENALTY, STEPS, UNWANTED = 0.02, 300, 0.4
 U64 = np.uint64
 
-_BAD_HOSTS = (
-    "casino-royal.com online-casino.net best-casino.org casino-win.net mega-casino.com win-jackpot.com jackpot-slots.net free-slots.org poker-bonus.com free-poker.net sport-bets.com free-bets.net bet-now.org "
-    "betting-tips.com live-bets.net lucky-bet.com cheap-pills.net buy-pills.org pills-online.com cheap-meds.com cheap-viagra.net rx-pharmacy.com online-pharmacy.net weight-loss-pills.com payday-loans.com "
-    "fast-loans.net cheap-loans.org easy-cash.com free-money.net get-rich-fast.com earn-cash-now.com free-iphone.net win-prize.com claim-prize.net free-gift-cards.com cheap-watches.com replica-bags.net "
-    "cheap-replica.com xxx-cams.com hot-xxx.net adult-dating.com adult-videos.net xx-adult.com adult-clips.org spam-mailer.net bulk-spam.com spam-blog.org content-farm.net sexy-chat.net porn-tube.com free-porn.net ads-track.com ad-track.net click-track.org track-click.com adserver.net ads-server.com "
-    "banner-ads.org popup-ads.net doubleads.com clickbait-news.net malware-download.com free-crack.net keygen-crack.com warez-free.org torrent-crack.net phish-login.com secure-login-verify.com "
-    "account-verify.net cheap-seo-links.com buy-backlinks.net link-farm.org spam-links.com casino-bonus.example.com bets-casino.example.com pills-shop.example.com tracking-pixel.example.com"
+_BAD = {
+    "gambling": "casino slots poker roulette blackjack betting bets jackpot bingo lottery gamble wager bookmaker sportsbook".split(),
+    "pills": "pills viagra cialis pharmacy meds tramadol xanax steroids slimming dietpills rxdrugs".split(),
+    "adult": "adult porn xxx sex nude escorts camgirls erotic hentai milf hookup fetish".split(),
+    "money": "loans payday cash bitcoin-doubler forex-signals getrich earnmoney giveaway freegift prize iphone-winner voucher".split(),
+    "fakes": "replica knockoff cheap discount-bags fakewatches outlet-sale essay-writer fake-id".split(),
+    "ads": "ads adserver adclick adtrack tracker tracking pixel popunder banners clickbait affiliate adnetwork telemetry".split(),
+    "malice": "crack keygen warez serials torrents malware phishing verify-account secure-login free-download spam spammer bulkmail backlinks linkfarm seo-links".split(),
+}
+_FILL = "best top online vip mega super hot free win now club world zone 24 365 king pro x my the go easy real royal live".split()
+_PLAIN_WORDS = (
+    "garden history museum school river music travel kitchen recipe science physics library letters journal mountain weather harbor village forest bridge painter theatre orchestra language grammar poem novel "
+    "stories essays notes archive review research college church market farm bakery coffee bicycle railway ocean island astronomy geology biology medicine nursing hospital clinic therapist analysis address "
+    "additive shadow ladder reader advice adventure advent advisor adapt badge canadian trackside racetrack soundtrack clicker winter window twin winery sussex essex middlesex unisex sextant expert pillow pillar caterpillar "
+    "spoke poke bettina better alphabet tibet sherbet cashmere cashew loaned freedom carefree freeway spelling winged cracker firecracker nutcracker proper shopping workshop bishop worship buyer verified "
+    "teacher student student-union parents council court parliament election report gazette tribune herald chronicle courier times daily evening morning press radio weekly monthly "
+    "track tracks field lane stadium athletics chess football rugby tennis rowing sailing hiking climbing camping fishing knitting pottery woodwork sewing quilting gardening beekeeping birds trees flowers bread cheese soup honey apple pear plum"
 ).split()
-_GOOD_HOSTS = (
-    "wikipedia.org en.wikipedia.org britannica.com archive.org gutenberg.org python.org apache.org kernel.org mozilla.org debian.org nature.com science.org arxiv.org nasa.gov noaa.gov who.int un.org europa.eu "
-    "bbc.co.uk theguardian.com lemonde.fr spiegel.de elpais.com zeit.de reuters.com apnews.com stanford.edu mit.edu ox.ac.uk sorbonne.fr library.org museum.org gardening.net cooking-recipes.com history.org "
-    "therapist.org analysis.net advert-free.org betterhomes.com alphabet.com tracker-books.org clickon.org pillow-store.com ladder.net shadow.org meadow.com roadster.net blog.travel.com blog.books.org "
-    "notes.physics.net docs.library.com forum.music.org news.town.com m.weather.net m.journal.com letters.example.org essays.example.net reading.example.com stories.example.com m.reading.example.net "
-    "blog.letters.example.com thenotes.example.org rethinking.example.net together.example.com the-garden.example.org another.example.com stationery.example.com nation.example.net sestina.example.com "
-    "ereader.example.org interest.example.net honest.example.com theorem.example.org rational.example.com motion.example.net ration.example.com shore.example.com then.example.com ensemble.example.com"
+_KNOWN = (
+    "wikipedia.org britannica.com archive.org gutenberg.org python.org apache.org kernel.org mozilla.org debian.org nature.com science.org arxiv.org nasa.gov noaa.gov who.int un.org europa.eu bbc.co.uk "
+    "theguardian.com lemonde.fr spiegel.de elpais.com zeit.de reuters.com apnews.com stanford.edu mit.edu ox.ac.uk github.com stackoverflow.com medium.com wordpress.org w3.org ietf.org postgresql.org"
 ).split()
-_BAD_PATHS = "/win /bonus/spin /free/claim /buy/cheap /click?id=3 /track/7 /offer.html /promo/now /register?aff=9 /slots/play /order/pills /track/pixel.gif /ads/banner.js /login/verify.php /download/crack.exe".split()
-_PLAIN = "/ /en/1291/ /fr/7376 /de/6652.html /es/6964/ /en/8423 /index.html /2021/05/17 /en/482?page=2 /de/1373".split()
-_GOOD_PATHS = "/wiki/History /articles/2020/spring.html /about /docs/tutorial.html /books/12/chapter-3 /news/local /blog/my-garden /recipes/bread /papers/1706 /science/physics /travel/notes /contact".split()
+_ENDS = "com net org info co.uk de fr es io biz eu example.com example.net example.org".split()
+_SUB = "www. m. blog. en. news. shop. app. old. go. static.".split()
+_BAD_PATHS = "/bonus/spin /free/claim /buy/cheap /click?id=3 /track/hit /offer.html /promo/now /register?aff=9 /slots/play /order/pills /track/pixel.gif /ads/banner.js /login/verify.php /download/crack.exe /xxx/video /win/prize /cams/live /pixel?u=1 /out.php?to=ad".split()
+_GOOD_PATHS = "/wiki/History /articles/spring.html /about /docs/tutorial.html /books/chapter-3 /news/local /blog/my-garden /recipes/bread /papers/1706.03762 /science/physics /travel/notes /contact /privacy /people/anna-smith /events/2019 /research/projects /archive/1998/may".split()
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The labelled table: (url, 1 for unwanted). Each host comes with a path of its class and with neutral ones that both classes share."""
+    """The labelled table: (url, 1 for unwanted), about 2,500 rows.
+
+    Unwanted hosts are made of a word of a kind of unwanted site and another word, the others of two ordinary words, many of which hold an unwanted word's letters; both take the
+    same endings, subdomains and numbered paths, so that these tell nothing. Each host also comes with a path of its class, and paths of unwanted sites are on ordinary hosts, too.
+    """
+    r = np.random.default_rng(3)
+    pick = lambda x: x[int(r.integers(len(x)))]
+
+    def neutral() -> str:
+        return ("/", f"/{int(r.integers(1, 9999))}", f"/{pick(['en', 'de', 'fr', 'es', 'a', 'p'])}/{int(r.integers(1, 9999))}{pick(['', '/', '.html', '?page=2'])}", f"/20{int(r.integers(10, 25))}/{int(r.integers(1, 13)):02d}/{pick(['', 'index.html', 'page'])}", "/index.php")[int(r.integers(5))]
+
+    def host(words: list[str]) -> str:
+        return f"{pick(_SUB) if r.random() < 0.4 else ''}{pick(['-', '-', '', '.']).join(words)}{int(r.integers(1, 99)) if r.random() < 0.08 else ''}.{pick(_ENDS)}"
+
     out = []
-    for hosts, paths, bad in ((_BAD_HOSTS, _BAD_PATHS, 1), (_GOOD_HOSTS, _GOOD_PATHS, 0)):
-        for k, h in enumerate(hosts):
-            for j in range(3):
-                out.append((f"https://{('', 'www.', 'm.', 'blog.')[(k + j) % 4]}{h}{_PLAIN[(k + 3 * j) % len(_PLAIN)]}", bad))
-            out.append((f"http://{h}{paths[k % len(paths)]}", bad))
+    for kind in _BAD.values():
+        for word in kind:
+            for _ in range(7):
+                second = pick(kind) if r.random() < 0.35 else pick(_FILL) if r.random() < 0.7 else pick(_PLAIN_WORDS)
+                words = [word, second] if r.random() < 0.6 else [second, word]
+                h = host(words if r.random() < 0.9 else [word])
+                out.append((f"http{pick(['', 's'])}://{h}{neutral()}", 1))
+                if r.random() < 0.5:
+                    out.append((f"http://{h}{pick(_BAD_PATHS)}", 1))
+    for word in _PLAIN_WORDS:
+        for _ in range(5):
+            second = pick(_PLAIN_WORDS) if r.random() < 0.8 else pick(_FILL)
+            words = [word, second] if r.random() < 0.5 else [second, word]
+            h = host(words if r.random() < 0.75 else [word])
+            out.append((f"http{pick(['', 's'])}://{h}{neutral()}", 0))
+            if r.random() < 0.4:
+                out.append((f"http://{h}{pick(_GOOD_PATHS)}", 0))
+    for _ in range(120):  # invented names, which tell nothing
+        h = host(["".join(pick("aeiou") if (k + turn) % 2 else pick("bcdfghklmnprstvwz") for k in range(int(r.integers(4, 10)))) for turn in range(int(r.integers(1, 3)))])
+        out.append((f"https://{h}{neutral()}", 0))
+    for h in _KNOWN:
+        out += [(f"https://{pick(_SUB) if r.random() < 0.5 else ''}{h}{neutral() if r.random() < 0.5 else pick(_GOOD_PATHS)}", 0) for _ in range(4)]
+        if r.random() < 0.3:
+            out.append((f"https://{h}{pick(_BAD_PATHS)}", 0))
     return out
 
 
@@ -101,18 +140,17 @@ class Model:
             return
         f, ptr, _ = features(r[0].encode() for r in rows)
         used, col = np.unique(f, return_inverse=True)
-        row = np.repeat(np.arange(len(y)), np.diff(ptr))
-        x = np.zeros((len(y), len(used)))
-        np.add.at(x, (row, col), 1.0)
-        x /= np.sqrt(np.maximum(np.diff(ptr), 1))[:, None]
+        many = np.diff(ptr)
+        row = np.repeat(np.arange(len(y)), many)
+        scale = (1 / np.sqrt(np.maximum(many, 1)))[row]  # the matrix is sparse: a feature of a row counts so often as it is there
         w, bias = np.zeros(len(used)), 0.0
-        weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+        weight = np.where(y == 1, UNWANTED / y.sum(), (1 - UNWANTED) / (len(y) - y.sum()))
         # accelerated gradient steps; features are of unit length, so that 1 is a safe step for the loss scaled by 4
         v, vb = w.copy(), bias
         for t in range(STEPS):
-            p = 1 / (1 + np.exp(-(x @ v + vb)))
+            p = 1 / (1 + np.exp(-(np.bincount(row, v[col] * scale, len(y)) + vb)))
             g = weight * (p - y)
-            nw, nb = v - 3.0 * (x.T @ g + PENALTY / len(y) * v), vb - 3.0 * g.sum()
+            nw, nb = v - 3.0 * (np.bincount(col, g[row] * scale, len(used)) + PENALTY / len(y) * v), vb - 3.0 * g.sum()
             k = t / (t + 3)
             v, vb = nw + k * (nw - w), nb + k * (nb - bias)
             w, bias = nw, nb
