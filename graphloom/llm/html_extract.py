@@ -1,9 +1,9 @@
 """Main content of HTML pages: gradient-boosted trees over DOM nodes, decoded hierarchically.
 
 A page is parsed to a tree of its block elements; text and links of inline elements count for the block around them. Each block has features of its subtree (text, tags and links, density), its tag, the tokens of
-its class and id and of its ancestors', its depth, and its siblings. Boosted trees, fitted on generated pages of known content, give each block a probability of being content. Decoding then picks
-for every subtree the best of three: all content, all boilerplate, or a mixture, in which the children are decided in the same way. So no block is content below a
-boilerplate ancestor, nor boilerplate below an ancestor that is all content, and the choice has the greatest total likelihood of all that obey this.
+its class and id and of its ancestors' (each token with the log-odds of content that it had on the training pages), its depth, and its siblings. Boosted trees, fitted on generated pages of known content, give each block log-odds of being content. Decoding then picks
+for every subtree the best of three: all content, all boilerplate, or a mixture, in which the block's own text and each of its children are decided in the same way. So no block is content below a
+boilerplate ancestor, nor boilerplate below an ancestor that is all content. Log-odds are weighted by the length of a block's own text, and mixing has a cost in blocks with text and in such that look like boilerplate; the choice has the greatest total of all that obey this.
 
 Parsing is one scan of whole pages with an explicit stack; depth is unlimited. Nothing is shuffled.
 
@@ -25,6 +25,8 @@ from . import html_training
 
 #: Generated pages and seed of the fit; trees, their depth, the bins of a feature and the rate of learning.
 PAGES, SEED, TREES, DEPTH, BINS, RATE = 500, 11, 40, 4, 32, 0.25
+#: Fewest blocks that a token must be on to have log-odds of its own; what mixing a block's own text costs, and the share of log-odds against a block that mixing it costs, and that taking it whole costs.
+SEEN, MIXED, AGAINST, PLAIN = 4, 0.7, 0.2, 0.2
 _BLOCKS = (
     "#root html body div p li ul ol dl dt dd h1 h2 h3 h4 h5 h6 nav header footer article main section aside table tbody thead tfoot tr td th form fieldset blockquote pre figure figcaption address details summary"
 ).split()
@@ -42,8 +44,6 @@ _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^<>\"']
 _ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW | {"title"}}
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TOKEN = re.compile(r"[a-z]+")
-_GOOD = frozenset("content article main post body entry text story page".split())
-_BAD = frozenset("nav navbar menu ad ads advert banner sponsored promo sidebar widget related recommended footer copyright legal bottom comment comments respond reply share social newsletter breadcrumbs topnav header cookie popup tags aside".split())
 #: What closes an open element of the same kind.
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _P_ENDS = frozenset(t for t in _BLOCKS if t not in ("#root", "html", "body"))
@@ -52,14 +52,18 @@ NAMES = (
 )
 
 
-def parse(html: str) -> tuple[list[list], list[str]]:
-    """(blocks, their own text). A block is [tag, parent, depth, good tokens, bad tokens, own characters, of links, links, inline tags, gold]; parents come first."""
+def parse(html: str, odds: dict[str, int] | None = None, noted: list[tuple[int, list[str]]] | None = None) -> tuple[list[list], list[str]]:
+    """(blocks, their own text). A block is [tag, parent, depth, good tokens, bad tokens, own characters, of links, links, inline tags, gold]; parents come first.
+
+    odds: sixteenths of log-odds of tokens, whose positive and negative sums count as good and bad; noted: gets the tokens of each block.
+    """
     blocks = [[0, -1, 0, 0, 0, 0, 0, 0, 0, False]]
     texts: list[list[str]] = [[]]
     stack, names = [0], ["#root"]
     link = 0
     head = False
     endless: set[str] = set()
+    live: dict[str, int] = {}  # open elements by name
     at, n = 0, len(html)
     while at < n:
         m = _TAG.search(html, at)
@@ -85,12 +89,13 @@ def parse(html: str) -> tuple[list[list], list[str]]:
         if m[1]:
             if name == "head":
                 head = False
-            elif name in _CODE:
-                for k in range(len(names) - 1, 0, -1):
-                    if names[k] == name:
-                        del stack[k:], names[k:]
-                        link = 0
+            elif live.get(name):
+                while True:
+                    stack.pop()
+                    live[last := names.pop()] -= 1
+                    if last == name:
                         break
+                link = 0
             elif name == "a":
                 link = 0
             continue
@@ -122,24 +127,28 @@ def parse(html: str) -> tuple[list[list], list[str]]:
             continue
         link = 0
         if name in ("html", "body"):
-            if name in names:
+            if live.get(name):
                 continue
         elif names[-1] == "p" and name in _P_ENDS or names[-1] in _CLOSES.get(name, ()):
             stack.pop()
-            names.pop()
+            live[names.pop()] -= 1
             if name == "tr" and names[-1] == "tr":
                 stack.pop()
-                names.pop()
+                live[names.pop()] -= 1
         good = bad = 0
         if m[3]:
-            for x in _ATTR.finditer(m[3]):
-                for t in _TOKEN.findall((x[1] or x[2] or x[3] or "").lower()):
-                    good += t in _GOOD
-                    bad += t in _BAD
+            tokens = [t for x in _ATTR.finditer(m[3]) for t in _TOKEN.findall((x[1] or x[2] or x[3] or "").lower())]
+            if noted is not None:
+                noted.append((len(blocks), tokens))
+            if odds:
+                for t in tokens:
+                    v = odds.get(t, 0)
+                    good, bad = (good + v, bad) if v > 0 else (good, bad - v)
         parent = stack[-1]
         texts[parent].append(" ")
         stack.append(len(blocks))
         names.append(name)
+        live[name] = live.get(name, 0) + 1
         blocks.append([_CODE[name], parent, blocks[parent][2] + 1, good, bad, 0, 0, 0, 0, "data-gold" in m[3]])
         texts.append([])
     return blocks, [" ".join(unescape("".join(t)).split()) if t else "" for t in texts]
@@ -183,8 +192,8 @@ def features(docs: list[tuple[list[list], list[str]]]) -> tuple[np.ndarray, np.n
     t = sub[:, 0]
     x = np.column_stack(
         [
-            _GROUP[tag], np.where(parent < 0, -1, _GROUP[tag[up]]), np.where(parent[up] < 0, -1, _GROUP[tag[np.maximum(parent[up], 0)]]), depth, kids, np.minimum(raw[:, 3], 3), np.minimum(raw[:, 4], 3),
-            np.minimum(good_above, 3), np.minimum(bad_above, 3), np.maximum(aside, own_aside), np.log1p(raw[:, 5]), np.log1p(t), np.log1p(sub[:, 4]), t / np.maximum(sub[:, 4], 1), sub[:, 5] / np.maximum(sub[:, 4], 1), np.log1p(sub[:, 3]),
+            _GROUP[tag], np.where(parent < 0, -1, _GROUP[tag[up]]), np.where(parent[up] < 0, -1, _GROUP[tag[np.maximum(parent[up], 0)]]), depth, kids, np.minimum(raw[:, 3], 96), np.minimum(raw[:, 4], 96),
+            np.minimum(good_above, 96), np.minimum(bad_above, 96), np.maximum(aside, own_aside), np.log1p(raw[:, 5]), np.log1p(t), np.log1p(sub[:, 4]), t / np.maximum(sub[:, 4], 1), sub[:, 5] / np.maximum(sub[:, 4], 1), np.log1p(sub[:, 3]),
             np.log1p(t / sub[:, 3]), sub[:, 1] / np.maximum(t, 1), np.log1p(sub[:, 2]), kids[up], place / np.maximum(kids[up], 1), np.log1p(kid_text[up] / np.maximum(kids[up], 1)), t / np.maximum(kid_text[up], 1),
             many[inv] / np.maximum(kids[up], 1), (np.arange(n) - off[page]) / size[page], t / total,
         ]
@@ -245,48 +254,82 @@ class Boosted:
         return z
 
 
-def decode(parent: list[int], gain: list[float]) -> list[bool]:
-    """The labels of greatest total ``gain`` (log-odds if content, 0 if not) in which every subtree is all content, all boilerplate or mixed; a mixed node itself is no content.
+def decode(parent: list[int], gain: list[float], own: list[float], cost: list[float]) -> list[bool]:
+    """Whether the own text of each block is content, by the labelling of greatest total.
 
-    Parents come before their children.
+    A block that is all content adds its gain and its own text's, and all below it are too; one that is all boilerplate adds nothing, and none below it is content; a mixed one
+    takes off its cost, and its own text and its children are decided each. Equal totals are boilerplate first, then mixed. Parents come before their children.
     """
     n = len(parent)
-    whole = list(gain)
-    mixed = [0.0] * n
+    whole = [g + o for g, o in zip(gain, own)]
+    mixed = [max(o, 0.0) - c for o, c in zip(own, cost)]
     for k in range(n - 1, 0, -1):
         p = parent[k]
         if p >= 0:
             whole[p] += whole[k]
-            mixed[p] += max(whole[k], mixed[k])
-    out = [False] * n
+            mixed[p] += max(whole[k], mixed[k], 0.0)
+    out, state = [False] * n, [0] * n  # 0 boilerplate, 1 mixed, 2 content
     for k in range(n):
         p = parent[k]
-        out[k] = (p >= 0 and out[p]) or (whole[k] > mixed[k] and whole[k] > 0)
+        above = state[p] if p >= 0 else 1
+        if above == 1:
+            state[k] = 2 if whole[k] > mixed[k] and whole[k] > 0 else int(mixed[k] > 0)
+        else:
+            state[k] = above
+        out[k] = state[k] == 2 or state[k] == 1 and own[k] > 0
     return out
 
 
-def fit(pages: int = PAGES, seed: int = SEED) -> Boosted:
+class Model:
+    """Sixteenths of log-odds of attribute tokens, and the boosted trees."""
+
+    def __init__(self, odds: dict[str, int], trees: Boosted):
+        self.odds, self.trees = odds, trees
+
+
+def learnt_odds(htmls: list[str]) -> dict[str, int]:
+    """Sixteenths of the log-odds of content of each attribute token that is seen on SEEN blocks or more, next to those of all blocks with attributes."""
+    count: dict[str, list[int]] = {}
+    total = [1, 1]
+    for h in htmls:
+        noted: list[tuple[int, list[str]]] = []
+        blocks, _ = parse(h, None, noted)
+        for k, tokens in noted:
+            gold = bool(blocks[k][9])
+            total[gold] += 1
+            for t in set(tokens) - {"data", "gold"}:
+                count.setdefault(t, [0, 0])[gold] += 1
+    base = np.log(total[1] / total[0])
+    return {t: round(16 * float(np.log((y + 0.5) / (x + 0.5)) - base)) for t, (x, y) in sorted(count.items()) if x + y >= SEEN}
+
+
+def fit(pages: int = PAGES, seed: int = SEED) -> Model:
     """Fit on generated pages."""
-    x, _, _, gold = features([parse(h) for h in html_training.pages(pages, seed)])
-    return Boosted(x, gold.astype(float))
+    htmls = html_training.pages(pages, seed)
+    odds = learnt_odds(htmls)
+    x, _, _, gold = features([parse(h, odds) for h in htmls])
+    return Model(odds, Boosted(x, gold.astype(float)))
 
 
-def contents(htmls: list[str], model: Boosted) -> list[tuple[str, int, int]]:
-    """(text, blocks of content, blocks) of each page."""
-    docs = [parse(h) for h in htmls]
+def contents(htmls: list[str], model: Model) -> list[tuple[str, int, int]]:
+    """(text, blocks whose own text is content, blocks) of each page."""
+    docs = [parse(h, model.odds) for h in htmls]
     if not docs:
         return []
     x, parent, off, _ = features(docs)
-    z = model.margin(x) * (0.2 + x[:, NAMES.index("own_text")])
+    z = model.trees.margin(x)
+    own = z * x[:, NAMES.index("own_text")]
+    frame = np.concatenate([[_BLOCKS[b[0]] in ("#root", "html", "body") for b in blocks] for blocks, _ in docs])
+    cost = np.where(own != 0, MIXED, 0.0) + np.where(frame, 0.0, AGAINST * np.maximum(-z, 0))
     out = []
     for k, (blocks, texts) in enumerate(docs):
         lo, hi = off[k], off[k + 1]
-        keep = decode([b[1] for b in blocks], z[lo:hi].tolist())
+        keep = decode([b[1] for b in blocks], (PLAIN * np.minimum(z[lo:hi], 0)).tolist(), own[lo:hi].tolist(), cost[lo:hi].tolist())
         out.append(("\n".join(t for t, y in zip(texts, keep) if y and t), sum(keep), len(blocks)))
     return out
 
 
-def extract(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
+def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """(page_id, text, content_blocks, blocks) of every page."""
     sent = pages.sparkSession.sparkContext.broadcast(model or fit())
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 import numpy as np
 
 _SYLLABLES = "ka lo mi ren tas vor del sun pra ni ost ber gal the wen dri mo ul sha fe cor ban tin ya".split()
-_CONTENT = ["content", "article-body", "post", "entry-content", "main-text", "story", "page-body", "text", "post-content", "article"]
+_CONTENT = (
+    "content article-body post entry-content main-text story page-body text post-content article prose markdown-body hentry richtext post__body article__content td-post-content main-column single-post news-text "
+    "body-copy story-body blog-entry field-body wiki-content reader longform chapter recipe-steps lesson documentation"
+).split()
 _JUNK = {
-    "nav": ["nav", "menu", "navbar", "main-menu", "breadcrumbs", "topnav"],
-    "ad": ["ad", "ads", "banner", "sponsored", "promo", "advert"],
-    "side": ["sidebar", "widget", "related", "aside-box", "recommended", "tags"],
-    "foot": ["footer", "copyright", "site-footer", "bottom", "legal"],
-    "talk": ["comments", "comment-list", "respond", "share", "social", "newsletter"],
+    "nav": "nav menu navbar main-menu breadcrumbs topnav masthead toolbar pagination pager dropdown navigation site-header mega-menu tabs language-switch skip-links".split(),
+    "ad": "ad ads banner sponsored promo advert adsense ad-slot adbox advertisement sponsor dfp-unit promobox leaderboard outbrain taboola affiliate paid-links".split(),
+    "side": "sidebar widget related aside-box recommended tags tag-cloud trending popular recent-posts most-read rail secondary more-stories see-also archives author-bio".split(),
+    "foot": "footer copyright site-footer bottom legal colophon disclaimer imprint credits terms".split(),
+    "talk": "comments comment-list respond share social newsletter comments-area disqus sharing share-bar subscribe signup cookie-notice consent popup modal login-box rating poll".split(),
 }
 
 
@@ -64,8 +67,12 @@ class Writer:
                 out.append(f"<blockquote{gold}>{self.words(n)}</blockquote>")
             elif kind < 0.97:
                 out.append(f"<table{gold}>" + "".join(f"<tr{gold}><td{gold}>{self.words(2)}</td><td{gold}>{self.words(3)}</td></tr>" for _ in range(3)) + "</table>")
-            else:
+            elif kind < 0.98:
                 out.append(f"<pre{gold}>{self.words(n)}</pre>")
+            else:
+                out.append(f"<div{gold}>{self.words(n)}. {self.junk(('ad', 'talk')[int(r.integers(2))])} {self.words(int(r.integers(4, 30)))}.</div>")
+        if r.random() < 0.15:  # text and adverts in one block, no paragraphs
+            out = [self.words(int(r.integers(20, 80))) + "." + (self.junk("ad") if r.random() < 0.6 else "<br><br>") + self.words(int(r.integers(10, 60))) + "." for _ in range(int(r.integers(1, 4)))]
         tag = ("article", "main", "div", "section")[int(r.choice(4, p=[0.35, 0.15, 0.4, 0.1]))]
         return f"<{tag}{gold}{self.attr(_CONTENT)}>{''.join(out)}</{tag}>"
 
@@ -76,14 +83,16 @@ class Writer:
             tag = "nav" if r.random() < 0.6 else "div"
             return f"<{tag}{self.attr(names)}>{self.links(int(r.integers(3, 12)), 'li' if r.random() < 0.7 else 'span')}</{tag}>"
         if kind == "ad":
-            return f"<div{self.attr(names)}>{self.words(int(r.integers(3, 25)))}{'.' if r.random() < 0.5 else ''}</div>"
+            text = f"{self.words(int(r.integers(3, 25)))}{'.' if r.random() < 0.5 else ''}"
+            return f"<div{self.attr(names)}>{f'<p>{text}</p>' if r.random() < 0.3 else text}</div>"
         if kind == "side":
             tag = "aside" if r.random() < 0.5 else "div"
             return f"<{tag}{self.attr(names)}><h3>{self.words(2)}</h3>{self.links(int(r.integers(2, 8)))}<p>{self.words(int(r.integers(2, 15)))}</p></{tag}>"
         if kind == "foot":
             tag = "footer" if r.random() < 0.7 else "div"
-            return f"<{tag}{self.attr(names)}>&copy; {self.words(2)} &middot; {self.words(int(r.integers(2, 20)))}{self.links(int(r.integers(0, 5)), 'span')}</{tag}>"
-        return f"<div{self.attr(names)}><h4>{self.words(2)}</h4>" + "".join(f"<div{self.attr(['comment', 'reply'])}><a href='/u'>{self.words(1)}</a> {self.words(int(r.integers(2, 25)))}</div>" for _ in range(int(r.integers(0, 5)))) + "</div>"
+            text = f"&copy; {self.words(2)} &middot; {self.words(int(r.integers(2, 20)))}"
+            return f"<{tag}{self.attr(names)}>{f'<p>{text}</p>' if r.random() < 0.5 else text}{self.links(int(r.integers(0, 5)), 'span')}</{tag}>"
+        return f"<div{self.attr(names)}><h4>{self.words(2)}</h4>" + "".join(f"<div{self.attr(['comment', 'reply'])}><a href='/u'>{self.words(1)}</a> {f'<p>{self.words(int(r.integers(2, 25)))}</p>' if r.random() < 0.4 else self.words(int(r.integers(2, 25)))}</div>" for _ in range(int(r.integers(0, 5)))) + "</div>"
 
     def page(self) -> str:
         r = self.r
