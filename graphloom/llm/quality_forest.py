@@ -5,7 +5,7 @@ documents that are isolated after short paths are anomalous. There is a forest o
 labelled rows that are good; the threshold of each forest's anomaly score is calibrated on the labelled rows. A document is kept that is below all thresholds.
 
 Defined results: a null or empty text has statistics of 0 and no words, and is rejected; every row gives one row, repeated rows too; a null doc_id is kept.
-Without labelled rows of both kinds nothing is known to be bad: only wordless texts are rejected.
+A document whose score equals a threshold is kept. Without labelled rows of both kinds nothing is known to be bad: only wordless texts are rejected.
 """
 
 from __future__ import annotations
@@ -220,5 +220,6 @@ def quality(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> DataFra
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> DataFrame:
     """The documents that the model keeps, with their columns as they are."""
     columns = docs.columns
-    marked = scored(docs, fit(docs, labels, rows), columns).toDF(*columns, "__anomaly", "__keep")
-    return marked.where("__keep").select(*[F.col(f"`{c}`") for c in columns])
+    marked = scored(docs, fit(docs, labels, rows), columns)
+    plain = [f"c{k}" for k in range(len(columns))]  # whatever the columns are called
+    return marked.toDF(*plain, "anomaly", "keep").where("keep").select(*plain).toDF(*columns)
