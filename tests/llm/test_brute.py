@@ -399,33 +399,77 @@ def test_warc_files_are_read_in_linear_time():
 
 def test_urls_held_out():
     rows = url_filter.labelled_urls()
-    groups = [k // 4 % 5 for k in range(len(rows))]
+    groups = [sum(url_filter.split(r[0].encode())[0]) % 5 for r in rows]  # all URLs of a host are in one group
     right = 0
     for g in range(5):
         m = url_filter.Model([r for r, k in zip(rows, groups) if k != g])
         held = [r for r, k in zip(rows, groups) if k == g]
         p, _ = m.score([u.encode() for u, _ in held])
         right += sum((x >= 0.5) == bool(y) for x, (_, y) in zip(p, held))
-    assert right / len(rows) > 0.78
+    assert right / len(rows) > 0.93
+
+
+def test_urls_of_hosts_that_no_table_has():
+    m = url_filter.Model(url_filter.labelled_urls())
+    bad = "http://blog.adult-x.example.net/de/44 https://www.luckycasino777.biz/ http://hotporn.tv/v/1 http://buy-viagra-pills.ru/x https://adtracker.io/p?id=9 http://quick-payday-loan.us/apply http://freecrack.ws/dl http://slots-bonus.eu/spin"
+    good = "https://www.nationalgeographic.com/animals https://docs.djangoproject.com/en/4.2 http://essex-museum.org.uk/visit https://kitchenstories.com/r/7 http://hospital-track.example.org/1 https://www.lemans.fr/ http://birdwatch.net/fr/2204 https://numpy.org/doc"
+    p, there = m.score([u.encode() for u in (bad + " " + good).split()])
+    assert there.all() and (p[:8] >= 0.5).sum() >= 7 and (p[8:] < 0.5).sum() >= 7
+
+
+def test_url_scores_by_hand():
+    """Features by slicing, the fit by plain gradient descent on a dense matrix."""
+    rows = [("http://aa.b/x", 1), ("http://aa.c/xyz", 1), ("http://q.b/z", 0), ("https://www.q.c:80/zz?k#f", 0), ("http://r.s/", 0)] * 2
+
+    def grams(u):
+        host, path = (t.decode() for t in url_filter.split(u.encode()))
+        return [(side, t[i : i + n]) for side, t in (("host", f"^{host}$"), ("path", f"^{path}$")) for n in url_filter.GRAMS for i in range(len(t) - n + 1)]
+
+    assert url_filter.split(b"HTTPS://u@WWW.Q.c:80/zz?k#f") == (b"q.c", b"/zz")
+    names = sorted({g for u, _ in rows for g in grams(u)})
+    vector = lambda u: np.array([grams(u).count(g) for g in names]) / np.sqrt(len(grams(u)))
+    x, y = np.array([vector(u) for u, _ in rows]), np.array([v for _, v in rows])
+    weight = np.where(y == 1, url_filter.UNWANTED / y.sum(), (1 - url_filter.UNWANTED) / (1 - y).sum())
+    w, bias = np.zeros(len(names)), 0.0
+    for _ in range(60_000):
+        g = weight * (1 / (1 + np.exp(-(x @ w + bias))) - y)
+        w, bias = w - 1.0 * (x.T @ g + url_filter.PENALTY / len(y) * w), bias - 1.0 * g.sum()
+    urls = [u for u, _ in rows] + ["http://aa.q/zx"]
+    p, _ = url_filter.Model(rows).score([u.encode() for u in urls])
+    assert np.abs(p - 1 / (1 + np.exp(-(np.array([vector(u) for u in urls]) @ w + bias)))).max() < 0.02
+
+
+def test_urls_odd_rows(spark):
+    long = "http://casino-slots.example.com/" + "spin/" * 40_000
+    rows = [(1, long), (2, "http://museum.org/a"), (2, "http://museum.org/a"), (3, ""), (4, None), (5, "?"), (None, "http://museum.org/b")]
+    out = url_filter.filter_urls(spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id int, url string, host string, keep int")).collect()
+    by = {r.url: r for r in out}
+    assert len(out) == len(rows) and not by[long].keep and by[long].score > 0.5 and sum(r.page_id == 2 and r.keep for r in out) == 2
+    assert all(by[u].score is None and not by[u].keep for u in ("", None, "?")) and by["http://museum.org/b"].keep
+    same = url_filter.filter_urls(spark.createDataFrame([(1, "http://a.b/")], "page_id long, url string"), [("http://c.d/", 1), ("http://a.b/", 0)], 0.0).first()
+    assert not same.keep  # no score is below 0
 
 
 def test_decoding_is_the_best_labelling():
+    """Against all labellings of small trees: content, boilerplate or mixed, each with the own text of mixed ones free."""
+    import itertools
+
     r = random.Random(8)
     for _ in range(40):
-        n = r.randint(1, 9)
+        n = r.randint(1, 6)
         parent = [-1] + [r.randrange(k) for k in range(1, n)]
-        gain = [r.uniform(-1, 1) for _ in range(n)]
-
-        def total(y):
-            return sum(g for g, v in zip(gain, y) if v)
-
-        best = max(total(y) for y in ([bool(m >> k & 1) for k in range(n)] for m in range(1 << n)) if all(p < 0 or not y[p] or y[k] for k, p in enumerate(parent)))
-        got = html_extract.decode(parent, gain)
-        assert abs(total(got) - best) < 1e-9 and all(p < 0 or not got[p] or got[k] for k, p in enumerate(parent))
+        gain, own, cost = [r.uniform(-1, 1) for _ in range(n)], [r.choice([0.0, r.uniform(-2, 2)]) for _ in range(n)], [r.uniform(0, 1) for _ in range(n)]
+        best = {}
+        for y in itertools.product((0, 1, 2), repeat=n):
+            if all(p < 0 or y[p] == 1 or y[k] == y[p] for k, p in enumerate(parent)):
+                total = sum(g + o if v == 2 else max(o, 0) - c if v == 1 else 0 for g, o, c, v in zip(gain, own, cost, y))
+                best[total] = [v == 2 or v == 1 and o > 0 for v, o in zip(y, own)]
+        assert html_extract.decode(parent, gain, own, cost) == best[max(best)]
+    assert html_extract.decode([-1, 0], [0.0, 0.0], [0.0, 0.0], [0.0, 0.0]) == [False, False]  # a tie
 
 
 def test_html_held_out():
-    m = html_extract.fit(200)
+    m = html_extract.fit(300)
     hit = wrong = missed = 0
     for h in html_training.pages(60, 77):
         blocks, texts = html_extract.parse(h)
@@ -434,4 +478,68 @@ def test_html_held_out():
         hit += len(got) if got == want else 0
         missed += len(want) if got != want else 0
         wrong += got != want
-    assert wrong <= 4 and missed < 0.1 * hit
+    assert wrong <= 8 and missed < 0.15 * hit
+
+
+WRITTEN = [
+    (
+        """<!doctype html><html lang=en><head><meta charset=utf-8><title>Tides</title><link rel=stylesheet href=a.css></head><body class="single"><div id="masthead"><a href="/">The Coast</a><ul class="site-nav"><li><a href="/n">News</a><li><a href="/t">Tides</a><li><a href="/c">Contact</a></ul></div>
+<div class="wrapper"><div class="entry"><h1>How the tides work</h1><p class="lead">Twice a day the sea rises and falls along most coasts, and people who live by it plan their days by the table.</p><p>The moon pulls at the water on the near side of the earth, and the earth itself is pulled away from the water on the far side.</p>
+<p>Where the coast is shaped like a funnel, the range can reach more than ten metres, as it does in a few well known bays.</p></div><div class="share-links"><a href=#>Share</a> <a href=#>Tweet</a></div></div><div class="site-footer"><p>Copyright 2020 The Coast. <a href="/p">Privacy</a></p></div></body></html>""",
+        ["Twice a day the sea rises", "The moon pulls at the water", "Where the coast is shaped"],
+        ["Share", "Copyright", "Contact"],
+    ),
+    (
+        """<html><body><table width=100%><tr><td><a href=1>Home</a> | <a href=2>Archive</a> | <a href=3>Links</a></td></tr><tr><td><article><h2>A walk to the mill</h2>We set out before sunrise, when the frost was still on the grass, and followed the stream down to the old mill.<br><br>
+Nobody has worked there for sixty years, but the wheel still turns when the water is high.<div class="sponsored">Buy boots now!</div>We ate our bread on the wall and went home by the road, which is longer but dry.</article></td></tr></table><footer>All rights reserved</footer></body></html>""",
+        ["We set out before sunrise", "Nobody has worked there", "We ate our bread"],
+        ["Buy boots", "All rights reserved", "Archive"],
+    ),
+    (
+        """<body><nav><ul><li><a href=/a>Start</a></li><li><a href=/b>Recipes</a></li></ul></nav><main><h1>Potato soup</h1><p>Peel the potatoes, cut them small and boil them with an onion for half an hour in a litre of water.</p><ul><li>six large potatoes and one onion</li><li>a spoon of butter, salt and pepper</li></ul>
+<p>Crush everything with a fork, stir in the butter and serve the soup with dark bread.</p></main><aside class="related"><h3>See also</h3><ul><li><a href=/1>Leek soup</a></li><li><a href=/2>Pea soup</a></li></ul></aside><section class="comments"><h3>Comments</h3><div class="comment"><a href=/u>ann</a> nice!</div></section><footer><p>Imprint</p></footer></body>""",
+        ["Peel the potatoes", "six large potatoes", "Crush everything"],
+        ["Leek soup", "nice!", "Imprint", "Recipes"],
+    ),
+]
+
+
+def test_html_of_pages_written_by_hand():
+    """Pages of other makes than the generator's."""
+    m = html_extract.fit()
+    for page, content, junk in WRITTEN:
+        text = html_extract.contents([page], m)[0][0]
+        assert all(c in text for c in content) and not any(j in text for j in junk), text
+    text = html_extract.contents(["<body><p>" + "A first long line of plain text stands here, and it goes on. " * 3 + '</p><div class="content">Some text of the page that goes on for a while, as such text does, with commas. <div class="ad">Buy now</div> And then it ends with one more line of plain words.</div></body>'], m)[0][0]
+    assert "goes on for a while" in text and "And then it ends" in text and "Buy now" not in text
+
+
+def test_html_is_parsed_in_linear_time():
+    import time
+
+    for page in (lambda n: "<div>" * n + "</p>" * n + "x", lambda n: "<div><p>" * n + "</section></p>" * n, lambda n: "<li>" * n + "</ul></div>" * n):
+        began = time.process_time()
+        html_extract.parse(page(4000))
+        first = time.process_time() - began
+        began = time.process_time()
+        html_extract.parse(page(32_000))
+        assert time.process_time() - began < 16 * max(first, 0.02)
+
+
+def test_isolation_paths_by_hand():
+    """Each tree walked row by row, counting the splits on the way, and the expected length added at its end."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (300, 4))
+    f = quality_forest.Forest(x, trees=15, rows=64, seed=2)
+    for row in np.concatenate((x[:20], rng.normal(0, 4, (10, 4)))):
+        total = 0.0
+        for t in range(15):
+            node, depth = 0, 0
+            while f.feature[t, node] >= 0:
+                node = 2 * node + (2 if row[f.feature[t, node]] > f.split[t, node] else 1)
+                depth += 1
+            rest = f.length[t, node] - depth
+            assert min(abs(rest - e) for e in [0.0, *(1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n for n in range(2, 65))]) < 1e-9
+            total += depth + rest
+        assert abs(f.score(row[None])[0] - 2.0 ** (-total / 15 / (2 * (np.log(63) + 0.5772156649) - 2 * 63 / 64))) < 1e-9
+    assert f.score(np.full((1, 4), 30.0))[0] > f.score(x).max() * 0.98
