@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EXTENSIONS = {
-    "py": "python", "pyi": "python", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "rs": "rust", "sql": "sql", "sh": "bash", "bash": "bash", "json": "json",
-    "c": "cpp", "h": "cpp", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "md": "markdown", "mdx": "markdown", "mdc": "markdown",
+    "py": "python", "pyw": "python", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "rs": "rust", "sql": "sql", "pgsql": "sql", "sh": "bash", "bash": "bash", "json": "json",
+    "c": "cpp", "h": "cpp", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "c++": "cpp", "h++": "cpp", "m": "cpp", "mm": "cpp", "md": "markdown", "mdx": "markdown", "mdc": "markdown",
 }
 #: What documentation names without meaning this code: tools, shell commands, and Python's and generic words.
 TOOLS = "pip pip3 pipx uv poetry pdm hatch flit pytest mypy ruff black isort flake8 pylint python python3 ipython jupyter uvicorn gunicorn pydantic fastapi flask django celery alembic npm npx yarn pnpm bun deno node nodejs eslint prettier tsc tsx vite webpack esbuild react vue angular next nuxt remix astro cargo rustc rustup clippy rustfmt git docker make cmake gradle maven curl wget jq yq sed awk grep find ssh scp rsync tar zip unzip gzip vim nvim emacs code cursor subl aws gcloud az kubectl helm terraform pulumi".split()
@@ -35,7 +35,7 @@ def short_name(node: Column) -> Column:
 def language_of(path: Column) -> Column:
     """The language of a path by its extension, or null."""
     table = F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])
-    return table[F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))]
+    return table[F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9+]+)$", 1))]
 
 
 def estimated_tokens(text: Column) -> Column:

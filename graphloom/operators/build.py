@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Paths of tests, as a search pattern.
-TEST_FILES = r"(^|/)tests?/|(^|/)test_[^/]*$|_test\.[a-z]+$|\.test\.[a-z]+$|\.spec\.[a-z]+$|(^|/)__tests__/"
+#: Found anywhere in a path.
+TEST_FILES = r"test_[^/]+\.py$|[^/]+_test\.py$|tests?/|__tests__/|\.(test|spec)\.[tj]sx?$"
 
 
 def kept_by(df: DataFrame, keys: list[str], order: Column) -> DataFrame:

@@ -87,10 +87,24 @@ def grouped_strings(strings: DataFrame) -> DataFrame:
     return strings.groupBy("value", "file").agg(F.array_sort(F.collect_list("call_site")).alias("contexts"))
 
 
-def is_noise(value: Column, least: int = 2) -> Column:
-    """Values that say nothing: shorter than ``least``, blank, or common words, after lower-casing."""
-    words = "true false none null self utf-8 id name type data value key get post put delete".split()
-    return F.coalesce((F.length(value) < least) | (F.trim(value) == "") | F.lower(value).isin(*words), F.lit(True))
+#: Words that say nothing in any language, and in code of one.
+NOISE = ", . : ; - _ / \\ true false null none yes no on off utf-8 utf8 ascii".split()
+NOISE_OF = {
+    "python": "latin-1 r w rb wb a ab".split(),
+    "typescript": "undefined div span button input form label a p h1 h2 h3".split(),
+    "sql": "plpgsql sql c internal".split(),
+    "rust": "r cstr format".split(),
+    "bash": "echo test exit".split(),
+}
+
+
+def is_noise(value: Column, least: int = 2, language: str | None = None) -> Column:
+    """Values that say nothing: shorter than ``least``, blank, or after lower-casing one of NOISE or of a language's own (of any language without one); in TypeScript also up to three letters."""
+    words = sorted({*NOISE, *(NOISE_OF[language] if language else [w for ws in NOISE_OF.values() for w in ws])})
+    out = (F.length(value) < least) | value.rlike(r"^\s*$") | F.lower(value).isin(*words)
+    if language == "typescript":
+        out = out | value.rlike(r"^\p{L}{0,3}$")
+    return F.coalesce(out, F.lit(True))
 
 
 def is_import_path(value: Column) -> Column:
@@ -106,8 +120,12 @@ def is_css_class(value: Column) -> Column:
 
 def filter_reasons(found: DataFrame, least: int = 3, percentile: int = 95) -> DataFrame:
     """``found`` (value, references, ...) with the first reason to hide it: short, type, import, css, outlier, or null."""
-    counts = found.agg(F.sort_array(F.collect_list("references")).alias("c"))
-    limit = counts.select(F.coalesce(F.get("c", F.least(F.floor(F.size("c") * percentile / 100), F.size("c") - 1).cast("int")), F.lit(0)).alias("limit"))
+    # how often each count occurs, and how many are as small: the least count that the place falls into; no task holds all values
+    tally = found.groupBy("references").agg(F.count("*").alias("n"))
+    below = F.sum("n").over(Window.orderBy("references").rowsBetween(Window.unboundedPreceding, 0))
+    total = found.agg(F.count("*").alias("all"))
+    place = F.least(F.floor(F.col("all") * percentile / 100), F.col("all") - 1)
+    limit = tally.withColumn("below", below).crossJoin(F.broadcast(total)).where(F.col("below") > place).agg(F.coalesce(F.min("references"), F.lit(0)).alias("limit"))
     types = "string number boolean object array function undefined any void".split()
     v = F.col("value")
     reason = F.when(F.length(v) < least, "short").when(F.lower(v).isin(*types), "type").when(is_import_path(v), "import").when(is_css_class(v), "css").when(F.col("references") > F.col("limit"), "outlier")

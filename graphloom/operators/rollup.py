@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.build import TEST_FILES
@@ -40,7 +40,15 @@ def package_of(path: Column) -> Column:
 
 def hierarchy(nodes: DataFrame, level: str, shown: int = 10) -> DataFrame:
     """(id, child_count, children): the nodes of one level (a column) with how many and the first of their children."""
-    return nodes.groupBy(F.coalesce(F.col(level).cast("string"), F.lit("unknown")).alias("id")).agg(F.count("*").alias("child_count"), F.slice(F.array_sort(F.collect_list("id")), 1, shown).alias("children"))
+    return _first_ids(nodes.select(F.coalesce(F.col(level).cast("string"), F.lit("unknown")).alias("g"), "id"), shown).toDF("id", "child_count", "children")
+
+
+def _first_ids(rows: DataFrame, shown: int) -> DataFrame:
+    """(g, count, first ids) of rows (g, id). Ids are ranked within each group before any are put together, so no list grows with a group."""
+    sizes = rows.groupBy("g").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("g").orderBy(F.col("id").asc_nulls_last()))
+    first = rows.withColumn("p", place).where((F.col("p") <= shown) & F.col("id").isNotNull()).groupBy("g").agg(F.array_sort(F.collect_list("id")).alias("first"))
+    return sizes.join(first, "g", "left").select("g", "n", F.coalesce("first", F.array().cast(f"array<{rows.schema['id'].dataType.simpleString()}>")))
 
 
 def layers(nodes: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -75,7 +83,7 @@ def orphan_files(nodes: DataFrame, edges: DataFrame, shown: int = 5) -> DataFram
     """(file, nodes, first): files that nothing in another file refers to; tests and package markers aside."""
     n = nodes.where((F.coalesce(F.col("file"), F.lit("")) != "") & ~F.col("file").rlike(TEST_FILES) & ~F.col("file").endswith("__init__.py"))
     e = _tagged(edges.select("src", "dst"), nodes, "file").where("a <> b AND a <> ''").select(F.col("b").alias("file")).distinct()
-    return n.join(e, "file", "left_anti").groupBy("file").agg(F.count("*").alias("nodes"), F.slice(F.array_sort(F.collect_list("id")), 1, shown).alias("first"))
+    return _first_ids(n.join(e, "file", "left_anti").select(F.col("file").alias("g"), "id"), shown).toDF("file", "nodes", "first")
 
 
 def clusters_in_files(edges: DataFrame, nodes: DataFrame, components: DataFrame, least: int = 2) -> DataFrame:

@@ -103,14 +103,16 @@ def subgraph(edges: DataFrame, seeds: DataFrame, depth: int = 2, incoming: bool
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
 
 
-def shortest_path(edges: DataFrame, source: object, target: object, most: int = 50) -> DataFrame:
-    """(path, length): the least of the shortest paths by the order of its nodes; no row if there is none within ``most`` steps."""
+def shortest_path(edges: DataFrame, source: object, target: object, most: int | None = None) -> DataFrame:
+    """(path, length): the least of the shortest paths by the order of its nodes; no row if there is none (within ``most`` steps, if given)."""
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType.simpleString()
     front = spark.range(1).select(F.lit(source).cast(kind).alias("id"), F.array(F.lit(source).cast(kind)).alias("path"))
     seen = front.select("id")
     steps = written(edges.select(F.col("src").alias("id"), F.col("dst").alias("next")).distinct(), "steps")
-    for d in range(most + 1):
+    d = -1
+    while most is None or d < most:
+        d += 1
         hit = front.where(F.col("id") == F.lit(target)).select("path", F.lit(d).alias("length"))
         if not hit.isEmpty():
             return hit

@@ -13,6 +13,8 @@ from graphloom.session import written
 
 #: Rows of a block of the all-pairs search.
 BLOCK = 4096
+#: Most queries that are broadcast.
+BROADCAST_QUERIES = 10_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -38,12 +40,23 @@ def clipped(x: Column) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """The k rows of the greatest similarity of each query, ids in order among equals."""
+    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
+    return found.withColumn("p", F.row_number().over(w)).where(F.col("p") <= k).drop("p")
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.5, trivial: Column | None = None) -> DataFrame:
-    """(query, id, similarity): for each query (query, qv), the k most similar others; then trivial ones count half, then the threshold applies. Queries are few and broadcast."""
-    pairs = vectors.crossJoin(F.broadcast(queries)).where("id <> query")
+    """(query, id, similarity): for each query (query, qv), the k most similar others; then trivial ones count half, then the threshold applies. Up to BROADCAST_QUERIES queries are broadcast; more meet the vectors in blocks."""
+    if queries.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
+        # as many blocks as broadcasts would have been: each task holds one block of queries
+        parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        q = queries.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(parts)))
+        pairs = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(q, "block").drop("block").where("id <> query")
+    else:
+        pairs = vectors.crossJoin(F.broadcast(queries)).where("id <> query")
     s = pairs.select("query", "id", clipped(cosine(F.col("vector"), F.col("qv"))).alias("similarity"), (trivial if trivial is not None else F.lit(False)).alias("trivial"))
-    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
-    top = s.where("similarity IS NOT NULL").withColumn("p", F.row_number().over(w)).where(F.col("p") <= k).drop("p")
+    top = best_of(s.where("similarity IS NOT NULL"), k)
     score = F.when(F.col("trivial"), F.col("similarity") * 0.5).otherwise(F.col("similarity"))
     return top.select("query", "id", score.alias("similarity")).where(F.col("similarity") >= threshold)
 

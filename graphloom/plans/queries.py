@@ -60,13 +60,19 @@ def _bfs(depth: int, up: bool = False, both: bool = False) -> str:
 
 
 @query(
-    "WITH x AS (SELECT l_orderkey AS src, l_partkey AS dst, l_returnflag AS type, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_shipdate DESC, l_suppkey DESC, l_linenumber DESC, l_returnflag DESC) AS k FROM lineitem) SELECT src, dst, type FROM x WHERE k = 1"
+    "WITH x AS (SELECT l_orderkey AS src, l_partkey AS dst, l_returnflag AS type, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_shipdate DESC, l_suppkey DESC, l_linenumber DESC, l_returnflag DESC) AS k FROM lineitem), "
+    "n AS (SELECT p_partkey AS id, p_brand AS type FROM part UNION ALL SELECT s_suppkey, 'supplier' FROM supplier), "
+    "y AS (SELECT id, type, row_number() OVER (PARTITION BY id ORDER BY type DESC) AS k FROM n) "
+    "SELECT 'edge' AS what, src AS a, dst AS b, type FROM x WHERE k = 1 UNION ALL SELECT 'node', id, NULL, type FROM y WHERE k = 1 "
+    "UNION ALL SELECT 'node', id, NULL, NULL FROM (SELECT src AS id FROM x UNION SELECT dst FROM x) WHERE id NOT IN (SELECT id FROM n)"
 )
 def gr23_build_graph(spark, sf_dir):
-    li = _t(spark, sf_dir, "lineitem")
+    """Nodes and edges: of nodes of one id and of edges between the same ends the last one stays."""
+    li, p, sup = _t(spark, sf_dir, "lineitem", "part", "supplier")
     e = li.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("type"), F.struct("l_shipdate", "l_suppkey", "l_linenumber", "l_returnflag").alias("ord"))
-    nodes = li.select(F.col("l_orderkey").alias("id"), F.lit(0).alias("ord")).limit(0)
-    return build.build_graph(nodes, e)[1]
+    nodes = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("type")).unionByName(sup.select(F.col("s_suppkey").alias("id"), F.lit("supplier").alias("type")))
+    nodes, e = build.build_graph(nodes.withColumn("ord", F.col("type")), e)
+    return e.select(F.lit("edge").alias("what"), F.col("src").alias("a"), F.col("dst").alias("b"), "type").unionByName(nodes.select(F.lit("node").alias("what"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "type"))
 
 
 @query(f"WITH {A.PART_EDGES}, n AS (SELECT p_partkey AS id, p_type AS type FROM part) SELECT 'node' AS what, coalesce(type, '*') AS kind, count(*) AS n FROM n GROUP BY ROLLUP (type) UNION ALL SELECT 'edge', k, (SELECT count(*) FROM e) FROM (VALUES ('*'), ('unknown')) v(k)")
@@ -98,25 +104,41 @@ def fp1_scope_filter(spark, sf_dir):
 
 @query(f"WITH {A.NATION_EDGES}, n AS (SELECT n_nationkey AS id FROM nation WHERE n_regionkey IS NOT NULL) SELECT src, dst FROM e WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)")
 def fp6_ranking_filter(spark, sf_dir):
-    return build.ranking_filter(A.nation_nodes(_t(spark, sf_dir, "nation")), A.nation_edges(spark, sf_dir))[1]
+    return build.ranking_filter(A.nation_nodes(_t(spark, sf_dir, "nation")), written(A.nation_edges(spark, sf_dir), "nation-edges"))[1]
 
 
-@query("SELECT p_partkey AS id, p_brand AS name FROM part UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT p_partkey FROM part)")
+_TRADE = "t AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem)"
+
+
+@query(
+    f"WITH {A.PART_EDGES}, {_TRADE}, n AS (SELECT p_partkey AS id, p_brand AS name FROM part UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT p_partkey FROM part)) "
+    "SELECT 'node' AS what, id AS a, NULL AS b, name FROM n UNION ALL SELECT 'edge', src, dst, NULL FROM (SELECT src, dst FROM e UNION SELECT src, dst FROM t)"
+)
 def ag40_merge_graphs(spark, sf_dir):
-    p, s = _t(spark, sf_dir, "part", "supplier")
-    none = p.select(F.col("p_partkey").alias("src"), F.col("p_partkey").alias("dst")).limit(0)
-    return build.merge_graphs([(p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name")), none), (s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), none)])[0]
+    """The part graph and the graph of suppliers and parts: the first graph's nodes win, an edge of both comes once."""
+    p, s, li = _t(spark, sf_dir, "part", "supplier", "lineitem")
+    trade = li.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    n, e = build.merge_graphs([(p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name")), A.part_edges(li)), (s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), trade)])
+    none = F.lit(None)
+    return n.select(F.lit("node").alias("what"), F.col("id").alias("a"), none.cast("long").alias("b"), "name").unionByName(e.select(F.lit("edge").alias("what"), F.col("src").alias("a"), F.col("dst").alias("b"), none.cast("string").alias("name")))
 
 
 @query(
-    "WITH c AS (SELECT DISTINCT o_custkey AS file FROM orders WHERE o_orderstatus = 'P'), n AS (SELECT o_orderkey AS id, o_custkey AS file, o_orderstatus AS name FROM orders) SELECT id, file, name FROM n WHERE file NOT IN (SELECT file FROM c) UNION ALL SELECT -id, file, 'new' FROM n WHERE file IN (SELECT file FROM c)"
+    "WITH c AS (SELECT DISTINCT o_custkey AS file FROM orders WHERE o_orderstatus = 'P'), n AS (SELECT o_orderkey AS id, o_custkey AS file, o_orderstatus AS name, lead(o_orderkey) OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS next FROM orders), "
+    "k AS (SELECT * FROM n WHERE file NOT IN (SELECT file FROM c)), a AS (SELECT id, file, name FROM k UNION ALL SELECT -id - 1, file, 'new' FROM n WHERE file IN (SELECT file FROM c)), "
+    "f AS (SELECT id AS src, next AS dst FROM n WHERE id IN (SELECT id FROM k) AND next IN (SELECT id FROM k) UNION SELECT -id - 1, next FROM n WHERE -id - 1 IN (SELECT id FROM a) AND next IN (SELECT id FROM a)) "
+    "SELECT 'node' AS what, id AS a, file AS b, name FROM a UNION ALL SELECT 'edge', src, dst, NULL FROM f"
 )
 def sk3_incremental_update(spark, sf_dir):
+    """Orders of changed customers get new nodes, with an edge to the next order of the day; the other nodes and the edges between them stay."""
     o = _t(spark, sf_dir, "orders")
     n = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("file"), F.col("o_orderstatus").alias("name"))
+    e = o.select(F.col("o_orderkey").alias("src"), F.lead("o_orderkey").over(Window.partitionBy("o_orderdate").orderBy("o_orderkey")).alias("dst")).where("dst IS NOT NULL")
     changed = o.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("file")).distinct()
-    none = n.select(F.col("id").alias("src"), F.col("id").alias("dst")).limit(0)
-    return build.incremental_update(n, none, changed, n.select((-F.col("id")).alias("id"), "file", F.lit("new").alias("name")), none)[0].select("id", "file", "name")
+    new = n.select((-F.col("id") - 1).alias("id"), "file", F.lit("new").alias("name"))
+    n, e = build.incremental_update(n, e, changed, new, e.select((-F.col("src") - 1).alias("src"), "dst"))
+    out = n.select(F.lit("node").alias("what"), F.col("id").alias("a"), F.col("file").alias("b"), "name")
+    return out.unionByName(e.select(F.lit("edge").alias("what"), F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(None).cast("string").alias("name")))
 
 
 # -- traversal
@@ -148,21 +170,21 @@ _NATION_SEEDS = "seed AS (SELECT DISTINCT src AS id FROM e)"
 
 @query(f"WITH {A.NATION_EDGES}, nf AS (SELECT n_nationkey AS id, CAST(n_regionkey AS VARCHAR) AS file FROM nation), {_NATION_SEEDS}, {_bfs(3)}, u AS (SELECT 'downstream' AS direction, * FROM r) SELECT u.direction, u.seed, u.id, u.depth, a.file FROM u JOIN nf a ON u.id = a.id JOIN nf b ON u.seed = b.id WHERE a.file <> b.file")
 def gr20_impact_downstream(spark, sf_dir):
-    e = A.nation_edges(spark, sf_dir)
-    return traverse.impact(A.nation_nodes(_t(spark, sf_dir, "nation")), e, e.select(F.col("src").alias("id"))).where("direction = 'downstream'")
+    e = written(A.nation_edges(spark, sf_dir), "nation-edges")
+    return traverse.impact(A.nation_nodes(_t(spark, sf_dir, "nation")), e, e.select(F.col("src").alias("id")), search=traverse.reached_each).where("direction = 'downstream'")
 
 
 @query(f"WITH {A.NATION_EDGES}, nf AS (SELECT n_nationkey AS id, CAST(n_regionkey AS VARCHAR) AS file FROM nation), {_NATION_SEEDS}, {_bfs(3, up=True)} SELECT u.seed, count(*) FILTER (depth = 1) AS direct, count(*) FILTER (depth > 1) AS indirect FROM r u JOIN nf a ON u.id = a.id JOIN nf b ON u.seed = b.id WHERE a.file <> b.file GROUP BY u.seed")
 def ag22_risk(spark, sf_dir):
-    e = A.nation_edges(spark, sf_dir)
-    up = traverse.impact(A.nation_nodes(_t(spark, sf_dir, "nation")), e, e.select(F.col("src").alias("id"))).where("direction = 'upstream'")
+    e = written(A.nation_edges(spark, sf_dir), "nation-edges")
+    up = traverse.impact(A.nation_nodes(_t(spark, sf_dir, "nation")), e, e.select(F.col("src").alias("id")), search=traverse.reached_each).where("direction = 'upstream'")
     return traverse.risk(up).select("seed", "direct", "indirect")
 
 
 @query(f"WITH {A.NATION_EDGES}, nf AS (SELECT n_nationkey AS id, CAST(n_regionkey AS VARCHAR) AS file FROM nation), {_NATION_SEEDS}, {_bfs(3, up=True)} SELECT seed AS symbol, coalesce(list_sort(list(DISTINCT file) FILTER (depth = 1)), []) AS direct_files, coalesce(list_sort(list(DISTINCT file) FILTER (depth > 1)), []) AS indirect_files FROM r JOIN nf USING (id) GROUP BY seed")
 def ag21_breaking_changes(spark, sf_dir):
-    e = A.nation_edges(spark, sf_dir)
-    return traverse.breaking_changes(A.nation_nodes(_t(spark, sf_dir, "nation")), e, e.select(F.col("src").alias("id")))
+    e = written(A.nation_edges(spark, sf_dir), "nation-edges")
+    return traverse.breaking_changes(A.nation_nodes(_t(spark, sf_dir, "nation")), e, e.select(F.col("src").alias("id")), search=traverse.reached_each)
 
 
 @query(f"WITH {A.PART_EDGES}, n AS (SELECT p_partkey AS id, p_brand AS file FROM part) SELECT dst AS symbol, count(DISTINCT a.file) AS used_by, list_sort(list(DISTINCT a.file)) AS files FROM e JOIN n a ON e.src = a.id JOIN n b ON e.dst = b.id WHERE a.file <> b.file GROUP BY dst")
@@ -174,7 +196,7 @@ def ag20_symbol_usage(spark, sf_dir):
     f"WITH RECURSIVE {A.NATION_EDGES}, ends AS (SELECT min(src) AS s, max(dst) AS t FROM e), p AS (SELECT s AS id, [s] AS path FROM ends UNION ALL SELECT e.dst, list_append(p.path, e.dst) FROM p JOIN e ON e.src = p.id WHERE len(p.path) < 4 AND NOT list_contains(p.path, e.dst)) SELECT path, CAST(len(path) - 1 AS INT) AS length FROM p, ends WHERE p.id = t ORDER BY len(path), path LIMIT 1"
 )
 def gr13_shortest_path(spark, sf_dir):
-    e = A.nation_edges(spark, sf_dir)
+    e = written(A.nation_edges(spark, sf_dir), "nation-edges")
     s, t = e.agg(F.min("src"), F.max("dst")).first()
     return traverse.shortest_path(e, s, t)
 
@@ -206,7 +228,7 @@ def _betweenness_sql() -> str:
 
 @query(_betweenness_sql())
 def gr3_betweenness(spark, sf_dir):
-    return rank.betweenness(A.nation_edges(spark, sf_dir)).select("id", fixed(F.col("score")).alias("score"))
+    return rank.betweenness(written(A.nation_edges(spark, sf_dir), "nation-edges")).select("id", fixed(F.col("score")).alias("score"))
 
 
 @query()
@@ -221,7 +243,7 @@ def gr9_connected_components(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {A.NATION_EDGES}, c AS (SELECT src AS a, dst AS b FROM e UNION SELECT c.a, e.dst FROM c JOIN e ON c.b = e.src), m AS (SELECT x.a AS id, x.b AS o FROM c x JOIN c y ON x.a = y.b AND x.b = y.a) SELECT id, min(o) AS component FROM m GROUP BY id HAVING count(DISTINCT o) > 1")
 def gr10_strong_components(spark, sf_dir):
-    return components.strongly_connected(A.nation_edges(spark, sf_dir))
+    return components.strongly_connected(written(A.nation_edges(spark, sf_dir), "nation-edges"))
 
 
 @query(f"WITH {A.PART_EDGES}, c AS (SELECT [a.src, a.dst] AS cycle, 2 AS length FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst UNION ALL SELECT [a.src, a.dst, b.dst], 3 FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND b.dst <> a.dst) SELECT length, count(*) AS n FROM c GROUP BY length")
@@ -231,7 +253,7 @@ def gr11_cycles(spark, sf_dir):
 
 @query(f"WITH {A.NATION_EDGES}, nf AS (SELECT n_nationkey AS id, n_regionkey AS f FROM nation) SELECT [a.src, a.dst] AS cycle, 2 AS length FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src JOIN nf x ON x.id = a.src JOIN nf y ON y.id = a.dst WHERE a.src < a.dst AND x.f <> y.f")
 def gr12_cross_file_cycles(spark, sf_dir):
-    return components.simple_cycles(A.nation_edges(spark, sf_dir), 2, A.nation_nodes(_t(spark, sf_dir, "nation")))
+    return components.simple_cycles(written(A.nation_edges(spark, sf_dir), "nation-edges"), 2, A.nation_nodes(_t(spark, sf_dir, "nation")))
 
 
 @query(f"WITH {A.PART_EDGES}, nf AS (SELECT p_partkey AS id, p_brand AS f FROM part), c AS (SELECT [a.src, a.dst] AS cycle, 2 AS length FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst UNION ALL SELECT [a.src, a.dst, b.dst], 3 FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND b.dst <> a.dst), u AS (SELECT cycle, length, unnest(cycle) AS id FROM c) SELECT cycle, length FROM u LEFT JOIN nf USING (id) GROUP BY cycle, length HAVING count(DISTINCT f) > 1")
@@ -299,8 +321,9 @@ def gr17_subgraph_parts(spark, sf_dir):
 
 @query()
 def gr20_impact_parts(spark, sf_dir):
-    """Both directions, of every part."""
-    return traverse.impact(*_each(spark, sf_dir), search=traverse.reached_each)
+    """Both directions, of every part whose id is divisible by 20, in the whole graph."""
+    n, e, seeds = _each(spark, sf_dir)
+    return traverse.impact(n, e, seeds.where("id % 20 = 0"), search=traverse.reached_each)
 
 
 @query()
@@ -366,11 +389,12 @@ def ag13_layer_violations(spark, sf_dir):
     return rollup.layer_edges(e, placed).where("violation").groupBy("src_layer", "dst_layer").agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus = 'P')")
 def ag15_dead_code(spark, sf_dir):
     c, o = _t(spark, sf_dir, "customer", "orders")
     n = c.select(F.col("c_custkey").alias("id"), F.lit("function").alias("type"), F.col("c_mktsegment").alias("file"), F.col("c_name").alias("name"))
-    return rollup.dead_code(n, o.select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"))).select("id")
+    e = o.select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"), F.col("o_orderstatus").alias("type"))
+    return rollup.dead_code(n, e, edge_types=("P",)).select("id")
 
 
 @query(f"WITH {A.EVENT_EDGES}, {A.EVENT_NODES} SELECT file, count(*) AS nodes, list_sort(list(id))[1:5] AS first FROM n WHERE file NOT IN (SELECT b.file FROM e JOIN n a ON e.src = a.id JOIN n b ON e.dst = b.id WHERE a.file <> b.file) GROUP BY file")
@@ -548,10 +572,11 @@ def f18_estimated_tokens(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.estimated_tokens(F.col("text")).alias("tokens"))
 
 
-@query("SELECT DISTINCT c_nationkey AS key FROM customer EXCEPT SELECT s_nationkey FROM supplier")
+@query("SELECT DISTINCT o_custkey AS key FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
 def so3_difference(spark, sf_dir):
-    c, s = _t(spark, sf_dir, "customer", "supplier")
-    return c.select(F.col("c_nationkey").alias("key")).subtract(s.select(F.col("s_nationkey").alias("key")))
+    o = _t(spark, sf_dir, "orders")
+    of = lambda status: o.where(F.col("o_orderstatus") == status).select(F.col("o_custkey").alias("key"))
+    return of("F").subtract(of("O"))
 
 
 @query("SELECT DISTINCT c_nationkey AS key FROM customer INTERSECT SELECT s_nationkey FROM supplier")
@@ -595,7 +620,7 @@ def j2_resolve_names(spark, sf_dir):
     return build.resolve_names(e, nodes)
 
 
-@query(f"WITH {A.STRINGS}, v AS (SELECT DISTINCT value FROM s) SELECT length(value) < 2 OR trim(value) = '' OR lower(value) IN ('true','false','none','null','self','utf-8','id','name','type','data','value','key','get','post','put','delete') AS noise, count(*) AS n FROM v GROUP BY 1")
+@query(f"WITH {A.STRINGS}, v AS (SELECT DISTINCT value FROM s) SELECT length(value) < 2 OR regexp_full_match(value, '\\s*') OR lower(value) IN (', . : ; - _ /') OR list_contains(string_split(', . : ; - _ / \\ true false null none yes no on off utf-8 utf8 ascii latin-1 r w rb wb a ab undefined div span button input form label p h1 h2 h3 plpgsql sql c internal cstr format echo test exit', ' '), lower(value)) AS noise, count(*) AS n FROM v GROUP BY 1")
 def fp11_noise(spark, sf_dir):
     v = A.page_strings(_t(spark, sf_dir, "pages")).select("value").distinct()
     return v.groupBy(evidence.is_noise(F.col("value")).alias("noise")).agg(F.count("*").alias("n"))
@@ -607,7 +632,7 @@ def ag29_language_histogram(spark, sf_dir):
 
 
 @query(
-    f"WITH {A.NATION_EDGES}, nf AS (SELECT n_nationkey AS id, n_regionkey AS f FROM nation), a AS (SELECT count(*) AS dead_code FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)), b AS (SELECT count(*) AS duplicates FROM (SELECT text FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1)), c AS (SELECT count(*) AS cycles FROM e x JOIN e y ON x.dst = y.src AND y.dst = x.src JOIN nf p ON p.id = x.src JOIN nf q ON q.id = x.dst WHERE x.src < x.dst AND p.f <> q.f), h AS (SELECT dead_code, duplicates, cycles, CAST(0 AS BIGINT) AS stale_docs, dead_code + 2 * duplicates + 3 * cycles AS score FROM a, b, c) SELECT *, CASE WHEN score = 0 THEN 'excellent' WHEN score < 5 THEN 'good' WHEN score < 15 THEN 'fair' ELSE 'needs_attention' END AS status FROM h"
+    f"WITH {A.NATION_EDGES}, nf AS (SELECT n_nationkey AS id, n_regionkey AS f FROM nation), a AS (SELECT count(*) AS dead_code FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')), b AS (SELECT count(*) AS duplicates FROM (SELECT text FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1)), c AS (SELECT count(*) AS cycles FROM e x JOIN e y ON x.dst = y.src AND y.dst = x.src JOIN nf p ON p.id = x.src JOIN nf q ON q.id = x.dst WHERE x.src < x.dst AND p.f <> q.f), h AS (SELECT dead_code, duplicates, cycles, CAST(0 AS BIGINT) AS stale_docs, dead_code + 2 * duplicates + 3 * cycles AS score FROM a, b, c) SELECT *, CASE WHEN score = 0 THEN 'excellent' WHEN score < 5 THEN 'good' WHEN score < 15 THEN 'fair' ELSE 'needs_attention' END AS status FROM h"
 )
 def ag35_health(spark, sf_dir):
     return reports.health(dead_code=ag15_dead_code(spark, sf_dir), duplicates=ag19_exact_duplicates(spark, sf_dir), cycles=gr12_cross_file_cycles(spark, sf_dir))

@@ -262,7 +262,7 @@ def files(spark: SparkSession, root: str, exclude: list[str] | None = None, lang
     root = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace("path", "^.*?" + re.escape(re.sub("^file:/*", "/", root)) + "/", "")
-    lang = F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])[F.lower(F.regexp_extract(rel, r"\.([A-Za-z0-9]+)$", 1))]
+    lang = F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])[F.lower(F.regexp_extract(rel, r"\.([A-Za-z0-9+]+)$", 1))]
     out = raw.select(rel.alias("file"), "content", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("hash"), lang.alias("language"))
     skip = SKIP if exclude is None else exclude
     out = out.where(F.col("language").isNotNull() & ~F.exists(F.split("file", "/"), lambda p: p.isin(*skip) | p.startswith(".")))
