@@ -7,7 +7,7 @@ Each partition has its own open bins: nothing is shuffled, and the state of a ta
 A document longer than a bin fills bins of its own, and its last piece is packed like a short document; no word is dropped. A bin's id is the partition's
 number and the bin's place in it, so ids follow how the table is split into partitions; the packing itself is deterministic for given partitions.
 
-Defined results: null, empty and wordless texts take no room and are in no bin; rows that are repeated are packed again, each on its own; a null doc_id is packed as null;
+Defined results: ids are integers, or strings of them (others fail in the cast); null, empty and wordless texts take no room and are in no bin; rows that are repeated are packed again, each on its own; a null doc_id is packed as null;
 ties between bins of equal free space go to the bin that reached that free space first; an empty table gives no bins. Other columns are ignored.
 """
 

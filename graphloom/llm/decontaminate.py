@@ -10,7 +10,7 @@ fingerprints within R bits of each other, at least one differs by at most one bi
 
 Items are broadcast ``ITEMS`` at a time; a larger benchmark takes several passes over the documents.
 
-Defined results: null and empty texts match nothing; null and empty items, and those of fewer than ``LEAST`` words, are no evidence and are left out; items of equal text are all
+Defined results: ids are integers, or strings of them (others fail in the cast); null and empty texts match nothing; null and empty items, and those of fewer than ``LEAST`` words, are no evidence and are left out; items of equal text are all
 reported; rows that repeat a doc_id give one row for each item, of their best window (the first of equal ones); a null doc_id is reported as null. Other columns are ignored, or carried by ``keep_clean``.
 """
 

@@ -7,7 +7,7 @@ boilerplate ancestor, nor boilerplate below an ancestor that is all content. Log
 
 Parsing is one scan of whole pages with an explicit stack; depth is unlimited. Nothing is shuffled.
 
-Defined results: a null html has a null text; an empty html, or one without content, an empty text; text outside any element belongs to the page's root; broken markup is read as far as it goes: unclosed
+Defined results: page_id is an integer, or a string of one (others fail in the cast); a null html has a null text; an empty html, or one without content, an empty text; text outside any element belongs to the page's root; broken markup is read as far as it goes: unclosed
 elements close with their parent, stray end tags are skipped, an unclosed comment, script, style or textarea runs to the end, of an unclosed noscript, iframe, svg or template
 only the tag is skipped, and a head ends at its end tag or at the first element or text that can't be in it. Repeated rows are extracted each; a tie between content and boilerplate is boilerplate. Columns besides page_id and html are ignored.
 """

@@ -9,7 +9,7 @@ Every document is scanned once, whole, for all its maximal-scoring segments (lin
 segment is expected fewer than ``ALPHA`` times in the clean text of its document. A document is toxic if it has one. Its p-value is the chance that clean text of its length has
 as many passages as it has that are as good as its least one: their number is Poisson, with the E-value as its mean.
 
-Defined results: null, empty and wordless texts have no passages; every row is scanned by itself, so rows that are repeated give their passages again, and a
+Defined results: ids are integers, or strings of them (others fail in the cast); null, empty and wordless texts have no passages; every row is scanned by itself, so rows that are repeated give their passages again, and a
 null doc_id is carried as null; passages with equal scores are all given. Without labelled documents of both kinds nothing is toxic and the result is empty. Other columns are ignored.
 """
 

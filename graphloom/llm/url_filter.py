@@ -4,7 +4,7 @@ The model is fitted on a small labelled URL table that is kept here; callers may
 All n-grams of ``GRAMS`` bytes of ``^host$`` and of ``^path$`` are hashed, apart from each other, into 2 ** BITS features; a URL's features are scaled by the square root of their number.
 Scoring is one pass of array operations over the url column; html is never read.
 
-Defined results: null and empty URLs, and those without a host, have a null score and are not kept; repeated rows are scored each; a score that equals the threshold is rejected; an
+Defined results: page_id is an integer, or a string of one (others fail in the cast); null and empty URLs, and those without a host, have a null score and are not kept; repeated rows are scored each; a score that equals the threshold is rejected; an
 empty table gives no rows. Columns besides page_id and url are ignored.
 """
 

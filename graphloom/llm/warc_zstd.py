@@ -7,7 +7,7 @@ A task writes the records of its partition one file after another, without a shu
 records of the file, whole. Files are rows of frames here: a frame's place is its file, number, offset and length, and the frames of a file
 in order of their numbers are its bytes. ``save`` makes files of them. Everything is a function of the records, so a task that runs again writes the same bytes.
 
-Defined results: a null url has no WARC-Target-URI; a null html is an empty block marked ``WARC-Truncated: unspecified``; a null page_id has no X-Page-Id; all three come back as null, empty strings as empty. Control
+Defined results: page_id is an integer, or a string of one (others fail in the cast); a null url has no WARC-Target-URI; a null html is an empty block marked ``WARC-Truncated: unspecified``; a null page_id has no X-Page-Id; all three come back as null, empty strings as empty. Control
 characters and blanks in a URL are percent-encoded, and decoded again by ``read``. Repeated rows are archived each. An empty table has no files. Columns besides page_id, url and html are ignored.
 """
 

@@ -93,6 +93,11 @@ def test_packing(docs, empty):
     assert packed == 90000 and all(r.used + r.free == 2048 for r in out)
     assert sum(p.doc_id == 4 for r in out for p in r.pieces) == 2
     assert not any(p.doc_id in (1, 2, 6) for r in out for p in r.pieces)
+    assert sum(p.doc_id is None for r in out for p in r.pieces) == 1 and sum(i is None for r in out for i in r.doc_ids) == 1
+    # two bins of the same free space: a piece that fits both goes to the one that came to that first, and makes it full
+    tie = bestfit_packing.Packer(10, 4)
+    full = [x for k, n in enumerate((7, 7, 3)) for x in tie.add((k, 0, n, 0, 0))]
+    assert [[p[0] for p in pieces] for _, pieces in full] == [[0, 2]] and [[p[0] for p in pieces] for _, pieces in tie.close()] == [[1]]
     assert bestfit_packing.pack(empty).count() == 0
 
 
@@ -125,6 +130,9 @@ def test_decontamination(docs, bench, empty):
     assert {r.doc_id for r in out if r.item_id == 1} >= {4, 5, None, 10, 39}
     assert len([r for r in out if r.doc_id == 4 and r.item_id == 1]) == 1
     assert not any(r.item_id in (2, 3, 4) for r in out)
+    twice = docs.sparkSession.createDataFrame([(1, f"{PROSE} then {PROSE}"), (1, PROSE)], "doc_id long, text string")
+    (best,) = [r for r in decontaminate.leaks(twice, bench).collect() if r.item_id == 1]
+    assert (best.doc_id, best.first_word, best.similarity) == (1, 0, 1.0)  # of equal windows the first, of repeated ids one row
     kept = decontaminate.keep_clean(docs, bench)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {None, 1, 2, 3, 6, 7}
     assert decontaminate.leaks(empty, bench).count() == 0
@@ -134,6 +142,8 @@ def test_decontamination(docs, bench, empty):
 def test_quality(docs, labels, empty):
     out = quality_forest.quality(docs, labels).collect()
     assert len(out) == len(rows()) and not any(r.keep for r in out if r.doc_id in (1, 2, 6))
+    clash = docs.withColumnsRenamed({"keep": "__keep", "curve": "anomaly", "shard": "__anomaly"})
+    assert quality_forest.keep_good(clash, labels).columns == clash.columns
     kept = quality_forest.keep_good(docs, labels.limit(0))
     assert kept.columns == docs.columns and kept.count() == len(rows()) - 4
     assert quality_forest.quality(empty, labels).count() == 0
