@@ -1,4 +1,9 @@
-"""The corpus pipeline: documents to packed training rows, one operator a stage, each stage's table written before the next one reads it."""
+"""The corpus pipeline: documents to packed training rows, one operator a stage, each stage's table written before the next one reads it.
+
+Defined results: documents of a null, empty or wordless text go at the first stage; a null doc_id is kept through all stages and packed as null, and takes part in no group of copies;
+of rows that repeat a doc_id and a text one stays from the third stage on; of copies the least doc_id stays; a document as good as a threshold stays; a document of two best languages counts as the first by name;
+very long documents are read whole, and packed in pieces; an empty table gives no bins. Columns besides doc_id, text and lang are carried to the last stage, whatever their names.
+"""
 
 from __future__ import annotations
 
