@@ -39,3 +39,23 @@ def set_changes(current: DataFrame, previous: DataFrame, key: str) -> DataFrame:
     none = F.array().cast(current.schema["items"].dataType)
     a, b = F.coalesce("c", none), F.coalesce("p", none)
     return j.select(key, F.array_sort(F.array_except(a, b)).alias("added"), F.array_sort(F.array_except(b, a)).alias("removed"))
+
+
+#: What saved tables are marked with; tables of another version are not read.
+VERSION = "2.0"
+
+
+def save_as(df: DataFrame, path: str, version: str = VERSION) -> None:
+    """Write a table with a version, over one that may be there."""
+    df.withColumn("saved_version", F.lit(version)).write.mode("overwrite").parquet(path)
+
+
+def load_as(spark, path: str, version: str = VERSION) -> DataFrame | None:
+    """A table that ``save_as`` wrote; None if there is none, or one of another version."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    df = spark.read.parquet(path)
+    if "saved_version" not in df.columns or not df.where(F.col("saved_version") != version).isEmpty():
+        return None
+    return df.drop("saved_version")

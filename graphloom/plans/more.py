@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import code as C
 from graphloom.functions import text as T
-from graphloom.operators import build, search, sets, snapshots, tools, vectors
+from graphloom.operators import build, cochange, flows, search, sets, snapshots, tools, vectors
 from graphloom.session import fixed, fresh_path, written
 from graphloom.sources import adapters as A
 from graphloom.sources import project as P
 
-from .queries import _D, _part_graph, _t, _vectors, query
+from .queries import _D, FX, _part_graph, _t, _vectors, query
 
 # -- reports of rankings, paths and hierarchies
 
@@ -380,3 +380,116 @@ def sk6_scoped_store(spark, sf_dir):
 
 
 
+
+
+# -- whole analyses
+
+
+@query(
+    f"WITH {A.PART_EDGES}, g AS (SELECT 'a.py::' || src AS src, 'a.py::' || dst AS dst, 'follows' AS type, 'python' AS source FROM e UNION ALL SELECT 'b.ts::' || l_suppkey, 'lib/' || l_partkey, l_returnflag, 'typescript' FROM lineitem), "
+    "p AS (SELECT DISTINCT CASE WHEN source = 'python' THEN 'py:' || src ELSE 'ts:' || src END AS src, CASE WHEN source = 'python' THEN 'py:' || dst ELSE dst END AS dst, type, source FROM g), "
+    "s AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS f FROM lineitem), w AS (SELECT a.f AS a, b.f AS b FROM s a JOIN s b ON a.c = b.c AND a.f < b.f GROUP BY 1, 2 HAVING count(*) >= 2) "
+    "SELECT src, dst, type, source FROM p UNION ALL SELECT CASE WHEN a % 2 = 0 THEN a || '.py' ELSE a || '.ts' END, CASE WHEN b % 2 = 0 THEN b || '.py' ELSE b || '.ts' END, 'co-occurs-cross-language', 'merged' FROM w WHERE a % 2 <> b % 2"
+)
+def ag39_merge_sources(spark, sf_dir):
+    """Parts as symbols of Python, suppliers as those of TypeScript, and joint changes between files of both."""
+    li = _t(spark, sf_dir, "lineitem")
+    name = lambda head, c: F.concat(F.lit(head), F.col(c).cast("string"))
+    a = A.part_edges(li).select(name("a.py::", "src").alias("src"), name("a.py::", "dst").alias("dst"), F.lit("follows").alias("type"), F.lit("python").alias("source"))
+    b = li.select(name("b.ts::", "l_suppkey").alias("src"), name("lib/", "l_partkey").alias("dst"), F.col("l_returnflag").alias("type"), F.lit("typescript").alias("source"))
+    e = a.unionByName(b).withColumn("ord", F.lit(0))
+    ends = e.select(F.explode(F.array("src", "dst")).alias("id"), "source")
+    file = lambda c: F.concat(F.col(c).cast("string"), F.when(F.col(c) % 2 == 0, ".py").otherwise(".ts"))
+    pairs = cochange.pair_counts(A.commits(li)).select(file("file_a").alias("file_a"), file("file_b").alias("file_b"))
+    return flows.merged(ends, e, pairs)[1]
+
+
+_STRENGTH = (
+    "s AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS f FROM lineitem), p AS (SELECT a.f AS file_a, b.f AS file_b, count(*) AS n FROM s a JOIN s b ON a.c = b.c AND a.f < b.f GROUP BY 1, 2 HAVING count(*) >= 2), "
+    "k AS (SELECT l_partkey AS f, count(*) AS k FROM lineitem GROUP BY 1), t AS (SELECT file_a, file_b, n, n::DOUBLE / (x.k + y.k - n) AS strength FROM p JOIN k x ON x.f = file_a JOIN k y ON y.f = file_b)"
+)
+
+
+@query(
+    f"WITH {_STRENGTH}, q AS (SELECT * FROM t WHERE strength >= 0.03), a AS (SELECT 'pair' AS section, row_number() OVER (ORDER BY strength DESC, file_a, file_b) AS place, file_a, file_b, strength AS value FROM q), "
+    "f AS (SELECT f, sum(n) AS n FROM (SELECT file_a AS f, n FROM q UNION ALL SELECT file_b, n FROM q) GROUP BY f), b AS (SELECT 'file' AS section, row_number() OVER (ORDER BY n DESC, f) AS place, f AS file_a, NULL AS file_b, n::DOUBLE AS value FROM f) "
+    f"SELECT section, CAST(place AS INT) AS place, file_a, file_b, {FX.format('value')} AS value FROM (SELECT * FROM a WHERE place <= 20 UNION ALL SELECT * FROM b WHERE place <= 15)"
+)
+def ag5_cochange_summary(spark, sf_dir):
+    """From commits to the report: pairs with a strength of 0.03 or more, the strongest of them and the busiest files."""
+    pairs, _ = flows.cochange_analysis(A.commits(_t(spark, sf_dir, "lineitem")), threshold=0.03)
+    return flows.cochange_summary(pairs).withColumn("value", fixed(F.col("value")))
+
+
+@query(
+    f"WITH {A.STRINGS}, f AS (SELECT value, count(DISTINCT file) AS files, count(*) AS r, count(DISTINCT call_site) AS c FROM s GROUP BY value), m AS (SELECT max(r) AS most FROM f), t AS (SELECT count(DISTINCT file) AS total FROM s) "
+    f"SELECT value, files, r AS \"references\", c AS call_sites, {FX.format('least(1.0::DOUBLE, 0.5::DOUBLE + 0.5::DOUBLE * r / most + least(0.2::DOUBLE, 0.05::DOUBLE * c) + least(0.1::DOUBLE, 0.1::DOUBLE * r / greatest(1, total)))')} AS score FROM f, m, t"
+)
+def ag26_string_topology(spark, sf_dir):
+    """All strings, those of one file too."""
+    return flows.string_topology(A.page_strings(_t(spark, sf_dir, "pages")), include_single_use=True).withColumn("score", fixed(F.col("score")))
+
+
+@query(
+    f"WITH {A.PART_EDGES}, x AS (SELECT a.p_brand AS src, b.p_brand AS dst, CASE WHEN a.p_size > 25 THEN 'big' ELSE 'small' END AS type FROM e JOIN part a ON e.src = a.p_partkey JOIN part b ON e.dst = b.p_partkey WHERE a.p_brand <> b.p_brand) "
+    "SELECT src, dst, count(*) AS n, count(*) FILTER (type = 'big') AS big, count(*) FILTER (type = 'small') AS small FROM x GROUP BY 1, 2"
+)
+def ag10_level_edges(spark, sf_dir):
+    """Edges between brands with a count of each type."""
+    n, e = _part_graph(spark, sf_dir)
+    size = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"), F.when(F.col("p_size") > 25, "big").otherwise("small").alias("type"))
+    out = flows.level_edges(e.join(size, "src"), n, "file")
+    return out.select("src", "dst", "n", *[F.coalesce(F.try_element_at("types", F.lit(t)), F.lit(0)).cast("long").alias(t) for t in ("big", "small")])
+
+
+@query(
+    f"WITH {A.PART_EDGES}, c AS (SELECT [a.src, a.dst] AS cycle, 2 AS length FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst UNION ALL SELECT [a.src, a.dst, b.dst], 3 FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst), "
+    "u AS (SELECT cycle, length, unnest(cycle) AS id FROM c), f AS (SELECT cycle, length, list_sort(list(DISTINCT p_brand)) AS files FROM u JOIN part ON p_partkey = id GROUP BY cycle, length HAVING count(DISTINCT p_brand) > 1) "
+    "SELECT CAST(row_number() OVER (ORDER BY length, cycle) AS INT) AS place, length, cycle, files, count(*) OVER () AS total FROM f ORDER BY place LIMIT 20"
+)
+def gr12_cycle_report(spark, sf_dir):
+    """The first of all cross-file cycles of up to three parts."""
+    n, e = _part_graph(spark, sf_dir)
+    return flows.cycle_report(e, n.select("id", "file"))
+
+
+@query(
+    "WITH o AS (SELECT p_brand AS file, p_name AS name, p_type AS type, p_partkey AS id FROM part), r AS (SELECT file, name, id, row_number() OVER (PARTITION BY file, name ORDER BY CASE type WHEN 'STANDARD' THEN 0 WHEN 'PROMO' THEN 1 ELSE 2 END, id) AS k FROM o WHERE type IN ('STANDARD', 'PROMO', 'SMALL')), "
+    "n AS (SELECT p_brand AS file, p_name AS name FROM part) SELECT n.file, n.name, coalesce(CAST(r.id AS VARCHAR), n.name) AS target, r.id IS NOT NULL AS resolved FROM n LEFT JOIN r ON n.file = r.file AND n.name = r.name AND k = 1"
+)
+def j3_resolve_objects(spark, sf_dir):
+    """Names of parts as references to the objects of their brand, standard ones before promoted and small ones."""
+    p = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("file"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.col("p_partkey").alias("id"))
+    # ids as text of one width, so that their order is that of the numbers
+    known = flows.resolved_objects(p.select("file", "name"), p.withColumn("id", F.lpad(F.col("id").cast("string"), 12, "0")), ["STANDARD", "PROMO", "SMALL"])
+    return known.withColumn("target", F.when(F.col("resolved"), F.col("target").cast("long").cast("string")).otherwise(F.col("target")))
+
+
+@query(
+    "WITH b AS (SELECT source AS file, doc_id, substr(sha256(text), 1, 16) AS h FROM documents WHERE text IS NOT NULL) SELECT h AS hash, count(*) AS copies FROM b WHERE h IN (SELECT h FROM b WHERE file = 'src1') GROUP BY h HAVING count(*) > 1"
+)
+def j15_duplicates_of_file(spark, sf_dir):
+    """Documents that copy one of a source's documents, by their own hash."""
+    d = _t(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("source").alias("file"), F.col("doc_id").alias("id"), C.short_hash(F.col("text")).alias("hash"))
+    near = d.join(d.where("file = 'src1'").select("hash").distinct(), "hash", "left_semi")
+    return near.groupBy("hash").agg(F.count("*").alias("copies")).where("copies > 1")
+
+
+@query("SELECT 'edge' AS kind, count(*) AS n FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) UNION ALL SELECT 'node', count(*) FROM part")
+def sk10_json_graph(spark, sf_dir):
+    """A graph written as JSON lines and read again."""
+    n, _ = _part_graph(spark, sf_dir)
+    e = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    path = fresh_path(spark, "json")
+    flows.json_lines(n.select("id", "type", "file", "name"), e).write.partitionBy("kind").text(path)
+    nodes, edges = flows.from_json_lines(spark.read.text(path).select("kind", "value"), "long")
+    return nodes.where("id IS NOT NULL").agg(F.lit("node").alias("kind"), F.count("*").alias("n")).unionByName(edges.where("type = 'unknown' AND NOT resolved").agg(F.lit("edge").alias("kind"), F.count("*").alias("n")))
+
+
+@query("WITH a AS (SELECT o_custkey AS key, list_sort(list(DISTINCT o_orderpriority)) AS i FROM orders WHERE o_orderdate >= DATE '1995-01-01' GROUP BY 1), b AS (SELECT o_custkey AS key, list_sort(list(DISTINCT o_orderpriority)) AS i FROM orders WHERE o_orderdate < DATE '1995-01-01' GROUP BY 1) "
+    "SELECT key, list_sort(list_filter(coalesce(a.i, []), lambda x: NOT list_contains(coalesce(b.i, []), x))) AS added, list_sort(list_filter(coalesce(b.i, []), lambda x: NOT list_contains(coalesce(a.i, []), x))) AS removed FROM a FULL JOIN b USING (key)"
+)
+def so7_list_changes(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    half = lambda c: o.where(c).groupBy(F.col("o_custkey").alias("key")).agg(F.collect_set("o_orderpriority").alias("items"))
+    return snapshots.set_changes(half("o_orderdate >= DATE '1995-01-01'"), half("o_orderdate < DATE '1995-01-01'"), "key")

@@ -3,7 +3,9 @@
 import itertools
 
 import pytest
+from pyspark.sql import functions as F
 
+from graphloom.operators import traverse
 from graphloom.plans import queries as Q
 
 
@@ -52,7 +54,8 @@ def test_part_graph_queries(spark, small):
     for name, e in (("upstream", back), ("downstream", edges)):
         for s in ids:
             impact |= {(name, s, i, k, file[i]) for i, k in reach(e, s, 3).items() if file.get(i) and file[i] != file.get(s)}
-    assert {tuple(r) for r in run("gr20_impact_parts")} == impact and len(run("gr20_impact_parts")) == len(impact)
+    found = traverse.impact(*Q._each(spark, d), search=traverse.reached_each).collect()
+    assert {tuple(r) for r in found} == impact and len(found) == len(impact)
     risk = {s: (sum(x[0] == "upstream" and x[3] == 1 for x in own), sum(x[0] == "upstream" and x[3] > 1 for x in own), len({x[4] for x in own})) for s in ids if (own := [x for x in impact if x[1] == s])}
     assert {r.seed: (r.direct, r.indirect, r.files) for r in run("ag22_risk_parts")} == risk
     down = [x for x in impact if x[0] == "downstream"]
@@ -130,3 +133,16 @@ def test_groups_of_benchmark_items(spark, monkeypatch):
     whole = find()
     monkeypatch.setattr(decontaminate, "ITEMS", 4)
     assert len(decontaminate.indexes(b)) == 8 and find() == whole and len(whole) > 20
+
+
+def test_impact_of_every_twentieth_part(spark, small, tmp_path):
+    """The same graph with ids four times as large, so that some are divisible by 20."""
+    d, edges, file = small
+    spark.read.parquet(f"{d}/lineitem.parquet").withColumn("l_partkey", F.col("l_partkey") * 4).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.read.parquet(f"{d}/part.parquet").withColumn("p_partkey", F.col("p_partkey") * 4).write.parquet(f"{tmp_path}/part.parquet")
+    want = set()
+    for name, e in (("upstream", {(b, a) for a, b in edges}), ("downstream", edges)):
+        for s in (5, 10):
+            want |= {(name, s * 4, i * 4, k, file[i]) for i, k in reach(e, s, 3).items() if file.get(i) and file[i] != file.get(s)}
+    got = Q.QUERIES["gr20_impact_parts"](spark, str(tmp_path)).collect()
+    assert want and {tuple(r) for r in got} == want and len(got) == len(want)
