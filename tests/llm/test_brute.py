@@ -335,7 +335,7 @@ def test_quality_on_labelled_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     out = quality_forest.quality(docs, labels).join(labels, "doc_id").toPandas()
-    assert out[out.quality == 1].keep.mean() > 0.98 and out[out.quality == 0].keep.mean() < 0.5
+    assert out[out.quality == 1].keep.mean() > 0.98 and out[out.quality == 0].keep.mean() < 0.05
 
 
 def test_warc_round_trip(spark, tmp_path):
