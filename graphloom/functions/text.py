@@ -136,8 +136,14 @@ def directive_conflicts(rules: DataFrame) -> DataFrame:
     return n.select(F.explode(rows).alias("x")).select("x.*").where("positive > 0 AND negative > 0")
 
 
+#: Most characters of rules that are sent to every executor.
+RULE_CHARS = 50_000_000
+
+
 def path_coverage(rules: DataFrame, targets: DataFrame) -> DataFrame:
-    """(path, covered): whether a path, or a folder above it, is named in any rule (text)."""
+    """(path, covered): whether a path, or a folder above it, is named in any rule (text). Rules of more than RULE_CHARS characters together are refused, as all of them meet every path."""
+    if (rules.agg(F.sum(F.length("text"))).first()[0] or 0) > RULE_CHARS:
+        raise ValueError(f"rules of more than {RULE_CHARS} characters")
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
     t = targets.select("path", above.alias("above"))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.build import TEST_FILES
 
+#: Most layer patterns.
+LAYER_PATTERNS = 10_000
+
 
 def _tagged(edges: DataFrame, groups: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Edges with the group of each end as ``a`` and ``b``."""
@@ -52,7 +55,9 @@ def _first_ids(rows: DataFrame, shown: int) -> DataFrame:
 
 
 def layers(nodes: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(id, layer): the first layer with a pattern (layer_idx, pattern) that equals the id or that the file starts with, a trailing slash aside."""
+    """(id, layer): the first layer with a pattern (layer_idx, pattern) that equals the id or that the file starts with, a trailing slash aside. Patterns are a caller's list: more than LAYER_PATTERNS are refused, as all of them meet every node."""
+    if patterns.limit(LAYER_PATTERNS + 1).count() > LAYER_PATTERNS:
+        raise ValueError(f"more than {LAYER_PATTERNS} layer patterns")
     p = F.broadcast(patterns)
     hit = (F.col("id").cast("string") == F.col("pattern")) | F.col("file").startswith(F.rtrim(F.col("pattern"), F.lit("/")))
     return nodes.join(p, hit).groupBy("id").agg(F.min("layer_idx").alias("layer"))

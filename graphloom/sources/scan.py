@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import EXTENSIONS, PREFIXES
+from graphloom.session import written
 
 SKIP = "node_modules __pycache__ venv env dist build target coverage vendor site-packages out".split()
 ROWS = "kind string, file string, language string, id string, type string, name string, line int, exported boolean, src string, dst string, resolved boolean, value string, context string, scope string, error string"
@@ -316,9 +317,18 @@ def strings(rows: DataFrame) -> DataFrame:
 
 
 def commit_log(lines: DataFrame, mark: str = "---COMMIT---") -> DataFrame:
-    """(commit_id, file) of a log (at, line): file names between marks; commits without files give no rows."""
-    place = F.sum((F.col("line") == mark).cast("int")).over(Window.partitionBy().orderBy("at"))
-    return lines.withColumn("commit_id", place).where((F.col("line") != mark) & (F.trim("line") != "")).select("commit_id", F.col("line").alias("file"))
+    """(commit_id, file) of a log (at, line): file names between marks; commits without files give no rows.
+
+    Marks are counted within ranges of the log, and each range goes on from those before it, so no task holds the whole log.
+    """
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = written(lines.select("at", "line").repartitionByRange(parts, "at").withColumn("part", F.spark_partition_id()), "log")
+    is_mark = (F.col("line") == mark).cast("int")
+    sums = split.groupBy("part").agg(F.sum(is_mark).alias("n"))  # one row a range
+    before = sums.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    own = F.sum(is_mark).over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    rows = split.join(F.broadcast(before), "part").withColumn("commit_id", own + F.col("before"))
+    return rows.where((F.col("line") != mark) & (F.trim("line") != "")).select("commit_id", F.col("line").alias("file"))
 
 
 def json_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
