@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators import vectors
+from graphloom.session import written
 
 #: An encoder: texts to one vector each, or None for a text that it can't take.
 Encoder = Callable[[list[str]], list[list[float] | None]]
@@ -62,13 +63,21 @@ def text_search(chunks: DataFrame, queries: DataFrame, encoder: Encoder | None =
     """(query, id, similarity): for each query (query, text) the k chunks (id, vector, trivial) most like it; trivial ones count half."""
     q = encoded(queries.select(F.col("query").alias("id"), "text"), encoder).where("NOT skipped").select(F.col("id").alias("query"), F.col("vector").alias("qv"))
     # chunks may have the ids of queries: a query is no row of theirs here
-    rows = only(chunks, ids)
-    found = vectors.search(rows.withColumn("id", F.struct(F.lit("c").alias("of"), "id")), q.withColumn("query", F.struct(F.lit("q").alias("of"), F.col("query").alias("id"))), k, threshold, F.col("trivial") if "trivial" in chunks.columns else None)
-    return found.select("query.id", F.col("id.id").alias("found"), "similarity").toDF("query", "id", "similarity")
+    return vectors.search(only(chunks, ids), q, k, threshold, F.col("trivial") if "trivial" in chunks.columns else None, others=False)
 
 
-def hybrid_search(rows: DataFrame, queries: DataFrame, candidates: DataFrame, k: int = 10, threshold: float = 0.5) -> DataFrame:
-    """(query, id, similarity): as a search, over the candidates (query, id) of each query where it has k of them or more, else over all vectors."""
+def hybrid_search(rows: DataFrame, queries: DataFrame, candidates: DataFrame | str, k: int = 10, threshold: float = 0.5) -> DataFrame:
+    """(query, id, similarity): as a search, over the candidates (query, id) of each query where it has k of them or more, else over all vectors.
+
+    Candidates may be a column of rows and queries instead: those of a query are then all other rows of its value, and no pairs are made of them.
+    """
+    if isinstance(candidates, str):
+        c = F.col(candidates)
+        many = rows.groupBy(c.alias("of")).agg(F.countDistinct("id").alias("n"))
+        own = rows.select(F.col("id").alias("query"), c.alias("of")).distinct().withColumn("own", F.lit(1))
+        q = queries.withColumn("of", c).join(many, "of", "left").join(own, ["query", "of"], "left")
+        q = written(q.withColumn("enough", F.coalesce(F.col("n"), F.lit(0)) - F.coalesce(F.col("own"), F.lit(0)) >= k).select("query", "qv", candidates, "enough"), "queries")
+        return vectors.search(rows, q.where("enough"), k, threshold, group=candidates).unionByName(vectors.search(rows, q.where("NOT enough"), k, threshold))
     enough = candidates.join(rows.select("id"), "id", "left_semi").groupBy("query").agg(F.countDistinct("id").alias("n")).where(F.col("n") >= k).select("query")
     near = candidates.join(enough, "query", "left_semi").select("query", "id").distinct().join(rows.select("id", "vector"), "id").join(queries, "query").where("id <> query")
     sim = near.select("query", "id", vectors.clipped(vectors.cosine(F.col("vector"), F.col("qv"))).alias("similarity"))
