@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import spread
+
+#: Pairs that are expected for a row of commits, for the number of partitions only.
+PAIRS = 4
+
 
 def pair_counts(commits: DataFrame, least: int = 2) -> DataFrame:
     """(file_a, file_b, n): commits that list both files, for file_a < file_b, from ``least`` on.
 
-    Pairs are made inside each commit's own set of files, so there is one shuffle for commits and one for pairs.
+    Pairs are made inside each commit's own set of files, so there is one shuffle for commits and one for pairs. Both are in partitions of a bounded number of rows,
+    and pairs, most of which come once, are only counted behind their shuffle.
     """
-    sets = commits.where("file IS NOT NULL").groupBy("commit_id").agg(F.array_sort(F.collect_set("file")).alias("fs")).where(F.size("fs") > 1)
+    n = commits.count()
+    sets = spread(commits.where("file IS NOT NULL"), "commit_id", rows=n).groupBy("commit_id").agg(F.array_sort(F.collect_set("file")).alias("fs")).where(F.size("fs") > 1)
     a = sets.select("fs", F.posexplode("fs").alias("at", "file_a"))
     pairs = a.select("file_a", F.explode(F.slice("fs", F.col("at") + 2, F.size("fs"))).alias("file_b"))
-    return pairs.groupBy("file_a", "file_b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return spread(pairs, "file_a", "file_b", factor=PAIRS, rows=n).groupBy("file_a", "file_b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def file_counts(commits: DataFrame) -> DataFrame:
