@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.session import spread, written
+
+#: Files of one set of hashes from which on its list is sent to every executor; so many files for each list that is sent.
+CROWD = 10_000
+
 
 def descriptor_hash(a: Column, b: Column, kind: Column) -> Column:
     """The first 16 hex digits of the SHA-256 of two sorted node types and the edge type."""
@@ -32,17 +37,34 @@ def structurally_similar(index: DataFrame, files: DataFrame, k: int | None = Non
 def structurally_similar_each(index: DataFrame, k: int) -> DataFrame:
     """The rows of ``structurally_similar`` with every file of the index as a scope.
 
-    Files of the same set of hashes share one ranking, as far as k places and those of the largest file, since only a file's own places are taken out of it.
+    Places that have equal hashes equally often (a kind) overlap equally with any scope, and scopes of equal sets of hashes with any place, so only sets and kinds are compared. Of one file no more than k places are of use to a scope,
+    and a scope's own are skipped: 2k places of a kind, and of a set's list, are enough. Shuffled are the index and what sets and kinds have in common.
     """
-    sets = index.groupBy(F.col("file").alias("scope")).agg(F.array_sort(F.collect_set("hash")).alias("hashes"))
-    rows = index.groupBy("file", "id", "hash").agg(F.count("*").alias("n"))
-    most = index.groupBy("file").agg(F.countDistinct("id").alias("n")).agg(F.max("n")).first()[0] or 0
-    wanted = sets.select("hashes").distinct().withColumn("hash", F.explode("hashes"))
-    found = rows.join(wanted, "hash").groupBy("hashes", "file", "id").agg(F.sum("n").alias("overlap"))
-    place = lambda group: F.row_number().over(Window.partitionBy(group).orderBy(F.desc("overlap"), "file", "id"))
-    best = found.withColumn("p", place("hashes")).where(F.col("p") <= k + most).drop("p")
-    out = sets.join(best, "hashes").where("file <> scope").select("scope", "file", "id", "overlap")
-    return out.withColumn("p", place("scope")).where(F.col("p") <= k).drop("p")
+    n = index.count()
+    rank = lambda by, *order: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    rows = spread(index.where("file IS NOT NULL AND hash IS NOT NULL"), "file", rows=n).groupBy("file", "id", "hash").agg(F.count("*").alias("n"))
+    places = written(rows.groupBy("file", "id").agg(F.array_sort(F.collect_list(F.struct("hash", "n"))).alias("kind")), "places")
+    few = spread(places, "file", rows=n).withColumn("o", rank(["file", "kind"], "id")).where(F.col("o") <= k)
+    first = written(few.withColumn("p", rank(["kind"], "file", "id")).where(F.col("p") <= 2 * k).select("kind", "file", "id"), "first")
+    # sure: places of a kind that a scope gets at least, whichever file it is
+    sure = first.groupBy("kind", "file").agg(F.count("*").alias("b")).groupBy("kind").agg((F.sum("b") - F.max("b")).alias("sure"))
+    kinds = written(sure.withColumn("kind_id", F.monotonically_increasing_id()), "kinds")
+    hashes = spread(places, "file", rows=n).select("file", F.explode("kind.hash").alias("hash")).groupBy("file").agg(F.array_sort(F.collect_set("hash")).alias("hashes"))
+    scopes = written(hashes.withColumnRenamed("file", "scope"), "scopes")
+    sets = written(scopes.groupBy("hashes").agg(F.count("*").alias("many")).withColumn("set_id", F.monotonically_increasing_id()), "sets")
+    has = kinds.select("kind_id", "sure", F.explode("kind").alias("x")).select("kind_id", "sure", "x.hash", "x.n")
+    found = sets.select("set_id", F.explode("hashes").alias("hash")).join(has, "hash").groupBy("set_id", "kind_id", "sure").agg(F.sum("n").alias("overlap"))
+    better = F.sum("sure").over(Window.partitionBy("set_id").orderBy(F.desc("overlap")).rangeBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("better", better).where(F.coalesce("better", F.lit(0)) < k).select("set_id", "kind_id", "overlap")
+    best = found.join(first.join(kinds.select("kind", "kind_id"), "kind"), "kind_id").select("set_id", "file", "id", "overlap")
+    best = best.withColumn("o", rank(["set_id", "file"], F.desc("overlap"), "id")).where(F.col("o") <= k)
+    best = best.withColumn("p", rank(["set_id"], F.desc("overlap"), "file", "id")).where(F.col("p") <= 2 * k)
+    lists = best.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("p", "file", "id", "overlap"))).alias("list"))
+    lists = written(sets.join(lists, "set_id").select("hashes", "many", "list"), "lists")
+    crowds = lists.where(F.col("many") >= CROWD)
+    alone = scopes.join(F.broadcast(crowds.select("hashes")), "hashes", "left_anti").join(lists.where(F.col("many") < CROWD), "hashes")
+    got = scopes.join(F.broadcast(crowds), "hashes").unionByName(alone)
+    return got.select("scope", F.explode(F.slice(F.filter("list", lambda x: x["file"] != F.col("scope")), 1, k)).alias("x")).select("scope", "x.file", "x.id", "x.overlap")
 
 
 def normalized_code(text: Column) -> Column:
