@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import evidence
+from graphloom import session
+from graphloom.operators import evidence, traverse
 
 
 def shuffled(spark, run):
@@ -45,3 +46,26 @@ def test_copies_of_files_are_not_compared_anew(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert len(got) == 31 * 40 * 3
     assert records < 8 * ix.count()
+
+
+def test_edges_are_walked_in_bounded_partitions(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 100)
+    rows = [(a, a * 7 % 150) for a in range(1000)] * 2 + [(None, 3), (4, None)]
+    edges, seeds = spark.createDataFrame(rows, "src long, dst long"), spark.createDataFrame([(9,)], "id long")
+    parts, make = [], traverse.written
+
+    def watched(df, name="step"):
+        parts.append((name, df.rdd.getNumPartitions()))
+        return make(df, name)
+
+    near = {9}
+    for _ in range(2):
+        near |= {b for a, b in rows if a in near} | {a for a, b in rows if b in near}
+    near -= {None}
+    want = sorted((a, b) for a, b in rows if a in near and b in near)
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(traverse, "written", watched)
+        monkeypatch.setattr(traverse, "BROADCAST_IDS", most)
+        assert sorted(map(tuple, traverse.subgraph(edges, seeds).collect())) == want and len(want) > 20
+        assert [n for name, n in parts if name == "steps"] == [21]
+        parts.clear()
