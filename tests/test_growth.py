@@ -69,3 +69,13 @@ def test_edges_are_walked_in_bounded_partitions(spark, monkeypatch):
         assert sorted(map(tuple, traverse.subgraph(edges, seeds).collect())) == want and len(want) > 20
         assert [n for name, n in parts if name == "steps"] == [21]
         parts.clear()
+
+
+def test_pairs_are_scored_where_they_are_found(spark):
+    odd = [[0.0, 0.0], [1.0, None], None, [], [1.0], [float("nan"), 1.0], [float("inf"), 1.0], [3.0, 4.0], [-3.0, 0.1], [0.2, 0.7]]
+    v = spark.createDataFrame([(k, odd[k % 10]) for k in range(30)] + [(4, [2.0, 1.0]), (9, [5.0, 1.0]), (99, [1.0, 1.0]), (None, [1.0, 1.0])], "id long, vector array<float>")
+    e = spark.createDataFrame([(a, (a * 3 + b) % 36) for a in range(36) for b in (1, 5)], "src long, dst long")
+    got = traverse.fused_each(e, v, 2)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    rows = [sorted(map(str, x.collect())) for x in (got, traverse._fused_by_joins(e, v, 2, 0.6, 0.4))]
+    assert rows[0] == rows[1] and len(rows[0]) > 100
